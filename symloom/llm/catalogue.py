@@ -7,12 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.llm.docpairs import described_functions
+from symloom.llm.handwritten import foreign_files
 from symloom.llm.leakage import leaked_items, leaks
 from symloom.llm.spans import shared_characters, sharing_pairs
 from symloom.llm.tokens import default_vocabulary, encode_documents, token_text
 from symloom.sources.tables import table
 
 
+def _foreign(spark: SparkSession, folder: str) -> DataFrame:
+    return foreign_files(*(table(spark, folder, t) for t in ("symbols", "source_files", "projects")))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _foreign(spark, folder).select("file_path")
+
+
+def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
+    return _foreign(spark, folder).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def p1_handwritten_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """The symbols of hand-written files, each once."""
+    symbols = table(spark, folder, "symbols").select("id", "projectId", "qualifiedName", "filePath").distinct()
+    foreign = _foreign(spark, folder).select(F.col("file_path").alias("filePath"))
+    return symbols.where("filePath IS NOT NULL").join(foreign, "filePath", "left_anti").select("id", "projectId", "qualifiedName", "filePath")
+
+
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return described_functions(table(spark, folder, "symbols"), table(spark, folder, "source_files"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pairs(spark, folder).select("symbol_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents"))
 
@@ -42,6 +71,8 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found, "p1_reasons": p1_reasons, "p1_handwritten_symbols": p1_handwritten_symbols,
+    "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_found": p7_found, "p7_items": p7_items,
     "p8_found": p8_found, "p8_shared": p8_shared,
