@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.plans import problems
+from symloom.plans import core, problems
 
-FLAGSHIP = "p2_found"
-_MODULES = (problems,)
+FLAGSHIP = "dead_code"
+_MODULES = (core, problems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
