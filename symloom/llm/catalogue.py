@@ -78,7 +78,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found, "p8_shared": p8_shared,
 }
 
-ORACLES: dict[str, str] = {}
+_WINDOWS = """WITH starts AS (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300),
+windows AS (SELECT doc_id, i, md5(substring(text, i, 300)) AS h FROM starts),
+shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+held AS (SELECT w.doc_id, w.i, w.h FROM windows w JOIN shared s ON s.h = w.h)"""
+
+ORACLES: dict[str, str] = {
+    "p8_found": _WINDOWS + "\nSELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM held a JOIN held b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p8_shared": _WINDOWS
+    + """, covers AS (SELECT doc_id, least(300, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 300)) AS n FROM (SELECT DISTINCT doc_id, i FROM held) u)
+SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(c.n, 0) AS shared_chars FROM documents d LEFT JOIN (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM covers GROUP BY 1) c ON c.doc_id = d.doc_id""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
