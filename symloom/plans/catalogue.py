@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symloom.plans import core, problems
+from symloom.plans import core, extraction, problems
 
 FLAGSHIP = "dead_code"
-_MODULES = (core, problems)
+_MODULES = (core, extraction, problems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
