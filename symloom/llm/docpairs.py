@@ -38,47 +38,49 @@ _LINE = r"""(?mx)^[\s\p{Z}]*(?:/{2,}!?|/\*+|\*+/?|\#+(?=\s))?[\s\p{Z}]*
     )"""
 
 _PIECE = regex.compile(
-    r"""(?P<doc>///[^\r\n]*|/\*\*(?:[^*]|\*(?!/))*+(?:\*/)?)
-    |(?P<note>//[^\r\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)
-    |(?P<string>\#*\"\"\"(?:[^"\\]|\\.|"(?!""))*+(?:\"\"\"\#*)?|\#*"(?:[^"\\\r\n]|\\.)*+"?\#*)
-    |(?P<line>\r\n|\r|\n)
-    |(?P<space>[^\S\r\n]+|\uFEFF)
-    |(?P<attribute>@\w+(?:\([^()\r\n]*\))?)
-    |(?P<code>[^\s"/@]+|.)""",
-    regex.VERBOSE | regex.DOTALL,
+    r"""(?P<doc>^[^\S\n]*///[^\n]*+(?:\n[^\S\n]*///[^\n]*+)*+|^[^\S\n]*/\*\*(?!/)(?:[^*]|\*(?!/))*+(?:\*/)?)
+    |(?P<note>//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)
+    |(?P<string>\#*\"\"\"(?:[^"\\]|\\.|"(?!""))*+(?:\"\"\"\#*)?|\#*"(?:[^"\\\n]|\\.)*+"?\#*)""",
+    regex.VERBOSE | regex.DOTALL | regex.MULTILINE,
 )
+_CODE = regex.compile(r"[^\s\uFEFF]")
+_ATTRIBUTES = regex.compile(r"@\w+(?:\([^()\n]*\))?")
+_SIGNS = regex.compile(r"^[^\S\n]*(?:/{3} ?|/\*+|\*+/?)|\*+/$", regex.M)
 
 
 def spans(text: str) -> list[tuple[str, int, str | None]]:
     """Spans of one file in order: (``comment``, last line, text) for each block of doc comments that
     starts its line, (``code``, line, None) for the first statement after each block."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
     out: list[tuple[str, int, str | None]] = []
-    block: list[str] = []
-    line = last = 1
-    opened = coded = False  # something stands on this line; code since the last comment was reported
+    line, at, coded = 1, 0, False  # the line of ``at``; whether code since the last comment was reported
+
+    def code(start: int, end: int) -> None:
+        nonlocal coded
+        if coded or start >= end:
+            return
+        gap = text[start:end]
+        if "@" in gap:  # attributes belong to what follows them
+            gap = _ATTRIBUTES.sub(lambda m: " " * len(m.group()), gap)
+        first = _CODE.search(gap)
+        if first:
+            out.append(("code", line + gap.count("\n", 0, first.start()), None))
+            coded = True
+
     for match in _PIECE.finditer(text):
-        kind, token = match.lastgroup, match.group()
-        if kind == "line":
-            line, opened = line + 1, False
-            continue
-        if kind in ("space", "note", "attribute"):
-            line += len(regex.findall(r"\r\n|\r|\n", token))
-            opened = opened or kind == "attribute"
-            continue
-        if kind == "doc" and not opened:
-            line += len(regex.findall(r"\r\n|\r|\n", token))
-            block.append(token)
-            last, coded, opened = line, False, True
-            continue
-        if kind != "doc":
-            if block:
-                out.append(("comment", last, "\n".join(regex.sub(r"^(?:///? ?|/\*+|[ \t]*\*+/?)|\*+/$", "", b, flags=regex.M) for b in block)))
-                block = []
-            if not coded:
-                out.append(("code", line, None))
-                coded = True
-            line += len(regex.findall(r"\r\n|\r|\n", token))
-            opened = True
+        kind, start, end = match.lastgroup, match.start(), match.end()
+        if kind == "note" or (kind == "string" and coded):
+            code(at, start)
+        elif kind == "string":
+            code(at, end)
+        else:
+            code(at, start)
+            last = line + text.count("\n", at, end)
+            out.append(("comment", last, _SIGNS.sub("", match.group())))
+            coded = False
+        line += text.count("\n", at, end)
+        at = end
+    code(at, len(text))
     return out
 
 
