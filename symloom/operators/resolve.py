@@ -1,6 +1,7 @@
 """Edges derived from names: what extensions, inheritance clauses, references and calls mean.
 
-Names resolve within their project. Each pass is a pure function of symbols and facts, so deleting
+Names resolve within their project, and then in the ``toolkit`` project if one is given, whose
+symbols all projects see. Each pass is a pure function of symbols and facts, so deleting
 and rebuilding edges is a matter of running it again; an incremental run equals a full one.
 """
 
@@ -24,6 +25,18 @@ def _first_by_name(nodes: DataFrame, *kinds: str) -> DataFrame:
     return found.select("projectId", "name", F.col("first.id").alias("target"), F.col("first.kind").alias("target_kind"))
 
 
+def _meet(facts: DataFrame, nodes: DataFrame, toolkit: int | None, *kinds: str) -> DataFrame:
+    """``facts`` (with projectId and name) that mean something, with target and target_kind: a symbol of
+    the own project first, else one of the project whose symbols all others see."""
+    own = _first_by_name(nodes, *kinds)
+    if toolkit is None:
+        return facts.join(own, ["projectId", "name"])
+    shared = _first_by_name(nodes.where(F.col("projectId") == toolkit), *kinds).select("name", F.col("target").alias("_target"), F.col("target_kind").alias("_kind"))
+    met = facts.join(own, ["projectId", "name"], "left").join(shared, "name", "left")
+    found = met.withColumn("target_kind", F.when(F.col("target").isNull(), F.col("_kind")).otherwise(F.col("target_kind"))).withColumn("target", F.coalesce("target", "_target"))
+    return found.where("target IS NOT NULL").drop("_target", "_kind")
+
+
 def placeholder_targets(nodes: DataFrame) -> DataFrame:
     """(placeholder, target): the real type that each placeholder's name stands for, if there is one."""
     waiting = nodes.where(is_named("qualifiedName", PLACEHOLDER)).select("projectId", "name", F.col("id").alias("placeholder"))
@@ -39,7 +52,7 @@ def repoint(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     return edges
 
 
-def extension_edges(nodes: DataFrame) -> DataFrame:
+def extension_edges(nodes: DataFrame, toolkit: int | None = None) -> DataFrame:
     """(sourceId, targetId, kind, metadata): ``extends`` from each extension to the types of its name,
     and ``conformsTo`` from those types to the protocols that the extension adds."""
     own = nodes.where("kind = 'extension'").select("projectId", "name", F.col("id").alias("extension"), "inheritedTypes")
@@ -48,20 +61,20 @@ def extension_edges(nodes: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string").alias("metadata")
     extends = pairs.select(F.col("extension").alias("sourceId"), F.col("base").alias("targetId"), F.lit("extends").alias("kind"), none)
     added = pairs.select("projectId", "base", F.explode(F.array_distinct(string_list("inheritedTypes"))).alias("name"))
-    conforms = added.join(_first_by_name(nodes, "protocol"), ["projectId", "name"]).select(F.col("base").alias("sourceId"), F.col("target").alias("targetId"), F.lit("conformsTo").alias("kind"), F.lit('{"via_extension":true}').alias("metadata"))
+    conforms = _meet(added, nodes, toolkit, "protocol").select(F.col("base").alias("sourceId"), F.col("target").alias("targetId"), F.lit("conformsTo").alias("kind"), F.lit('{"via_extension":true}').alias("metadata"))
     return extends.unionByName(conforms.distinct())
 
 
-def inheritance_edges(nodes: DataFrame) -> DataFrame:
+def inheritance_edges(nodes: DataFrame, toolkit: int | None = None) -> DataFrame:
     """(sourceId, targetId, kind): ``inherits`` between classes, ``conformsTo`` otherwise, for each name in
-    an inheritance clause that is a type of the project."""
+    an inheritance clause that is a type of the project or of the toolkit."""
     clauses = _real(nodes).where(F.col("kind").isin(*TYPE_KINDS)).select("projectId", F.col("id").alias("sourceId"), F.col("kind").alias("source_kind"), F.explode(F.array_distinct(string_list("inheritedTypes"))).alias("name"))
-    met = clauses.join(_first_by_name(nodes, *TYPE_KINDS), ["projectId", "name"]).where("sourceId <> target")
+    met = _meet(clauses, nodes, toolkit, *TYPE_KINDS).where("sourceId <> target")
     kind = F.when((F.col("source_kind") == "class") & (F.col("target_kind") == "class"), "inherits").otherwise("conformsTo")
     return met.select("sourceId", F.col("target").alias("targetId"), kind.alias("kind")).distinct()
 
 
-def reference_edges(nodes: DataFrame, references: DataFrame) -> DataFrame:
+def reference_edges(nodes: DataFrame, references: DataFrame, toolkit: int | None = None) -> DataFrame:
     """(sourceId, targetId): distinct references from a type, named by file and name, to types by name.
 
     What an extension refers to is what its type refers to; nothing refers to itself.
@@ -73,11 +86,11 @@ def reference_edges(nodes: DataFrame, references: DataFrame) -> DataFrame:
     facts = references.select("projectId", "filePath", "container", F.col("referenced").alias("name")).distinct()
     held = facts.join(one, ["projectId", "filePath", "container"]).join(base, ["projectId", "container"], "left")
     source = F.when(F.col("h.is_extension"), F.coalesce("base", "h.holder")).otherwise(F.col("h.holder"))
-    met = held.join(_first_by_name(nodes, *REFERRED), ["projectId", "name"])
+    met = _meet(held, nodes, toolkit, *REFERRED)
     return met.select(source.alias("sourceId"), F.col("target").alias("targetId")).where("sourceId <> targetId").distinct()
 
 
-def call_edges(nodes: DataFrame, contains: DataFrame, calls: DataFrame) -> DataFrame:
+def call_edges(nodes: DataFrame, contains: DataFrame, calls: DataFrame, toolkit: int | None = None) -> DataFrame:
     """(sourceId, targetId, metadata): calls resolved by their receiver's type, as makers of an instance,
     or as free functions; of several ways to one link the first of these counts, then the least kind.
 
@@ -92,8 +105,10 @@ def call_edges(nodes: DataFrame, contains: DataFrame, calls: DataFrame) -> DataF
     typed = facts.where("receiver IS NOT NULL").join(types, ["projectId", "receiver"])
     by_type = typed.join(members.where("kind IN ('function', 'variable', 'initializer')").select("owner", F.col("name").alias("callee"), "targetId"), ["owner", "callee"]).select("sourceId", "targetId", F.lit(1).alias("way"), "call_kind")
     makers = typed.where("call_kind = 'initCall'").join(members.where("kind = 'initializer'").select("owner", "targetId"), "owner").select("sourceId", "targetId", F.lit(2).alias("way"), F.lit("initCall").alias("call_kind"))
-    free = _real(nodes).where("kind = 'function'").select("projectId", F.col("name").alias("callee"), F.col("id").alias("targetId")).join(contains.select("targetId"), "targetId", "left_anti")
-    freely = facts.where("call_kind IN ('freeCall', 'selfCall')").join(free, ["projectId", "callee"]).select("sourceId", "targetId", F.lit(3).alias("way"), F.lit("freeCall").alias("call_kind"))
+    # Free functions: those no type contains. Overloads are one name, so a call means the first of them.
+    free = _real(nodes).join(contains.select(F.col("targetId").alias("id")), "id", "left_anti")
+    plain = facts.where("call_kind IN ('freeCall', 'selfCall')").select("projectId", F.col("callee").alias("name"), "sourceId").distinct()
+    freely = _meet(plain, free, toolkit, "function").select("sourceId", F.col("target").alias("targetId"), F.lit(3).alias("way"), F.lit("freeCall").alias("call_kind"))
     found = by_type.unionByName(makers).unionByName(freely).where("sourceId <> targetId")
     return found.groupBy("sourceId", "targetId").agg(F.min(F.struct("way", "call_kind")).alias("first")).select("sourceId", "targetId", F.col("first.call_kind").alias("metadata"))
 

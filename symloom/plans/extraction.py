@@ -11,6 +11,9 @@ from symloom.sources import declarations as read
 from symloom.sources.tables import table
 
 
+TOOLKIT = 1  # the project that owns the symbols all others see
+
+
 def _scoped(spark: SparkSession, folder: str) -> DataFrame:
     return read.scoped_tokens(table(spark, folder, "source_files"))
 
@@ -42,20 +45,20 @@ def _nodes(graph: Graph) -> DataFrame:
 
 
 def resolve_extensions(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.extension_edges(_nodes(Graph.read(spark, folder)))
+    return resolve.extension_edges(_nodes(Graph.read(spark, folder)), TOOLKIT)
 
 
 def resolve_conformances(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.inheritance_edges(_nodes(Graph.read(spark, folder)))
+    return resolve.inheritance_edges(_nodes(Graph.read(spark, folder)), TOOLKIT)
 
 
 def resolve_references(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.reference_edges(_nodes(Graph.read(spark, folder)), extract_type_references(spark, folder))
+    return resolve.reference_edges(_nodes(Graph.read(spark, folder)), extract_type_references(spark, folder), TOOLKIT)
 
 
 def resolve_calls(spark: SparkSession, folder: str) -> DataFrame:
     graph = Graph.read(spark, folder)
-    return resolve.call_edges(_nodes(graph), graph.links("contains"), extract_calls(spark, folder))
+    return resolve.call_edges(_nodes(graph), graph.links("contains"), extract_calls(spark, folder), TOOLKIT)
 
 
 def index_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,9 +85,10 @@ SELECT filePath, regexp_extract(text, 'import\\s+(\\w+)', 1) AS module, contains
     + """, pairs AS (SELECT x.projectId, x.id AS ext, b.id AS base FROM s x JOIN real b ON b.projectId = x.projectId AND b.name = x.name AND b.kind NOT IN ('extension', 'file', 'module', 'function', 'variable') WHERE x.kind = 'extension'),
 protocols AS (SELECT projectId, name, id FROM real WHERE kind = 'protocol' QUALIFY row_number() OVER (PARTITION BY projectId, name ORDER BY qualifiedName, id) = 1)
 SELECT ext AS sourceId, base AS targetId, 'extends' AS kind, CAST(NULL AS VARCHAR) AS metadata FROM pairs
-UNION ALL SELECT DISTINCT p.base, t.id, 'conformsTo', '{"via_extension":true}' FROM pairs p JOIN clauses c ON c.id = p.ext JOIN protocols t ON t.projectId = p.projectId AND t.name = c.name""",
+UNION ALL SELECT DISTINCT p.base, coalesce(t.id, u.id), 'conformsTo', '{"via_extension":true}' FROM pairs p JOIN clauses c ON c.id = p.ext LEFT JOIN protocols t ON t.projectId = p.projectId AND t.name = c.name
+LEFT JOIN protocols u ON u.projectId = 1 AND u.name = c.name WHERE coalesce(t.id, u.id) IS NOT NULL""",
     "resolve_conformances": _S
     + """, types AS (SELECT projectId, name, id, kind FROM real WHERE kind IN ('struct', 'class', 'enum', 'actor', 'protocol') QUALIFY row_number() OVER (PARTITION BY projectId, name ORDER BY qualifiedName, id) = 1)
-SELECT DISTINCT c.id AS sourceId, t.id AS targetId, CASE WHEN c.kind = 'class' AND t.kind = 'class' THEN 'inherits' ELSE 'conformsTo' END AS kind FROM clauses c JOIN types t ON t.projectId = c.projectId AND t.name = c.name
-WHERE c.kind IN ('struct', 'class', 'enum', 'actor', 'protocol') AND c.id <> t.id AND c.id IN (SELECT id FROM real)""",
+SELECT DISTINCT c.id AS sourceId, coalesce(t.id, u.id) AS targetId, CASE WHEN c.kind = 'class' AND coalesce(t.kind, u.kind) = 'class' THEN 'inherits' ELSE 'conformsTo' END AS kind FROM clauses c LEFT JOIN types t ON t.projectId = c.projectId AND t.name = c.name
+LEFT JOIN types u ON u.projectId = 1 AND u.name = c.name WHERE c.kind IN ('struct', 'class', 'enum', 'actor', 'protocol') AND c.id <> coalesce(t.id, u.id) AND c.id IN (SELECT id FROM real)""",
 }

@@ -79,11 +79,26 @@ def scoped_tokens(sources: DataFrame) -> DataFrame:
     inside = Window.partitionBy("projectId", "filePath", "level").orderBy("pos")
     brace = F.when(token == "{", F.struct(F.coalesce("opener.kind", F.lit("block")).alias("kind"), F.col("opener.name").alias("name")))
     close = F.first(F.when(token == "}", F.struct("line", "pos")), ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))
-    return headed.select(
+    scoped = headed.select(
         *[c for c in headed.columns if c not in ("opener", "last")],
         F.when((token == "{") | (F.col("level") > 0), F.last(brace, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).alias("scope"),
         F.when((token == "{") & F.col("opener").isNotNull(), F.struct("opener.*", close.alias("close"))).alias("opens"),
     )
+    return scoped.withColumn("leader", F.last(F.when(F.col("head").isNotNull(), F.struct("head.*", "scope")), ignorenulls=True).over(so_far))
+
+
+def _is_type(kind: str) -> Column:
+    return F.col(kind).isin(*TYPE_WORDS)
+
+
+def _with_body(scoped: DataFrame, *kinds: str) -> DataFrame:
+    """``body``: the member (name, line, end, type) of one of the kinds that a token stands in, for members
+    of types and of files; null outside."""
+    before = Window.partitionBy("projectId", "filePath").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    outermost = F.col("opens.kind").isin(*kinds) & (F.col("leader.pos") == F.col("opens.pos")) & (F.col("leader.scope").isNull() | _is_type("leader.scope.kind"))
+    body = F.when(outermost, F.struct(F.col("opens.name").alias("name"), F.col("opens.line").alias("line"), F.coalesce("opens.close.pos", F.lit(1 << 30)).alias("end"), F.col("leader.scope.name").alias("type")))
+    seen = scoped.withColumn("body", F.last(body, ignorenulls=True).over(before))
+    return seen.withColumn("body", F.when(F.col("pos") < F.col("body.end"), F.col("body")))
 
 
 def declarations(scoped: DataFrame) -> DataFrame:
@@ -103,43 +118,34 @@ def imports(scoped: DataFrame) -> DataFrame:
     return scoped.where("token = 'import' AND next IS NOT NULL AND level = 0").select("projectId", "filePath", F.col("next").alias("module"), (F.coalesce("prev", F.lit("")) == "@testable").alias("testable"), "line")
 
 
-def _in_functions(scoped: DataFrame) -> DataFrame:
-    """Tokens inside bodies of functions, with the function and its type."""
-    file = Window.partitionBy("projectId", "filePath").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    body = F.when(F.col("opens.kind").isin("function", "initializer"), F.struct(F.col("opens.name").alias("name"), F.col("opens.line").alias("line"), F.col("opens.close.pos").alias("end")))
-    types = F.when(F.col("opens.kind").isin(*TYPE_WORDS), F.struct(F.col("opens.name").alias("name"), F.col("opens.close.pos").alias("end")))
-    seen = scoped.withColumn("function", F.last(body, ignorenulls=True).over(file)).withColumn("type", F.last(types, ignorenulls=True).over(file))
-    return seen.where(F.col("pos") < F.coalesce("function.end", F.lit(1 << 30))).where("function IS NOT NULL")
-
-
 def calls(scoped: DataFrame) -> DataFrame:
     """(projectId, filePath, caller, caller_line, callee, receiver, call_kind, line) of each call in a function.
 
     A capital callee makes an instance: its callee is ``init``. Of longer chains the word before the
-    last dot is the receiver; it is null where that is no name.
+    last dot is the receiver; it is null where that is no name. Functions inside functions belong
+    to the outermost one.
     """
     file = Window.partitionBy("projectId", "filePath").orderBy("pos")
     wide = scoped.withColumn("before", F.lag("token", 2).over(file))
-    sites = _in_functions(wide).where(F.col("token").rlike(r"^[\p{L}_]") & (F.col("next") == "(") & ~F.col("token").isin(*NO_CALLS) & ~F.coalesce(F.col("prev").isin("func"), F.lit(False)))
+    sites = _with_body(wide, "function", "initializer").where("body IS NOT NULL").where(F.col("token").rlike(r"^[\p{L}_]") & (F.col("next") == "(") & ~F.col("token").isin(*NO_CALLS) & (F.coalesce("prev", F.lit("")) != "func"))
     member, upper = F.coalesce(F.col("prev") == ".", F.lit(False)), F.col("token").rlike(r"^\p{Lu}")
     on = F.when(member & F.col("before").rlike(r"^[\p{L}_]"), F.col("before"))
+    typed = F.col("body.type").isNotNull()
     kind = (
         F.when(member & on.isin("self", "Self"), "selfCall").when(member & (on == "super"), "superCall").when(member & on.rlike(r"^\p{Lu}"), "staticCall").when(member, "instanceCall")
-        .when(upper, "initCall").when(F.col("type.end") > F.col("pos"), "selfCall").otherwise("freeCall")
+        .when(upper, "initCall").when(typed, "selfCall").otherwise("freeCall")
     )
-    receiver = F.when(kind.isin("staticCall"), on).when(~member & upper, F.col("token")).when(kind == "selfCall", F.when(F.col("type.end") > F.col("pos"), F.col("type.name")))
+    receiver = F.when(kind == "staticCall", on).when(~member & upper, F.col("token")).when(kind == "selfCall", F.col("body.type"))
     callee = F.when(~member & upper, "init").otherwise(F.col("token"))
-    return sites.select("projectId", "filePath", F.col("function.name").alias("caller"), F.col("function.line").alias("caller_line"), callee.alias("callee"), receiver.alias("receiver"), kind.alias("call_kind"), "line")
+    return sites.select("projectId", "filePath", F.col("body.name").alias("caller"), F.col("body.line").alias("caller_line"), callee.alias("callee"), receiver.alias("receiver"), kind.alias("call_kind"), "line")
 
 
 def type_references(scoped: DataFrame) -> DataFrame:
-    """(projectId, filePath, container, referenced, line): capital words inside a type that don't name
-    the type itself, declare anything, or follow a dot."""
-    file = Window.partitionBy("projectId", "filePath").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    types = F.when(F.col("opens.kind").isin(*TYPE_WORDS), F.struct(F.col("opens.name").alias("name"), F.col("opens.close.pos").alias("end")))
-    seen = scoped.withColumn("type", F.last(types, ignorenulls=True).over(file))
-    word: Column = F.col("token")
-    return seen.where(
-        word.rlike(r"^\p{Lu}[\p{L}\p{N}_]*$") & (F.col("type.end") > F.col("pos")) & (word != F.col("type.name")) & (word != "Self")
-        & ~F.coalesce(F.col("prev").isin(".", *TYPE_WORDS, "func", "typealias", "case", "import", "let", "var"), F.lit(False))
-    ).select("projectId", "filePath", F.col("type.name").alias("container"), word.alias("referenced"), "line")
+    """(projectId, filePath, container, referenced, line): capital words in a type's clauses, members and
+    their bodies that don't name the type itself, declare anything, or follow a dot."""
+    word = F.col("token")
+    own_clause = _is_type("leader.kind") & (F.col("leader.piece") == F.col("piece")) & (F.col("leader.pos") < F.col("pos"))
+    container = F.when(own_clause, F.col("leader.name")).when(_is_type("scope.kind"), F.col("scope.name")).otherwise(F.col("body.type"))
+    seen = _with_body(scoped, "function", "initializer", "variable").withColumn("container", container)
+    declares = F.coalesce(F.col("prev").isin(".", *TYPE_WORDS, "func", "typealias", "case", "import", "let", "var"), F.lit(False))
+    return seen.where(word.rlike(r"^\p{Lu}[\p{L}\p{N}_]*$") & (word != F.col("container")) & (word != "Self") & ~declares).select("projectId", "filePath", "container", word.alias("referenced"), "line")
