@@ -26,8 +26,8 @@ EMPTY_WORDS = tuple(
     "tba tbd text that the this throw to todo typ type undocument undocumented unten value var voir voyez will wip with xxx à ver arriba ci dessus dessous".split()
 )
 EMPTY_TEXTS = ("説明", "概要", "未記入", "後で", "同上", "なし", "説明文", "要記入", "ドキュメント")
-_LINE = r"""(?mx)^[\s\p{Z}]*(?:/{2,}!?|/\*+|\*+/?|\#+(?=\s))?[\s\p{Z}]*
-    (?:[-*•+][\s]+)?(?:
+_LINE = r"""(?mx)^[\t\p{Zs}]*+(?:/{2,}+!?|/\*++|\*++/?|\#++(?=\s))?[\t\p{Zs}]*+
+    (?:[-*•+][\t\p{Zs}]++)?(?:
       (?:MARK|TODO|FIXME|XXX|HACK)\b.*            # notes to oneself
     | (?:swiftlint|swiftformat|sourcery)\s*:.*    # directives
     | :nodoc:.*
@@ -45,7 +45,7 @@ _PIECE = regex.compile(
 )
 _CODE = regex.compile(r"[^\s\uFEFF]")
 _ATTRIBUTES = regex.compile(r"@\w+(?:\([^()\n]*\))?")
-_SIGNS = regex.compile(r"^[^\S\n]*(?:/{3} ?|/\*+|\*+/?)|\*+/$", regex.M)
+_SIGNS = regex.compile(r"^[^\S\n]*(?:/{3} ?|/\*+|\*+/?)|(?<!\*)\*+/$", regex.M)
 
 
 def spans(text: str) -> list[tuple[str, int, str | None]]:
@@ -115,9 +115,9 @@ def informative(text: Column, name: Column, signature: Column) -> Column:
     for phrase in EMPTY_TEXTS:
         plain = F.regexp_replace(plain, rf"^[\s\p{{Z}}]*{phrase}[\s\p{{Z}}。.]*$", "")
     known = F.array_union(F.array_union(_words(F.coalesce(name, F.lit(""))), _words(F.coalesce(signature, F.lit("")))), F.array(*map(F.lit, EMPTY_WORDS)))
-    kana = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
-    left = F.array_except(F.filter(_words(F.regexp_replace(plain, kana, " ")), lambda w: w != ""), known)
-    signs = F.length(F.regexp_replace(plain, rf"(?:(?!{kana}).)+", ""))
+    kana = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+    left = F.array_except(F.filter(_words(F.regexp_replace(plain, f"[{kana}]", " ")), lambda w: w != ""), known)
+    signs = F.length(F.regexp_replace(plain, f"[^{kana}]+", ""))
     return F.coalesce(F.size(left) + signs / 2 >= FEWEST_WORDS, F.lit(False))
 
 

@@ -57,3 +57,10 @@ def test_the_index_records_comments_of_files_without_content(rows):
 def test_empty(spark, rows):
     assert described_functions(spark.createDataFrame([], SYMBOLS), spark.createDataFrame([], FILES)).collect() == []
     assert described_functions(rows([sym(1, doc="Opens the gate for all.")], SYMBOLS), spark.createDataFrame([], FILES)).count() == 1
+
+
+def test_very_long_documentation(rows):
+    texts = ["word " * 50_000, "-" * 300_000, "説" * 100_000, "`" * 100_000, "<" * 100_000, "- " * 100_000, "a: " * 50_000, "\n" * 100_000]
+    df = rows([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.got for r in df.select("i", informative(F.col("t"), F.lit("f"), F.lit("()")).alias("got")).collect()}
+    assert got[2] and not got[1] and not got[7]
