@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLANKS = r"(?U)[\s\p{Z}\x{FEFF}\x{200B}]+"
+BLANK = r"[\s\p{Z}\x{85}\x{FEFF}\x{200B}]"
 
 
 def trimmed(column: Column | str) -> Column:
     """Without any Unicode white space at either end."""
-    return F.regexp_replace(column, f"^{BLANKS}|{BLANKS}$", "")
+    return F.regexp_replace(column, f"\\A{BLANK}++|(?<!{BLANK}){BLANK}++\\z", "")
 
 
 def without_space(column: Column | str) -> Column:
     """Without white space anywhere; null where nothing is left."""
-    return F.nullif(F.regexp_replace(column, BLANKS, ""), F.lit(""))
+    return F.nullif(F.regexp_replace(column, f"{BLANK}+", ""), F.lit(""))
 
 
 def validity_intervals(rows: DataFrame, group: str, number: str, key: Column, state: list[Column], newest: list[Column], salts: int = 16) -> DataFrame:

@@ -18,7 +18,7 @@ BLOCK_WORDS = ("if", "else", "for", "while", "repeat", "switch", "do", "catch",
 NO_CALLS = (*BLOCK_WORDS, "func", "init", "self", "super", "Self", "throw", "throws", "await", "try", "as", "is", "where", "case", "let", "var", "subscript")
 
 TOKEN = (
-    r"(//[^\r\n]*|(?s:/\*.*?(?:\*/|$))|#*\"\"\"(?s:.*?)(?:\"\"\"#*|$)|#*\"(?:[^\"\\\r\n]|\\.)*\"?#*|\r\n|\r|\n|[ \t\f\x{FEFF}]+"
+    r"(//[^\r\n]*|(?s:/\*.*?(?:\*/|$))|#*\"\"\"(?s:.*?)(?:\"\"\"#*|$)|#*\"(?:[^\"\\\r\n]|\\.)*+\"?#*|\r\n|\r|\n|[ \t\f\x{FEFF}]+"
     r"|@?`?[\p{L}_$][\p{L}\p{N}_$]*`?|[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?|->|(?s:.))"
 )
 
@@ -32,7 +32,7 @@ def tokens(sources: DataFrame) -> DataFrame:
     ends = F.regexp_count(F.col("token"), F.lit(r"\r\n|\r|\n"))
     width = F.length("token")
     start = F.coalesce(F.sum(width).over(before), F.lit(0))
-    since = F.length(F.regexp_extract("token", r"([^\r\n]*)\z", 1))
+    since = F.length(F.substring_index(F.translate("token", "\r", "\n"), "\n", -1))
     placed = rows.select("*", ends.alias("ends"), since.alias("since"), start.alias("start"), (F.coalesce(F.sum(ends).over(before), F.lit(0)) + 1).cast("int").alias("line"))
     line_start = F.last(F.when(F.col("ends") > 0, F.col("start") + F.length("token") - F.col("since")), ignorenulls=True).over(before)
     mark = F.when(F.col("pos") == 0, F.lit(None)).otherwise(line_start)
@@ -78,7 +78,9 @@ def scoped_tokens(sources: DataFrame) -> DataFrame:
     )
     inside = Window.partitionBy("projectId", "filePath", "level").orderBy("pos")
     brace = F.when(token == "{", F.struct(F.coalesce("opener.kind", F.lit("block")).alias("kind"), F.col("opener.name").alias("name")))
-    close = F.first(F.when(token == "}", F.struct("line", "pos")), ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing))
+    # The next closing brace, as the last one in reversed order: a frame that grows costs each row once.
+    upward = Window.partitionBy("projectId", "filePath", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    close = F.last(F.when(token == "}", F.struct("line", "pos")), ignorenulls=True).over(upward)
     scoped = headed.select(
         *[c for c in headed.columns if c not in ("opener", "last")],
         F.when((token == "{") | (F.col("level") > 0), F.last(brace, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).alias("scope"),

@@ -99,3 +99,9 @@ def test_discover(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r.filePath.removeprefix(f"{tmp_path}/"): r.sha256 for r in discover(spark, str(tmp_path), ("mine",)).collect()}
     assert got == {"A.swift": hashlib.sha256(b"class A {}").hexdigest(), "sub/B.swift": hashlib.sha256("ü".encode()).hexdigest()}
+
+
+def test_long_literals_and_comments(rows):
+    text = 'let a = "' + "x" * 300_000 + '"\nlet b = "' + '\\"' * 50_000 + '"\n/*' + "*" * 200_000 + "*/\nlet c = [" + "1, " * 20_000 + "]\n//" + "/" * 100_000 + "\nstruct D { }\n"
+    got = {(r.kind, r.name, r.line) for r in declarations(scoped(rows, text)).collect()}
+    assert got == {("variable", "a", 1), ("variable", "b", 2), ("variable", "c", 4), ("struct", "D", 6)}
