@@ -11,7 +11,7 @@ from symloom.llm.docpairs import described_functions
 from symloom.llm.handwritten import foreign_files
 from symloom.llm.leakage import leaked_items, leaks
 from symloom.llm.spans import shared_characters, sharing_pairs
-from symloom.llm.tokens import default_vocabulary, encode_documents, token_text
+from symloom.llm.tokens import default_vocabulary, encode_documents, token_ids, token_text
 from symloom.sources.tables import table
 
 
@@ -48,10 +48,9 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of each document, and whether its ids give its text again."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    ids = encode_documents(documents.withColumnRenamed("text", "t").withColumnRenamed("t", "text"))
-    back = ids.select("doc_id", F.size("ids").alias("n_tokens"), token_text("ids", default_vocabulary()).alias("back"))
-    return documents.join(back, "doc_id").select("doc_id", "n_tokens", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+    vocabulary = default_vocabulary()
+    ids = table(spark, folder, "documents").select("doc_id", "text", token_ids("text", vocabulary).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), (F.coalesce("text", F.lit("")) == token_text("ids", vocabulary)).alias("same"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,15 +26,15 @@ EMPTY_WORDS = tuple(
     "tba tbd text that the this throw to todo typ type undocument undocumented unten value var voir voyez will wip with xxx à ver arriba ci dessus dessous".split()
 )
 EMPTY_TEXTS = ("説明", "概要", "未記入", "後で", "同上", "なし", "説明文", "要記入", "ドキュメント")
-_LINE = r"""(?mx)^[\t\p{Zs}]*+(?:/{2,}+!?|/\*++|\*++/?|\#++(?=\s))?[\t\p{Zs}]*+
+_LINE = r"""(?imx)^[\t\p{Zs}]*+(?:/{2,}+!?|/\*++|\*++/?|\#++(?=\s))?[\t\p{Zs}]*+
     (?:[-*•+][\t\p{Zs}]++)?(?:
-      (?:MARK|TODO|FIXME|XXX|HACK)\b.*            # notes to oneself
-    | (?:swiftlint|swiftformat|sourcery)\s*:.*    # directives
+      (?-i:MARK|TODO|FIXME|XXX|HACK)\b.*         # notes to oneself
+    | (?:swiftlint|swiftformat|sourcery)\s*:.*   # directives
     | :nodoc:.*
-    | (?:@?param(?:eter)?)[ \t]+(\w+)[ \t]*:[ \t]*(?i:\1)?[ \t]*$   # fields that repeat their name or say nothing
-    | (?:parameters?|returns?|throws|note|warning|important|precondition|complexity|see(?:also)?|@\w+)[ \t]*(?::|$)
-    | (?:@?param(?:eter)?)[ \t]+\w+[ \t]*:
-    | \w+[ \t]*:[ \t]*$
+    | @?param(?:eter)?[\x20\t]++(\w++)[\x20\t]*+:[\x20\t]*+\1?[\x20\t]*+$   # fields that repeat their name or say nothing
+    | (?:parameters?|returns?|throws|note|warning|important|precondition|complexity|see(?:also)?|@\w++)[\x20\t]*+(?::|$)
+    | @?param(?:eter)?[\x20\t]++\w++[\x20\t]*+:
+    | \w++[\x20\t]*+:[\x20\t]*+$
     )"""
 
 _PIECE = regex.compile(

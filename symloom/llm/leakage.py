@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.llm.minima import window_minima
+
 SPAN, GRAM, WINDOW = 10, 6, 5
 #: Broadcast the held-out fingerprints only up to so many rows (about 80 bytes each).
 BROADCAST_ROWS = 500_000
@@ -65,8 +67,7 @@ def fingerprints(text: str | None, known: dict[str, int]) -> tuple[np.ndarray, l
             code = known[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         codes[i] = code
     grams, spans = _grams(codes, GRAM), _grams(codes, SPAN).view(np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    kept = np.unique(np.arange(len(views)) + WINDOW - 1 - views[:, ::-1].argmin(axis=1))
+    kept = window_minima(grams, WINDOW)
     around = [spans[max(0, p - (SPAN - GRAM)) : p + 1] for p in kept.tolist()]
     return grams[kept].view(np.int64), around
 

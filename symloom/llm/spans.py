@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.llm.minima import window_minima
 from symloom.session import cut
 
 GEAR = 32
@@ -46,9 +47,7 @@ def chunks(codes: np.ndarray, length: int, spread: int) -> tuple[np.ndarray, np.
     none = np.array([], dtype=np.int64)
     if len(codes) < max(length, GEAR + spread):
         return none, none
-    hashes = _gear(codes)[GEAR - 1 :]
-    views = np.lib.stride_tricks.sliding_window_view(hashes, spread)
-    cuts = np.unique(np.arange(len(views)) + spread - 1 - views[:, ::-1].argmin(axis=1)) + GEAR - 1
+    cuts = window_minima(_gear(codes)[GEAR - 1 :], spread) + GEAR - 1
     reach = length - 2 * spread - GEAR + 2
     ends = np.searchsorted(cuts, cuts + reach)
     whole = ends < len(cuts)

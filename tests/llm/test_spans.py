@@ -100,3 +100,10 @@ def test_chunks_resist_shifts():
     b = np.array([1, 2, 3, *body], dtype=np.uint32)
     ca, cb = ({tuple(x[s:e]) for s, e in zip(*chunks(x, 300, 64), strict=True)} for x in (a, b))
     assert len(ca & cb) >= len(ca) - 3
+
+
+def test_one_very_long_text(rows):
+    r = random.Random(13)
+    long = "".join(r.choices("abcdefghijklmnop \n", k=1_000_000))
+    df = rows([(1, long, "c", 1), (2, long[500_000:500_300], "c", 1), (3, long[999_701:], "c", 1)], SCHEMA)
+    assert as_set(sharing_pairs(df)) == {(1, 2)}
