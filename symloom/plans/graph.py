@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators.paths import inner_path
-from symloom.operators.records import cascade, first_writer_wins, unique_by
+from symloom.operators.records import cascade, unique_by
 from symloom.operators.snapshots import trimmed
 from symloom.sources.tables import table
 
@@ -35,10 +35,11 @@ class Graph:
         return unique_by(self.symbols.where("id IS NOT NULL"), ["id"], *columns)
 
     def links(self, *kinds: str) -> DataFrame:
-        """Each edge between existing symbols once (all kinds, or those given)."""
+        """(sourceId, targetId, kind, id) of each edge between existing symbols once, with its lowest id (all
+        kinds, or those given). No question asks for metadata, so this stays a hash aggregate."""
         kind = trimmed("kind")
         edges = self.edges.where(kind.isin(*kinds)) if kinds else self.edges
-        return cascade(first_writer_wins(edges, kind), self.symbols)
+        return cascade(edges.groupBy("sourceId", "targetId", kind.alias("kind")).agg(F.min("id").alias("id")), self.symbols)
 
     def module_of(self, nodes: DataFrame) -> DataFrame:
         """``nodes`` (with projectId, moduleId and filePath) and module_id, module, module_kind.
