@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CACHED_PIECES = 100_000
+CACHED_PREFIXES, PREFIX = 200_000, 24
 BLOCK = 4096
 #: Fixed value: the vocabulary's published rule for pieces that merges don't cross.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,6 +33,7 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.prefixes: dict[bytes, tuple[int, int]] = {}  # last token of beginnings met before, and its start
         self.longest = max(map(len, ranks))
         self._neighbours: dict[tuple[int, int], bool] = {}
         endings: dict[bytes, set[int]] = {}
@@ -80,8 +82,8 @@ class Transducer:
         self.tail = b""  # the last ``longest`` bytes
         self.read = 0
         self.last: dict[int, tuple[int, int]] = {0: (-1, -1)}  # position -> (last token, where it starts)
-        self.uses: dict[int, int] = {0: 1}  # open positions and tokens that start there
-        self.chain: deque[int] = deque([0])
+        self.uses: dict[int, int] = {}  # once positions close: those open, and the tokens that start there
+        self.open: deque[int] = deque()
         self.root = 0
 
     def _drop(self, position: int) -> None:
@@ -94,13 +96,27 @@ class Transducer:
             position = start
         self.uses[position] -= 1
 
+    def _count(self) -> None:
+        """All positions are open until the first one closes; only then are their uses counted."""
+        self.open.extend(self.last)
+        self.uses.update(dict.fromkeys(self.last, 1))
+        for _, start in self.last.values():
+            if start >= 0:
+                self.uses[start] += 1
+
     def feed(self, data: bytes) -> Iterator[int]:
-        neighbours, ranks, endings = self.merges.neighbours, self.merges.ranks, self.merges.endings
-        longest, last, uses, chain = self.merges.longest, self.last, self.uses, self.chain
+        neighbours, ranks, endings, prefixes = self.merges.neighbours, self.merges.ranks, self.merges.endings, self.merges.prefixes
+        longest, last, uses = self.merges.longest, self.last, self.uses
         for block in range(0, len(data), BLOCK):
             held = self.tail + data[block : block + BLOCK]
+            at = self.read
             for end in range(len(self.tail) + 1, len(held) + 1):
-                self.read = at = self.read + 1
+                at += 1
+                if at <= PREFIX:
+                    met = prefixes.get(held[:end])
+                    if met is not None:
+                        last[at] = met
+                        continue
                 for size in endings.get(held[max(0, end - 3) : end], (2, 1)):
                     start = at - size
                     if size > end or start not in last:
@@ -108,16 +124,25 @@ class Transducer:
                     token = ranks.get(held[end - size : end])
                     if token is not None and (start == 0 or neighbours(last[start][0], token)):
                         last[at] = (token, start)
-                        uses[start] += 1
-                        uses[at] = 1
                         break
                 else:
                     raise ValueError("the vocabulary lacks a byte")
-                chain.append(at)
-                if len(chain) > longest:
-                    self._drop(chain.popleft())
-                    if uses[self.root] == 1 and self.root < chain[0]:
-                        yield from self._settle(chain[0])
+                if at <= PREFIX and len(prefixes) < CACHED_PREFIXES:
+                    prefixes[held[:end]] = last[at]
+                if at < longest:
+                    continue
+                self.read = at
+                if at == longest:
+                    self._count()
+                else:
+                    self.open.append(at)
+                    uses[at] = 1
+                    uses[start] += 1
+                if at >= longest:
+                    self._drop(self.open.popleft())
+                    if uses[self.root] == 1 and self.root < self.open[0]:
+                        yield from self._settle(self.open[0])
+            self.read = at
             self.tail = held[-longest:]
 
     def _settle(self, oldest: int) -> Iterator[int]:
