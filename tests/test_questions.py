@@ -116,7 +116,7 @@ def test_usages_and_rename_sites_count_a_place_once(graph, rows):
     usages = ask.find_usages(g)
     assert as_set(usages.where("symbol_id = 1").select("line", "used_by", "context")) == {(20, "Sub", "type reference"), (30, "run", "type reference"), (10, "NoFile", "type reference")}
     context = ask.usage_context(usages, rows([(1, "/p/Sources/App/A.swift", "\n" * 19 + "class Sub\nnext")], "projectId long, filePath string, content string"))
-    assert context.where("symbol_id = 1 AND line = 20").first().source == "    19 | \n>  20 | class Sub\n    21 | next"
+    assert context.where("symbol_id = 1 AND line = 20").first().source == "   19 | \n>  20 | class Sub\n   21 | next"
     sites = ask.rename_sites(g)
     assert as_set(sites.where("symbol_id = 1").select("line", "category")) == {(1, "declaration"), (20, "type reference"), (30, "type reference"), (40, "extension")}
     assert as_set(sites.where("symbol_id = 6").select("line", "category")) == {(60, "declaration"), (70, "protocol implementation")}
