@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from symloom.operators import resolve
 from symloom.plans.graph import Graph
+from symloom.session import cut
 from symloom.sources import declarations as read
+from symloom.sources import members
 from symloom.sources.tables import table
 
 
@@ -18,8 +20,12 @@ def _scoped(spark: SparkSession, folder: str) -> DataFrame:
     return read.scoped_tokens(table(spark, folder, "source_files"))
 
 
+def _facts(spark: SparkSession, folder: str) -> DataFrame:
+    return members.facts(table(spark, folder, "source_files"))
+
+
 def extract_declarations(spark: SparkSession, folder: str) -> DataFrame:
-    return read.declarations(_scoped(spark, folder))
+    return members.declarations(_facts(spark, folder))
 
 
 def extract_indexed(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,9 +68,15 @@ def resolve_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """What a full run of extraction gives per project."""
-    found = extract_declarations(spark, folder).groupBy("projectId").agg(F.count_distinct("filePath").alias("n_files"), F.count(F.lit(1)).alias("n_declarations"), F.count(F.when(F.col("kind") == "function", 1)).alias("n_functions"))
-    return found.withColumnRenamed("projectId", "project_id")
+    """What a full run of extraction gives per project: declarations, and the symbols and edges made of them."""
+    found = cut(_facts(spark, folder))
+    counts = members.declarations(found).groupBy("projectId").agg(F.count_distinct("filePath").alias("n_files"), F.count(F.lit(1)).alias("n_declarations"), F.count(F.when(F.col("kind") == "function", 1)).alias("n_functions"))
+    symbols = members.symbols(found).groupBy("projectId").agg(F.count(F.lit(1)).alias("n_symbols"))
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    edges = members.edges(found).groupBy("projectId").agg(of("contains").alias("n_contains"), of("imports").alias("n_imports"), of("composesView").alias("n_compositions"))
+    # A project whose files only import has symbols and edges without declarations.
+    numbers = ["n_files", "n_declarations", "n_functions", "n_symbols", "n_contains", "n_imports", "n_compositions"]
+    return symbols.join(counts, "projectId", "left").join(edges, "projectId", "left").fillna(0, numbers).select(F.col("projectId").alias("project_id"), *numbers)
 
 
 QUERIES = {

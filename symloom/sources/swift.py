@@ -1,0 +1,505 @@
+"""One Swift file's facts, read in a single pass over its tokens: declarations with all their clauses,
+imports, property wrappers, environment keys and injections, and the views that a view builder composes.
+
+Plain Python on one text at a time, without Spark; ``members`` makes tables of it. Scopes are ranges
+of tokens on a stack, so nesting costs no recursion.
+"""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_right
+
+ACCESS = frozenset(("public", "private", "fileprivate", "internal", "package", "open"))
+MODIFIERS = frozenset(
+    ("final", "static", "class", "override", "mutating", "nonmutating", "lazy", "weak", "unowned", "required", "convenience", "indirect", "dynamic", "nonisolated", "isolated", "optional", "prefix", "postfix", "infix", "distributed", "consuming", "borrowing")
+)
+TYPES = frozenset(("struct", "class", "enum", "protocol", "actor", "extension"))
+MEMBERS = frozenset(("func", "var", "let", "init", "subscript", "typealias", "case", "deinit", "import"))
+# The wrappers, views and endings that the reference tells apart.
+WRAPPERS = frozenset("State Binding Environment EnvironmentObject Observable ObservedObject StateObject Published AppStorage SceneStorage FocusState FocusedValue Query Entry MainActor".split())
+NO_VIEWS = frozenset(
+    "Color Font Image Text Spacer Divider CGFloat CGSize CGPoint CGRect String Int Double Bool Date URL Array Dictionary Set Optional AnyView EmptyView TupleView ForEach Group Section EdgeInsets Alignment HorizontalAlignment VerticalAlignment Animation Transition some Self Never".split()
+)
+NO_VIEW_ENDINGS = tuple("ViewModel Model Manager Service Repository Store Controller Coordinator Provider Factory Handler Delegate DataSource Helper Formatter Router Interactor Presenter UseCase".split())
+
+_NEXT = re.compile(r"""(?P<blank>[^\S\r\n]+|\r\n|\r|\n|\uFEFF)|(?P<line>//[^\r\n]*)|(?P<block>/\*)|(?P<string>\#*")|(?P<word>[@\#]?`?[^\W\d]\w*`?|\$\w+)|(?P<number>\d\w*(?:\.\d\w*)?)|(?P<sign>->|.)""", re.VERBOSE | re.DOTALL)
+_OPERATOR = re.compile(r"[/=\-+!*%<>&|^~?.]+")
+_LEADS = frozenset("some any inout borrowing consuming sending isolated async throws rethrows".split())
+_BINARY = frozenset("= + - * / % & | ^ < > ? : . , -> as is in".split())
+
+
+def _string_end(text: str, at: int, depth: int = 0) -> int:
+    """The end of the literal that begins at ``at``; what stands in \\( ) belongs to it."""
+    marks = 0
+    while text.startswith("#", at + marks):
+        marks += 1
+    quote = '"""' if text.startswith('"""', at + marks) else '"'
+    close, escape = quote + "#" * marks, "\\" + "#" * marks
+    stop = re.compile(r'[\\"]' if len(quote) == 3 else r'[\\"\r\n]')
+    at += marks + len(quote)
+    while found := stop.search(text, at):
+        at = found.start()
+        if text.startswith(close, at):
+            return at + len(close)
+        if text[at] in "\r\n":
+            return at
+        if not text.startswith(escape, at):
+            at += 1
+            continue
+        at += len(escape)
+        if text.startswith("(", at) and depth < 40:
+            level = 0
+            while True:
+                inner = re.compile(r'[()"]' if len(quote) == 3 else r'[()"\r\n]').search(text, at)
+                if not inner:
+                    return len(text)
+                at, sign = inner.end(), inner.group()
+                if sign == '"':
+                    at = _string_end(text, at - 1, depth + 1)
+                elif sign in "\r\n":
+                    return at - 1
+                else:
+                    level += 1 if sign == "(" else -1
+                    if not level:
+                        break
+        else:
+            at += 1
+    return len(text)
+
+
+class _File:
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.breaks = [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
+        self.words: list[str] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.docs: dict[int, list[str]] = {}
+        at, n = 0, len(text)
+        while at < n:
+            m = _NEXT.match(text, at)
+            kind, start, at = m.lastgroup, at, m.end()
+            if kind == "blank":
+                continue
+            if kind == "line":
+                if m.group().startswith("///"):
+                    self.docs.setdefault(len(self.words), []).append(m.group()[3:].strip())
+                continue
+            if kind == "block":
+                level = 1
+                while level and (part := re.compile(r"/\*|\*/").search(text, at)):
+                    level, at = level + (1 if part.group() == "/*" else -1), part.end()
+                at = n if level else at
+                if text.startswith("/**", start) and at - start > 4:
+                    self.docs.setdefault(len(self.words), []).append(text[start + 3 : at - 2].strip())
+                continue
+            if kind == "string":
+                at = _string_end(text, start)
+            self.words.append(text[start:at])
+            self.starts.append(start)
+            self.ends.append(at)
+        self.n = len(self.words)
+        self.mate, self.brace = [self.n] * self.n, [-1] * self.n
+        open_, inside = [], []
+        for k, w in enumerate(self.words):
+            if w in ("}", ")", "]"):
+                want = {"}": "{", ")": "(", "]": "["}[w]
+                if w == "}":  # a brace closes what was left open within it
+                    while open_ and self.words[open_[-1]] != "{":
+                        open_.pop()
+                if open_ and self.words[open_[-1]] == want:
+                    o = open_.pop()
+                    self.mate[o], self.mate[k] = k, o
+                    if want == "{":
+                        inside.pop()
+            self.brace[k] = inside[-1] if inside else -1
+            if w in ("{", "(", "["):
+                open_.append(k)
+                if w == "{":
+                    inside.append(k)
+
+    def word(self, k: int) -> str:
+        return self.words[k] if 0 <= k < self.n else ""
+
+    def line(self, k: int) -> int:
+        return bisect_right(self.breaks, self.starts[k]) + 1
+
+    def column(self, k: int) -> int:
+        i = bisect_right(self.breaks, self.starts[k])
+        return self.starts[k] - (self.breaks[i - 1] if i else 0) + 1
+
+    def slice(self, a: int, b: int) -> str:
+        """The source of tokens a to b - 1, as it stands."""
+        return self.text[self.starts[a] : self.ends[b - 1]] if a < b <= self.n else ""
+
+    def named(self, k: int) -> bool:
+        return bool(re.match(r"`?[^\W\d]", self.word(k)))
+
+    def fresh(self, k: int) -> bool:
+        """Whether a token begins a line."""
+        return k > 0 and k < self.n and self.line(k) != bisect_right(self.breaks, self.ends[k - 1] - 1) + 1
+
+    def tight(self, k: int) -> bool:
+        return 0 < k < self.n and self.starts[k] == self.ends[k - 1]
+
+    def over(self, k: int) -> int:
+        """Past a bracket, or past one token."""
+        return max(k, self.mate[k]) + 1 if self.words[k] in ("(", "[", "{") else k + 1
+
+    def angles(self, k: int) -> int:
+        """Past the <...> that may begin at k."""
+        if self.word(k) != "<":
+            return k
+        level, j = 0, k
+        while j < self.n and self.words[j] not in ("{", "}"):
+            level += (self.words[j] == "<") - (self.words[j] == ">")
+            j = self.over(j)
+            if not level:
+                return j
+        return k + 1
+
+    def parts(self, a: int, b: int) -> list[tuple[int, int]]:
+        """Ranges between the commas of a to b - 1 that stand in no bracket."""
+        found, start, k = [], a, a
+        while k < b:
+            if self.words[k] == ",":
+                found.append((start, k))
+                start = k + 1
+            k = max(k + 1, self.angles(k)) if self.words[k] == "<" and self.tight(k) and self.named(k - 1) else self.over(k)
+        return [*found, (start, b)] if start < b else found
+
+    def type_end(self, k: int) -> int:
+        """Past the type that begins at k."""
+        first = k
+        while k < self.n:
+            w, before = self.words[k], self.word(k - 1) if k > first else ""
+            if w in ("{", "}", ")", "]", "=", ",", ";", "where", ":", ">"):
+                break
+            joined = not before or before in (".", "&", "->", "~") or before in _LEADS or before.startswith("@")
+            if before and self.fresh(k) and not joined and w not in (".", "&", "->"):
+                break
+            if w == "<":
+                k = self.angles(k)
+                continue
+            if not joined and w not in (".", "&", "->", "?", "!", "async", "throws", "rethrows", "(") and (self.named(k) or w == "["):
+                break
+            if w == "(" and before and not joined and before not in ("throws",):
+                break
+            k = self.over(k)
+        return k
+
+    def expression_end(self, k: int, commas: bool = True) -> int:
+        """Past the expression that begins at k; an accessor block after it isn't part of it."""
+        first = k
+        while k < self.n:
+            w = self.words[k]
+            if w in ("}", ")", "]", ";") or (commas and w == ","):
+                break
+            if k > first and self.fresh(k) and w not in (".", "?", ":", "&", "|", "+", "*", "/", "%", "=", "<", ">", "as", "is") and not (w == "-" and self.starts[k] + 1 < len(self.text) and self.text[self.starts[k] + 1].isspace()) and self.word(k - 1) not in _BINARY and not (w == "{" and self.word(k - 1) != "="):
+                if self.word(k - 1) not in ("try", "await", "&", "|"):
+                    break
+            if w == "{" and self.accessors(k) and k > first:
+                break
+            k = max(k + 1, self.angles(k)) if w == "<" and self.tight(k) and self.named(k - 1) and self.word(k - 1)[:1].isupper() else self.over(k)
+        return k
+
+    def accessors(self, k: int) -> bool:
+        return self.word(k + 1) in ("willSet", "didSet", "get", "set") and self.word(k + 2) in ("{", "(")
+
+    def parameters(self, a: int) -> str:
+        """The parameters in the parentheses at a, without what they default to."""
+        found = []
+        for x, y in self.parts(a + 1, min(self.mate[a], self.n)):
+            while self.words[x].startswith("@") and x < y - 1:
+                x = self.over(x + 1) if self.word(x + 1) == "(" and self.tight(x + 1) else x + 1
+            colon = next((i for i in range(x, y) if self.words[i] == ":"), None)
+            if colon is None:
+                continue
+            stop = colon + 1
+            while stop < y and self.words[stop] != "=":
+                stop = self.over(stop)
+            stop = min(stop, y)
+            kind = self.slice(colon + 1, stop)
+            found.append(" ".join(self.words[x : min(x + 2, colon)]) + ": " + (kind[:-3].rstrip() if kind.endswith("...") else kind))
+        return "(" + ", ".join(found) + ")"
+
+    def argument(self, a: int) -> str | None:
+        """The first argument in the parentheses at a, without its label."""
+        parts = self.parts(a + 1, min(self.mate[a], self.n))
+        if not parts:
+            return None
+        x, y = parts[0]
+        return self.slice(x + 2 if self.named(x) and self.word(x + 1) == ":" else x, y)
+
+    def chain_start(self, k: int) -> int:
+        """The first token of the postfix expression whose member name stands at k."""
+        while self.word(k - 1) == ".":
+            dot = p = k - 1
+            p -= 1
+            while p > 0 and self.words[p] in ("?", "!"):
+                p -= 1
+            while p >= 0 and self.words[p] in (")", "]", "}") and self.mate[p] < p:
+                o = self.mate[p]
+                before = self.word(o - 1)
+                if self.words[o] == "{" and before == ":" and self.word(o - 3) == "}":
+                    p = o - 3
+                elif o > 0 and (before in (")", "]", "}", ">") or self.named(o - 1)) and not (self.fresh(o) and self.words[o] != "{") and before not in ("return", "in", "try", "await", "else", "case"):
+                    p = o - 1
+                    while self.words[p] == ">" and p > 0:
+                        level = 0
+                        while p > 0:
+                            level += (self.words[p] == ">") - (self.words[p] == "<")
+                            p -= 1
+                            if not level:
+                                break
+                else:
+                    return o
+            if p < 0 or not (self.named(p) or self.words[p][-1:] == '"' or self.words[p][:1].isdigit() or self.words[p][:1] in "$#") or self.words[p] in ("return", "in", "case", "else", "try", "await"):
+                return dot
+            k = p
+        return k
+
+
+def _short(text: str, most: int) -> str:
+    return text if len(text) <= 40 else text[:most] + "..."
+
+
+def read(text: str) -> list[dict]:
+    """The facts of a file in the order in which they stand; each has ``fact`` and ``line``."""
+    f = _File(text)
+    out: list[dict] = []
+    scopes: list[dict] = []  # kind, end, name, emits, view
+    contexts: list[tuple[str, int]] = []
+    switches: dict[int, list[int]] = {}
+    condition = -1  # the brace that ends the condition at hand
+
+    def owner(kinds: tuple[str, ...] = ()) -> str | None:
+        return next((s["name"] for s in reversed(scopes) if s["kind"] in TYPES and s["kind"] not in kinds), None)
+
+    k = 0
+    while k < f.n:
+        while scopes and k >= scopes[-1]["end"]:
+            scopes.pop()
+        while contexts and k >= contexts[-1][1]:
+            contexts.pop()
+        w, before = f.words[k], f.word(k - 1)
+        emits = all(s["emits"] for s in scopes[-1:])
+        viewing = any(s["view"] for s in scopes)
+        if w in ("#if", "#elseif", "#else", "#endif"):
+            k += 1
+            while k < f.n and not f.fresh(k):
+                k += 1
+            continue
+
+        # Declarations: attributes and modifiers, then the word that says what it is.
+        start, attributes, modifiers, given = k, [], [], {}
+        j = k
+        if before != "." and k >= condition:
+            while j < f.n:
+                x = f.words[j]
+                if x.startswith("@") and len(x) > 1:
+                    name_end = j + 1
+                    while f.word(name_end) == "." and f.tight(name_end):
+                        name_end += 2
+                    name_end = f.angles(name_end) if f.tight(name_end) else name_end
+                    attributes.append(f.slice(j, name_end))
+                    if f.word(name_end) == "(" and f.tight(name_end):
+                        given.setdefault(attributes[-1], f.argument(name_end))
+                        name_end = f.over(name_end)
+                    j = name_end
+                elif x in ACCESS or (x in MODIFIERS and not (x == "class" and f.named(j + 1) and f.word(j + 1) not in MEMBERS | MODIFIERS | ACCESS)):
+                    modifiers.append(x)
+                    j = f.over(j + 1) if f.word(j + 1) == "(" else j + 1
+                else:
+                    break
+        x, after = f.word(j), f.word(j + 1)
+        declares = before != "." and k >= condition and (
+            (x in TYPES and (f.named(j + 1) or (x == "extension" and after == "[")) and after not in MEMBERS)
+            or (x == "func" and after != "") or (x == "init" and after in ("(", "?", "!", "<") and emits and bool(scopes)) or (x in ("var", "let") and (f.named(j + 1) or after == "("))
+            or (x == "typealias" and f.named(j + 1)) or (x == "case" and f.named(j + 1) and bool(scopes) and scopes[-1]["kind"] == "enum") or (x == "import" and after != "" and not scopes)
+        )
+        if declares and x in ("actor", "protocol", "enum", "struct", "class", "extension") and f.word(j + 2) in (".", "=", ")", ","):
+            declares = x == "extension"
+        if declares:
+            access = next((m for m in modifiers if m in ACCESS), None)
+            row = {
+                "fact": "declaration", "line": f.line(start), "column": f.column(start), "parent": owner(), "access_level": access, "attributes": attributes,
+                "modifiers": [m for m in modifiers if m not in ACCESS], "inherited_types": [], "documentation": "\n".join(f.docs[start]) if start in f.docs else None,
+            }
+            last = lambda e: bisect_right(f.breaks, f.ends[min(e, f.n) - 1] - 1) + 1
+            if x == "import":
+                e = j + 1
+                e += f.word(e) in ("struct", "class", "enum", "protocol", "func", "var", "let", "typealias", "actor")
+                path = [f.word(e)]
+                while f.word(e + 1) == "." and f.named(e + 2):
+                    e += 2
+                    path.append(f.word(e))
+                out.append({"fact": "import", "line": row["line"], "name": ".".join(path), "testable": "@testable" in attributes})
+                k = e + 1
+            elif x in TYPES:
+                e = f.type_end(j + 1) if x == "extension" else f.angles(j + 2)
+                name = f.slice(j + 1, e) if x == "extension" else f.words[j + 1].replace("`", "")
+                if f.word(e) == ":":
+                    stop = e + 1
+                    while stop < f.n and f.words[stop] not in ("{", "}", "where", ";"):
+                        stop = f.over(stop)
+                    row["inherited_types"] = [f.slice(a, b) for a, b in f.parts(e + 1, stop)]
+                    e = stop
+                while e < f.n and f.words[e] not in ("{", "}", ";") and not (f.fresh(e) and f.word(e) != "where" and f.word(e - 1) not in ("where", ",", ":", "==", "=")):
+                    e = f.over(e)
+                body = e if f.word(e) == "{" else None
+                end = f.mate[body] if body is not None else e
+                if x == "extension":
+                    row["documentation"] = None
+                if emits:
+                    out.append(row | {"kind": x, "name": name, "end_line": (f.line(end) if end < f.n else row["line"]) if body is not None else row["line"]})
+                values = f.slice(j + 1, j + 2) == "EnvironmentValues" and x == "extension"
+                if body is not None:
+                    scopes.append({"kind": x, "end": end, "name": name, "emits": emits, "view": False, "key": x in ("struct", "extension") and "EnvironmentKey" in row["inherited_types"], "values": values, "line": row["line"]})
+                k = body + 1 if body is not None else max(e, j + 2)
+            elif x in ("func", "init"):
+                if x == "init":
+                    name = "init" + (after if after in ("?", "!") else "")
+                    e = j + 1 + (after in ("?", "!"))
+                elif f.named(j + 1):
+                    name, e = f.words[j + 1].replace("`", ""), j + 2
+                else:
+                    sign = _OPERATOR.match(text, f.starts[j + 1])
+                    name, e = sign.group() if sign else after, j + 2
+                    while sign and e < f.n and f.starts[e] < sign.end():
+                        e += 1
+                e = f.angles(e)
+                signature = f.parameters(e) if f.word(e) == "(" else "()"
+                e = f.over(e) if f.word(e) == "(" else e
+                effects, returned = [], ""
+                while f.word(e) in ("async", "reasync", "throws", "rethrows"):
+                    effects.append(f.words[e])
+                    e += 1
+                    e = f.over(e) if effects[-1] == "throws" and f.word(e) == "(" else e
+                if f.word(e) == "->":
+                    stop = f.type_end(e + 1)
+                    returned = f.slice(e + 1, stop)
+                    e = stop
+                if f.word(e) == "where":
+                    while e < f.n and f.words[e] not in ("{", "}", ";") and not (f.fresh(e) and f.word(e) != "where" and f.word(e - 1) not in ("where", ",", ":", "=")):
+                        e = f.over(e)
+                end = f.mate[e] + 1 if f.word(e) == "{" and f.mate[e] < f.n else f.n if f.word(e) == "{" else e
+                if x == "func":
+                    signature += f" -> {returned}" if returned else ""
+                    signature = "async " * ("async" in effects or "reasync" in effects) + signature
+                    signature = "throws " * ("throws" in effects or "rethrows" in effects) + signature
+                if emits:
+                    out.append(row | {"kind": "function" if x == "func" else "initializer", "name": name, "signature": signature, "end_line": last(end)})
+                scopes.append({"kind": x, "end": end, "name": None, "emits": False, "view": x == "func" and ("@ViewBuilder" in attributes or "View" in returned)})
+                k = j + 2
+            elif x == "typealias":
+                e = f.angles(j + 2)
+                stop = f.type_end(e + 1) if f.word(e) == "=" else e
+                if emits:
+                    out.append(row | {"kind": "typeAlias", "name": f.words[j + 1].replace("`", ""), "signature": f.slice(e + 1, stop) or None, "end_line": last(max(stop, j + 2))})
+                k = max(stop, j + 2)
+            elif x == "case":
+                e, found = j + 1, []
+                while f.named(e):
+                    name, signature = f.words[e].replace("`", ""), None
+                    e += 1
+                    if f.word(e) == "(":
+                        signature, e = f.slice(e, f.over(e)), f.over(e)
+                    if f.word(e) == "=":
+                        stop = f.expression_end(e + 1)
+                        signature, e = signature or f.slice(e + 1, stop), stop
+                    found.append((name, signature))
+                    if f.word(e) != ",":
+                        break
+                    e += 1
+                for name, signature in found if emits else ():
+                    out.append(row | {"kind": "enumCase", "name": name, "signature": signature, "end_line": last(e), "access_level": None, "attributes": [], "modifiers": [], "documentation": None})
+                k = e
+            else:
+                e, bindings = j + 1, []
+                while e < f.n:
+                    name = f.words[e].replace("`", "") if f.named(e) else None
+                    e = f.over(e)
+                    kind, computed = "", False
+                    if f.word(e) == ":":
+                        stop = f.type_end(e + 1)
+                        kind, e = f.slice(e + 1, stop), stop
+                    if f.word(e) == "=":
+                        e = f.expression_end(e + 1)
+                    if f.word(e) == "{":
+                        computed, e = True, f.over(e)
+                    if name is not None:
+                        bindings.append((name, kind, computed))
+                    if f.word(e) != ",":
+                        break
+                    e += 1
+                e = min(e, f.n)
+                top = scopes[-1] if scopes else None
+                hidden = any(s["kind"] == "var" for s in scopes)
+                for name, kind, computed in bindings:
+                    if emits:
+                        out.append(row | {"kind": "variable", "name": name, "signature": (kind + " { get }" * computed) or None, "end_line": last(e)})
+                    if top and top["kind"] in TYPES and top["key"] and name == "defaultValue":
+                        out.append({"fact": "key", "line": top["line"], "name": top["name"], "signature": kind or None, "parent": top["name"]})
+                    if top and top["kind"] in TYPES and top["values"]:
+                        out.append({"fact": "key", "line": row["line"], "name": name, "signature": kind or None, "parent": "EnvironmentValues"})
+                for a in attributes if not hidden else ():
+                    if a[1:] in WRAPPERS:
+                        out += [{"fact": "wrapper", "line": row["line"], "kind": a[1:], "name": name, "argument": given.get(a), "parent": owner(("actor", "protocol"))} for name, _, _ in bindings]
+                view = any(computed and (name == "body" or "View" in kind or "@ViewBuilder" in attributes) for name, kind, computed in bindings)
+                scopes.append({"kind": "var", "end": e, "name": None, "emits": False, "view": view})
+                k = j + 2
+            continue
+
+        if w in ("if", "while", "for", "guard", "switch") and before != "." and f.word(k + 1) != ":":
+            e = k + 1
+            while e < f.n and f.words[e] not in ("{", "}", ";"):
+                e = f.over(e)
+            condition = e
+            if w == "switch" and f.word(e) == "{":
+                switches[e] = [i for i in range(e + 1, min(f.mate[e], f.n)) if f.brace[i] == e and f.words[i] in ("case", "default") and f.words[i - 1] not in ("if", "guard", "while", "for", ",", ".")]
+            elif w == "if" and viewing and f.word(e) == "{":
+                end = f.mate[e] + 1
+                while f.word(end) == "else":
+                    end += 1
+                    while end < f.n and f.words[end] not in ("{", "}", ";"):
+                        end = f.over(end)
+                    if f.word(end) != "{":
+                        break
+                    end = f.mate[end] + 1
+                contexts.append(("if " + _short(f.slice(k + 1, e), 37), end))
+        elif w in ("case", "default") and viewing and f.brace[k] in switches and k in switches[f.brace[k]]:
+            labels = switches[f.brace[k]]
+            end = labels[labels.index(k) + 1] if k != labels[-1] else f.mate[f.brace[k]]
+            label, colon = "default", k + 1
+            if w == "case":
+                while colon < f.n and f.words[colon] not in (":", "}"):
+                    colon = f.over(colon)
+                items = []
+                for a, b in f.parts(k + 1, colon):
+                    where = next((i for i in range(a, b) if f.words[i] == "where"), b)
+                    items.append(f.slice(a, where))
+                label = "case " + _short(", ".join(items), 35)
+            contexts.append((label, end))
+        elif w == "for" and f.word(k + 1) == ":" and f.named(k + 2) and f.words[k + 3 : k + 5] == [".", "self"] and f.word(k + 5) in (")", ",") and owner(("actor", "protocol")):
+            out.append({"fact": "view", "line": f.line(k), "parent": owner(("actor", "protocol")), "name": f"NavigationDestination({f.words[k + 2]})", "argument": None})
+        elif f.named(k) and before not in ("func", "struct", "class", "enum", "protocol", "actor", "extension", "#"):
+            calls = f.word(k + 1) == "(" and not f.fresh(k + 1)
+            ends_type = before in ("->", "is", "as") or (before == ":" and f.word(k - 3) in ("var", "let")) or (before in ("some", "any"))
+            closure = f.word(k + 1) == "{" and k >= condition and not ends_type and not f.accessors(k + 1)
+            within = owner(("actor", "protocol"))
+            if calls and before == "." and w in ("environment", "environmentObject") and within and (key := f.argument(k + 1)) is not None:
+                out.append({"fact": "injection", "line": f.line(f.chain_start(k)), "parent": within, "argument": key})
+            if viewing and (calls or closure):
+                if w == "ForEach" and before != ".":
+                    end = f.over(k + 1)
+                    while f.word(end) == "{" or (f.named(end) and f.word(end + 1) == ":" and f.word(end + 2) == "{"):
+                        end = f.over(end if f.word(end) == "{" else end + 2)
+                    contexts.append(("ForEach", end))
+                elif w[0].isupper() and within and w not in NO_VIEWS and w != within and not w.endswith(NO_VIEW_ENDINGS):
+                    out.append({"fact": "view", "line": f.line(f.chain_start(k)), "parent": within, "name": w, "argument": " > ".join(c for c, _ in contexts) or None})
+        if w == "{" and emits:
+            scopes.append({"kind": "block", "end": f.mate[k], "name": None, "emits": False, "view": False})
+        k += 1
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from symloom.sources.declarations import declarations, scoped_tokens
+from symloom.sources.members import declarations, facts
 
 VERSIONS = "projectId long, filePath string, content string"
 
@@ -41,7 +41,7 @@ def changed_versions(stream: DataFrame) -> DataFrame:
 
 
 def follow(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Write the declarations of changed files below ``table``, a folder per batch, until the source is drained.
+    """Write the facts of changed files (``members.facts``) below ``table``, a folder per batch, until the source is drained.
 
     A batch that is run again overwrites its own folder. ``current`` reads the newest state.
     """
@@ -49,15 +49,21 @@ def follow(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         files = batch.select("projectId", "filePath").distinct()
-        found = files.join(declarations(scoped_tokens(batch)), ["projectId", "filePath"], "left")
+        found = files.join(facts(batch), ["projectId", "filePath"], "left")
         found.write.mode("overwrite").parquet(f"{table}/batch={number}")
         batch.unpersist()
 
     return changed_versions(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str) -> DataFrame:
-    """The declarations of each file by its newest batch; a file emptied of declarations has none."""
+def current_facts(spark: SparkSession, table: str) -> DataFrame:
+    """The facts of each file by its newest batch, from which ``members`` makes symbols, edges and the tables
+    of wrappers, keys and injections; a file emptied of facts has none."""
     rows = spark.read.option("basePath", table).parquet(table)
     newest = rows.groupBy("projectId", "filePath").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["projectId", "filePath", "batch"]).where("kind IS NOT NULL").drop("batch")
+    return rows.join(newest, ["projectId", "filePath", "batch"]).where("fact IS NOT NULL").drop("batch")
+
+
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The declarations of each file by its newest batch; a file emptied of declarations has none."""
+    return declarations(current_facts(spark, table))
