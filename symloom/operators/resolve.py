@@ -167,3 +167,19 @@ def compiler_edges(symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
     ends = pair.select("kind", F.when(turned, F.col("other")).otherwise(F.col("symbolUSR")).alias("a"), F.when(turned, F.col("symbolUSR")).otherwise(F.col("other")).alias("b"))
     met = ends.join(ids.select(F.col("usr").alias("a"), F.col("id").alias("sourceId")), "a").join(ids.select(F.col("usr").alias("b"), F.col("id").alias("targetId")), "b")
     return met.where("sourceId <> targetId").select("sourceId", "targetId", "kind", F.lit("indexStore").alias("metadata")).distinct()
+
+
+def fill_receivers(calls: DataFrame, symbols: DataFrame, contains: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """``calls`` whose null receivers are filled from a compiler's call occurrences of the same file, line and
+    simple callee name: with the type that contains the called symbol, found by its usr.
+
+    Of several occurrences at a place the greatest usr counts, of several types the least name. The
+    ``call_edges`` of the result that no edge links yet are the further edges.
+    """
+    called = occurrences.where(F.array_contains("roles", "call") & F.exists("relations", lambda r: F.array_contains(r["roles"], "calledBy")))
+    places = called.groupBy("filePath", "line", F.substring_index("symbolName", "(", 1).alias("callee")).agg(F.max("symbolUSR").alias("usr"))
+    ids = symbols.where("usr IS NOT NULL").groupBy("usr").agg(F.min("id").alias("targetId"))
+    types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("sourceId"), F.col("name").alias("_receiver"))
+    owners = contains.select("sourceId", "targetId").join(types, "sourceId").groupBy("targetId").agg(F.min("_receiver").alias("_receiver"))
+    known = places.join(ids, "usr").join(owners, "targetId").select("filePath", "line", "callee", "_receiver")
+    return calls.join(known, ["filePath", "line", "callee"], "left").withColumn("receiver", F.coalesce("receiver", "_receiver")).select(*calls.columns)

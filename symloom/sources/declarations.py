@@ -120,26 +120,62 @@ def imports(scoped: DataFrame) -> DataFrame:
     return scoped.where("token = 'import' AND next IS NOT NULL AND level = 0").select("projectId", "filePath", F.col("next").alias("module"), (F.coalesce("prev", F.lit("")) == "@testable").alias("testable"), "line")
 
 
+def _annotated_locals(bodied: DataFrame) -> DataFrame:
+    """(projectId, filePath, body_line, part, name, pos, type): each binding of a local ``var`` or ``let`` that has
+    a type, in the words of its source; bindings of conditions and patterns are none."""
+    file = Window.partitionBy("projectId", "filePath").orderBy("pos")
+    token = F.col("token")
+    opener = F.struct("token", "piece", "round", F.coalesce(F.col("prev").isin("if", "guard", "while", "case", "for", ","), F.lit(False)).alias("condition"))
+    last = F.last(F.when(token.isin("let", "var", "case"), opener), ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, -1))
+    led = bodied.withColumn("led", last)
+    binds = token.rlike(r"^`?[\p{L}_]") & (F.col("next") == ":") & F.col("prev").isin("let", "var", ",") & F.col("led.token").isin("let", "var") & (F.col("led.piece") == F.col("piece")) & (F.col("led.round") == F.col("round")) & ~F.col("led.condition") & F.col("body").isNotNull()
+    name = F.when(binds, F.struct(F.regexp_replace("token", "`", "").alias("name"), "pos", "round", "part", F.col("body.line").alias("body_line")))
+    held = led.withColumn("local", F.last(name, ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, 0))).where("local IS NOT NULL")
+    # The type goes on to a sign that ends it in no bracket, or to a line that doesn't continue it.
+    own = Window.partitionBy("projectId", "filePath", "local.pos").orderBy("pos")
+    angle = F.sum(F.when(token == "<", 1).when(token == ">", -1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    level = held.withColumn("angle", angle).withColumn("row", F.row_number().over(own)).withColumn("line_before", F.lag("line").over(own)).withColumn("end_before", F.lag(F.col("start") + F.length("token")).over(own))
+    outside = (F.col("round") == F.col("local.round")) & (F.col("angle") == 0)
+    breaks = outside & (F.col("line") != F.col("line_before")) & ~F.col("prev").isin("->", "&", ".", ":", "some", "any") & ~token.isin("->", "&", ".")
+    ends = (F.col("row") > 2) & ((outside & token.isin("=", ",", "{", "}", ";")) | (F.col("round") < F.col("local.round")) | breaks)
+    inside = level.withColumn("ended", F.coalesce(F.sum(ends.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).where("ended = 0 AND row > 2")
+    spaced = F.concat(F.when((F.col("row") > 3) & (F.col("start") > F.col("end_before")), " ").otherwise(""), "token")
+    words = inside.groupBy("projectId", "filePath", "local").agg(F.sort_array(F.collect_list(F.struct("pos", spaced.alias("word")))).alias("words"))
+    return words.select("projectId", "filePath", "local.body_line", "local.part", "local.name", "local.pos", F.array_join("words.word", "").alias("type"))
+
+
 def calls(scoped: DataFrame) -> DataFrame:
     """(projectId, filePath, caller, caller_line, callee, receiver, call_kind, line) of each call in a function.
 
-    A capital callee makes an instance: its callee is ``init``. Of longer chains the word before the
-    last dot is the receiver; it is null where that is no name. Functions inside functions belong
-    to the outermost one.
+    A capital callee makes an instance: its callee is ``init``. A call on a local has the type that the
+    last annotation of that name before it gives, without ``?`` and ``!``; a function's beginning or end
+    forgets annotations. ``Type.m()`` and ``Type.x.m()`` are static calls on Type; other chains have
+    no receiver. Functions inside functions belong to the outermost one.
     """
     file = Window.partitionBy("projectId", "filePath").orderBy("pos")
-    wide = scoped.withColumn("before", F.lag("token", 2).over(file))
-    sites = _with_body(wide, "function", "initializer").where("body IS NOT NULL").where(F.col("token").rlike(r"^[\p{L}_]") & (F.col("next") == "(") & ~F.col("token").isin(*NO_CALLS) & (F.coalesce("prev", F.lit("")) != "func"))
-    member, upper = F.coalesce(F.col("prev") == ".", F.lit(False)), F.col("token").rlike(r"^\p{Lu}")
-    on = F.when(member & F.col("before").rlike(r"^[\p{L}_]"), F.col("before"))
+    function = ("function", "initializer")
+    bound = F.coalesce(F.col("head.kind").isin(*function), F.lit(False)) | F.coalesce((F.col("token") == "}") & F.col("scope.kind").isin(*function), F.lit(False))
+    back = {f"back{i}": F.lag("token", i).over(file) for i in (2, 3, 4, 5)}
+    wide = scoped.withColumns({"part": F.sum(bound.cast("int")).over(file.rowsBetween(Window.unboundedPreceding, 0)), **back})
+    bodied = _with_body(wide, *function)
+    sites = bodied.where("body IS NOT NULL").where(F.col("token").rlike(r"^[\p{L}_]") & (F.col("next") == "(") & ~F.col("token").isin(*NO_CALLS) & (F.coalesce("prev", F.lit("")) != "func"))
+    dot = lambda c: F.coalesce(F.col(c) == ".", F.lit(False))
+    member, upper = dot("prev"), F.col("token").rlike(r"^\p{Lu}")
+    on = F.when(member & ~dot("back3") & F.col("back2").rlike(r"^`?[\p{L}_]"), F.regexp_replace("back2", "`", ""))
+    owner = F.when(on.rlike(r"^\p{Lu}") & (on != "Self"), on).when(member & dot("back3") & ~dot("back5") & F.col("back2").rlike(r"^[\p{L}_]") & F.col("back4").rlike(r"^\p{Lu}"), F.col("back4"))
     typed = F.col("body.type").isNotNull()
     kind = (
-        F.when(member & on.isin("self", "Self"), "selfCall").when(member & (on == "super"), "superCall").when(member & on.rlike(r"^\p{Lu}"), "staticCall").when(member, "instanceCall")
+        F.when(member & on.isin("self", "Self"), "selfCall").when(member & (on == "super"), "superCall").when(member & owner.isNotNull(), "staticCall").when(member, "instanceCall")
         .when(upper, "initCall").when(typed, "selfCall").otherwise("freeCall")
     )
-    receiver = F.when(kind == "staticCall", on).when(~member & upper, F.col("token")).when(kind == "selfCall", F.col("body.type"))
+    receiver = F.when(kind == "staticCall", owner).when(~member & upper, F.col("token")).when(kind == "selfCall", F.col("body.type"))
     callee = F.when(~member & upper, "init").otherwise(F.col("token"))
-    return sites.select("projectId", "filePath", F.col("body.name").alias("caller"), F.col("body.line").alias("caller_line"), callee.alias("callee"), receiver.alias("receiver"), kind.alias("call_kind"), "line")
+    found = sites.select("projectId", "filePath", F.col("body.line").alias("body_line"), "part", F.when(kind == "instanceCall", on).alias("name"), "pos", F.col("body.name").alias("caller"), callee.alias("callee"), receiver.alias("receiver"), kind.alias("call_kind"), "line")
+    events = found.unionByName(_annotated_locals(bodied), allowMissingColumns=True)
+    earlier = Window.partitionBy("projectId", "filePath", "body_line", "part", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    local = F.regexp_replace(F.last("type", ignorenulls=True).over(earlier), "[?!]", "")
+    known = events.withColumn("receiver", F.when((F.col("call_kind") == "instanceCall") & F.col("name").isNotNull(), local).otherwise(F.col("receiver")))
+    return known.where("callee IS NOT NULL").select("projectId", "filePath", "caller", F.col("body_line").alias("caller_line"), "callee", "receiver", "call_kind", "line")
 
 
 def type_references(scoped: DataFrame) -> DataFrame:
