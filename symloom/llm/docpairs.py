@@ -1,10 +1,10 @@
 """Functions paired with their documentation.
 
 Comment spans and declaration spans are found independently of each other: comments by lexing the
-files and from the index's own record of them, declarations from the index. Ordered by position, a
-function takes the nearest comment before it unless a statement or another declaration stands
-between. What a comment says beyond name, signature, markup and set phrases decides whether the
-pair is kept.
+files, declarations from the index. Ordered by position, a function takes the nearest comment before
+it unless a statement or another declaration stands between; only where there is no file to lex does
+the index's own record of the comment count. What a comment says beyond name, signature, markup and
+set phrases decides whether the pair is kept.
 """
 
 from __future__ import annotations
@@ -85,11 +85,12 @@ def spans(text: str) -> list[tuple[str, int, str | None]]:
 
 
 def source_spans(sources: DataFrame) -> DataFrame:
-    """(projectId, filePath, what, line, text) of each distinct file with content."""
+    """(projectId, filePath, what, line, text) of each distinct file with content, whose first row has the
+    line -1 and says ``file``."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(p, f, *s) for p, f, t in zip(batch["projectId"], batch["filePath"], batch["content"], strict=True) for s in spans(t)]
+            found = [(p, f, *s) for p, f, t in zip(batch["projectId"], batch["filePath"], batch["content"], strict=True) for s in (("file", -1, None), *spans(t))]
             yield pd.DataFrame(found, columns=["projectId", "filePath", "what", "line", "text"])
 
     files = sources.where("content IS NOT NULL AND filePath IS NOT NULL AND projectId IS NOT NULL").select("projectId", "filePath", "content")
@@ -122,39 +123,42 @@ def informative(text: Column, name: Column, signature: Column) -> Column:
 
 
 def function_comments(symbols: DataFrame, sources: DataFrame) -> DataFrame:
-    """(symbol_id, name, signature, documentation) of each function or initializer, each id once, with
-    the nearest comment before it that nothing intervenes; documentation is null where there is none.
-
-    A symbol without a line stands before all others of its file; one without a file has only the
-    comment recorded with it. Symbols without an id are left out.
+    """(symbol_id, name, signature, documentation, origin) of each function or initializer, each id once.
+
+    Where the file has content, the documentation is the nearest doc comment lexed from it that ends
+    before the function, unless a statement or another declaration of the index stands between; null
+    where there is none, and ``origin`` is ``comment``. Where the file has no content, or the symbol
+    no file or line, there is nothing to pair with, so the text that the index recorded stands in,
+    with the ``origin`` ``record``. Symbols without an id are left out; of several rows of an id the
+    greatest counts.
     """
-    index = symbols.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("projectId", "filePath", "line", "column", "kind", "name", "signature", "documentation")).alias("s")).select("id", "s.*")
-    place = [
-        F.coalesce("projectId", F.lit(-1)).alias("project"),
-        F.coalesce("filePath", F.concat(F.lit("symbol:"), F.col("id").cast("string"))).alias("file"),
-        F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("column", F.lit(0)).alias("column"), "id",
-    ]
-    none, is_function = F.lit(None).cast("string"), F.col("kind").isin("function", "initializer")
-    comment = F.struct(F.lit(0).alias("rank"), F.lit("comment").alias("event"), F.col("documentation").alias("text"))
-    function = F.struct(F.lit(1).alias("rank"), none.alias("event"), none.alias("text"))
-    barrier = F.struct(F.lit(2).alias("rank"), F.lit("code").alias("event"), none.alias("text"))
-    own = index.select(
-        *place, F.when(is_function, F.struct("name", "signature")).alias("function"),
-        F.explode(F.array_compact(F.array(F.when(F.col("documentation").isNotNull(), comment), F.when(is_function, function), barrier))).alias("e"),
-    ).select("project", "file", "line", "column", "id", "e.rank", "e.event", "e.text", F.when(F.col("e.rank") == 1, F.col("function")).alias("function"))
+    is_function = F.col("kind").isin("function", "initializer")
+    # Of other declarations only the place is needed.
+    texts = [F.when(is_function, F.col(c)).alias(c) for c in ("name", "signature", "documentation")]
+    index = symbols.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("projectId", "filePath", "line", "column", "kind", *texts)).alias("s")).select("id", "s.*")
+    placed = F.col("filePath").isNotNull() & F.col("line").isNotNull() & F.col("projectId").isNotNull()
+    function = F.struct("id", "name", "signature", "documentation")
+    nowhere = index.where(is_function & ~placed).select(F.col("id").alias("symbol_id"), "name", "signature", "documentation", F.lit("record").alias("origin"))
+    # A declaration comes before what follows it at its place: rank 1 asks, and then rank 2 stands between.
+    own = index.where(placed).select(
+        F.col("projectId").alias("project"), F.col("filePath").alias("file"), "line", F.coalesce("column", F.lit(0)).alias("column"), F.lit(2).alias("rank"),
+        F.lit("code").alias("event"), F.lit(None).cast("string").alias("text"), F.when(is_function, function).alias("function"),
+    )
     # A statement stands between a comment and the declarations of later lines only.
+    code = F.col("what") == "code"
     lexed = source_spans(sources).select(
-        F.col("projectId").alias("project"), F.col("filePath").alias("file"),
-        F.when(F.col("what") == "code", F.col("line") + 1).otherwise(F.col("line")).alias("line"),
-        F.when(F.col("what") == "code", F.lit(-1)).otherwise(F.lit(1 << 30)).alias("column"),
-        F.lit(-1).cast("long").alias("id"), F.lit(0).alias("rank"), F.col("what").alias("event"), "text",
-        F.lit(None).cast("struct<name:string,signature:string>").alias("function"),
+        F.col("projectId").alias("project"), F.col("filePath").alias("file"), F.when(code, F.col("line") + 1).otherwise(F.col("line")).alias("line"),
+        F.when(code, -1).when(F.col("what") == "file", -2).otherwise(1 << 30).alias("column"), F.lit(0).alias("rank"), F.col("what").alias("event"), "text", F.lit(None).cast(own.schema["function"].dataType).alias("function"),
     )
-    before = Window.partitionBy("project", "file").orderBy("line", "column", "id", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    nearest = own.unionByName(lexed).withColumn("last", F.last(F.when(F.col("event").isNotNull(), F.struct("event", "text")), ignorenulls=True).over(before))
-    return nearest.where("rank = 1").select(
-        F.col("id").alias("symbol_id"), "function.name", "function.signature", F.when(F.col("last.event") == "comment", F.col("last.text")).alias("documentation")
-    )
+    before = Window.partitionBy("project", "file").orderBy("line", "column", "rank", "function.id").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = own.unionByName(lexed).select(
+        "function", F.last(F.struct("event", "text")).over(before).alias("last"), F.coalesce(F.max(F.col("event") == "file").over(before), F.lit(False)).alias("has_text"),
+    ).where("function IS NOT NULL")
+    found = F.when(F.col("last.event") == "comment", F.col("last.text"))
+    return nearest.select(
+        F.col("function.id").alias("symbol_id"), "function.name", "function.signature", F.when(F.col("has_text"), found).otherwise(F.col("function.documentation")).alias("documentation"),
+        F.when(F.col("has_text"), "comment").otherwise("record").alias("origin"),
+    ).unionByName(nowhere)
 
 
 def described_functions(symbols: DataFrame, sources: DataFrame) -> DataFrame:

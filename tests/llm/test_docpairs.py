@@ -64,3 +64,14 @@ def test_very_long_documentation(rows):
     df = rows([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.got for r in df.select("i", informative(F.col("t"), F.lit("f"), F.lit("()")).alias("got")).collect()}
     assert got[2] and not got[1] and not got[7]
+
+
+def test_the_file_counts_where_it_has_content(rows, spark):
+    symbols = [sym(1, line=2, name="a", doc="Recorded long before the file."), sym(2, line=3, name="b", doc="Recorded for a bare function."), sym(3, line=None, name="c", doc="Recorded without any line.")]
+    files = [(1, "/a.swift", "/// Opens the gate for all.\nfunc a() { }\nfunc b() { }\n", "x")]
+    with_file = function_comments(rows(symbols, SYMBOLS), rows(files, FILES)).select("symbol_id", "documentation", "origin")
+    assert as_set(with_file) == {(1, "Opens the gate for all.", "comment"), (2, None, "comment"), (3, "Recorded without any line.", "record")}
+    without = function_comments(rows(symbols, SYMBOLS), spark.createDataFrame([], FILES)).select("symbol_id", "documentation", "origin")
+    assert as_set(without) == {(i, d, "record") for i, *_, d, _, _ in symbols}
+    assert as_set(described_functions(rows(symbols, SYMBOLS), rows(files, FILES)).select("symbol_id")) == {(1,), (3,)}
+    assert as_set(described_functions(rows(symbols, SYMBOLS), spark.createDataFrame([], FILES)).select("symbol_id")) == {(1,), (2,), (3,)}
