@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm.docpairs import described_functions
-from symloom.llm.handwritten import foreign_files
+from symloom.llm.handwritten import EVIDENCE, file_evidence, foreign_files
 from symloom.llm.leakage import leaked_items, leaks
 from symloom.llm.spans import shared_characters, sharing_pairs
 from symloom.llm.tokens import default_vocabulary, encode_documents, token_ids, token_text
@@ -27,6 +27,12 @@ def p1_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return _foreign(spark, folder).groupBy("reason").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def p1_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Files by what each kind of evidence says of them, those of which nothing is said included."""
+    found = file_evidence(*(table(spark, folder, t) for t in ("symbols", "source_files", "projects")))
+    return found.groupBy(*EVIDENCE).agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p1_handwritten_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """The symbols of hand-written files, each once."""
     symbols = table(spark, folder, "symbols").select("id", "projectId", "qualifiedName", "filePath").distinct()
@@ -70,7 +76,7 @@ def p8_shared(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_reasons": p1_reasons, "p1_handwritten_symbols": p1_handwritten_symbols,
+    "p1_found": p1_found, "p1_reasons": p1_reasons, "p1_evidence": p1_evidence, "p1_handwritten_symbols": p1_handwritten_symbols,
     "p5_found": p5_found, "p5_pairs": p5_pairs,
     "p6_ids": p6_ids, "p6_round_trip": p6_round_trip,
     "p7_found": p7_found, "p7_items": p7_items,

@@ -1,10 +1,12 @@
 """Which files are hand-written source of their project.
 
-Each file is lexed and re-emitted in a canonical layout: one statement a line, one brace a line.
-Against the original, extreme expansion marks minified code; statements of one perfectly uniform
-shape mark tool output; literals that make up nearly all of the code mark data. The comment the
-file opens with, its path, and, where there is no content, its rows in symbols are the other
-evidence.
+Each file is lexed and re-emitted in a canonical layout: one statement a line, a brace ends its line
+or stands alone, one space between tokens. Against the original, extreme expansion marks minified
+code; statements of one perfectly uniform shape mark tool output; literals that make up nearly all
+of the code mark data. A canonical text that several projects hold is a copy of something that
+none of them wrote. What layout and text can't tell (a tool that writes like a person, a library
+that one project took in) is left to the comment that the file opens with, to its path, and, where
+there is no content, to its rows in symbols.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXPANSION = 4.0  # canonical lines per original line
+EXPANSION = 4.0  # canonical lines per original line with code
+COPIES = 3  # projects that hold a text before it counts as a copy: of two, either may be its author
 LITERALS = 0.65  # share of the code's characters
 UNIFORM = 0.75  # share of statements that have the shape of the one a fixed number of statements on
 FEWEST = 8  # statements, or symbols, below which layout says nothing
@@ -26,16 +30,12 @@ FEWEST = 8  # statements, or symbols, below which layout says nothing
 VENDOR_FOLDERS = (".build", "carthage", "checkouts", "deps", "external", "node_modules", "pods", "sourcepackages", "submodules", "third_party", "third-party", "thirdparty", "vendor", "vendored")
 TOOL_FOLDERS = ("autogen", "codegen-output", "deriveddata", "derivedsources", "generated", "generatedmocks", "generatedsources", "__generated__")
 TOOL_ENDINGS = (".g", ".gen", ".generated", ".graphql", ".grpc", ".min", ".pb", "_generated", "+generated", "-generated")
-# Wordings of opening comments, in lower case.
-TOOL_PHRASES = (
-    r"@generated\b", r"<auto-?generated", r"\bauto-?generated\b", r"\b(code|file) (is )?generated by\b", r"\bgenerated (by|from|with|using)\b", r"\bmachine[- ](written|generated)\b",
-    r"\bdo not (edit|modify|change)\b", r"\bproduced by \S+ from\b", r"\boutput of \S+, template\b", r"\brebuilt on every build\b", r"\bedit the \S+ instead\b", r"\bregenerate with\b",
-    r"\bany changes? will be (lost|overwritten)\b", r"\bautomatisch (erzeugt|generiert)\b", r"\b(produit|généré) automatiquement\b", r"\bgenerado automáticamente\b", r"自動生成", r"\bswift-format-ignore-file\b",
-)
-VENDOR_PHRASES = (
-    r"\bvendored( from)?\b\s*:", r"\bvendored from\b", r"\bcopied from \S+ v?\d+(\.\d+)*", r"^\s*upstream\s*:", r"\bupstream repository\b", r"\blocal patches are lost\b", r"\bkeep in sync with upstream\b",
-    r"\bsnapshot of \S+\. report problems to\b", r"\breleased by the .{1,80} contributors\b", r"\blicen[cs]e-\S+", r"\bunder the terms in licen[cs]e",
+# Marks that tools and people put into opening comments, in lower case.
+TOOL_MARKS = (
+    r"@generated\b", r"\bauto-?generated\b", r"\bmachine[- ](written|generated|made)\b", r"\bgenerated (by|from|with|using)\b", r"\bregenerated?\b", r"\bdo not (edit|modify|change)\b", r"\bproduced by\b", r"\boutput of\b",
+    r"\bautomati\w+ (erzeugt|generiert|erstellt)\b", r"\b(produit|généré|créé) automatiquement\b", r"\b(generado|creado) automáticamente\b", r"自動生成", r"\bswift-format-ignore-file\b",
 )
+VENDOR_MARKS = (r"\bvendored\b", r"\bupstream\b", r"\b(copied|copy|snapshot|forked|fork|mirror) (from|of)\b", r"\bthird[- ]party\b", r"\bby the .{1,80} (contributors|authors)\b", r"\bspdx-license-identifier\b", r"\blicen[cs]ed under\b")
 
 _TOKEN = regex.compile(
     r"""(?P<comment>//[^\r\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)
@@ -91,77 +91,108 @@ def uniformity(shapes: list[str]) -> float:
     return float((same[1:] / (n - np.arange(1, most + 1))).max())
 
 
-def layout(text: str) -> dict:
-    """Figures of one file's original and canonical layout."""
+def reemit(text: str) -> dict:
+    """One file in canonical layout, and what its original has: ``lines`` (brace depth, canonical line),
+    the ``shapes`` of its statements, the ``head`` comments, and counts of original lines that hold
+    code, of characters of code and of those in literals."""
     head: list[str] = []
+    lines: list[tuple[int, str]] = []
     shapes: list[str] = []
+    words: list[str] = []
     shape: list[str] = []
-    code = literal = brackets = lines = 0
+    code = literal = brackets = original = depth = 0
     fresh = True
 
     def emit() -> None:
         if shape:
             shapes.append(_bend(shape))
             shape.clear()
+        if words:
+            lines.append((depth, " ".join(words)))
+            words.clear()
 
     for match in _TOKEN.finditer(text):
         kind, token = match.lastgroup, match.group()
+        if kind == "space":
+            continue
         if kind == "comment":
             if not code and not token.startswith("///"):
                 head.append(token)
             continue
-        if kind == "space":
-            continue
         if kind == "line":
             fresh = True
             if not brackets:
                 emit()
             continue
         if fresh:
-            lines, fresh = lines + 1, False
+            original, fresh = original + 1, False
         code += len(token)
         if kind in ("string", "number"):
             literal += len(token)
-            lines += token.count("\n")
+            original += token.count("\n")
+            words.append(token)
             shape.append("S" if kind == "string" else "0")
         elif kind == "word":
-            if token in _ACCESS:
-                continue
-            shape.append(token if token in _KEYWORDS else "T" if token[0].isupper() else "i")
-        elif token in "{};":
+            words.append(token)
+            if token not in _ACCESS:
+                shape.append(token if token in _KEYWORDS else "T" if token[0].isupper() else "i")
+        elif token == ";":
+            emit()
+        elif token == "{":
+            words.append(token)
             emit()
+            depth += 1
+        elif token == "}":
+            emit()
+            depth = max(0, depth - 1)
+            lines.append((depth, token))
         else:
+            words.append(token)
             brackets = max(0, brackets + (token in "([") - (token in ")]"))
-            if token == "," and shape and shape[-1] in "S0":  # one literal a line
+            if token == "," and shape and shape[-1] in "S0":  # a comma between literals is part of the data
                 literal += 1
                 continue
             if shape and shape[-1] in "S0" and token in "S0":
                 continue
             shape.append(token)
     emit()
-    statements = [x for x in shapes if not x.startswith(("import", "i import"))]
-    n = len(statements)
+    return {"head": head, "lines": lines, "shapes": shapes, "original": original, "code": code, "literal": literal}
+
+
+def canonical(text: str) -> str:
+    """The canonical layout of a file as text; it is its own canonical layout."""
+    return "\n".join("    " * depth + line for depth, line in reemit(text)["lines"])
+
+
+def layout(text: str) -> dict:
+    """Figures that compare one file's original with its canonical layout."""
+    new = reemit(text)
+    statements = [x for x in new["shapes"] if not x.startswith(("import", "i import"))]
+    n, original, code = len(statements), new["original"], new["code"]
+    digest = xxhash.xxh3_64_intdigest("\n".join(line for _, line in new["lines"]).encode("utf-8", "surrogatepass"))
     return {
-        "head": regex.sub(r"[\s*/]+", " ", " ".join(head)).strip().lower(),
+        "head": regex.sub(r"[\s*/]+", " ", " ".join(new["head"])).strip().lower(),
         "n_statements": n,
-        "expansion": len(shapes) / lines if lines else 0.0,
-        "literals": literal / code if code else 0.0,
+        "expansion": len(new["lines"]) / original if original else 0.0,
+        "literals": new["literal"] / code if code else 0.0,
         "uniform": uniformity(statements),
+        "digest": digest - (1 << 63),
     }
 
 
-FIGURES = "file_path string, head string, n_statements int, expansion double, literals double, uniform double"
+FIGURES = "project_id long, file_path string, head string, n_statements int, expansion double, literals double, uniform double, digest long"
 
 
 def layouts(sources: DataFrame) -> DataFrame:
     """The figures of each row of source_files that has a path and content."""
+    names = ["head", "n_statements", "expansion", "literals", "uniform", "digest"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            figures = pd.DataFrame([layout(t) for t in batch["content"]], index=batch.index, columns=["head", "n_statements", "expansion", "literals", "uniform"])
-            yield pd.concat([batch[["file_path"]], figures], axis=1)
+            figures = pd.DataFrame([layout(t) for t in batch["content"]], index=batch.index, columns=names)
+            yield pd.concat([batch[["project_id", "file_path"]], figures], axis=1)
 
-    return sources.where("filePath IS NOT NULL AND content IS NOT NULL").select(F.col("filePath").alias("file_path"), "content").mapInPandas(rows, FIGURES)
+    return sources.where("filePath IS NOT NULL AND content IS NOT NULL").select(F.col("projectId").alias("project_id"), F.col("filePath").alias("file_path"), "content").mapInPandas(rows, FIGURES)
 
 
 def _says(column: str, phrases: tuple[str, ...]) -> Column:
@@ -180,39 +211,47 @@ def path_reason(path: Column, root: Column) -> Column:
     return F.when(F.arrays_overlap(folders, F.array(*map(F.lit, VENDOR_FOLDERS))), "vendored").when(tool, "generated")
 
 
-def foreign_files(symbols: DataFrame, sources: DataFrame, projects: DataFrame) -> DataFrame:
-    """(file_path, reason) of each distinct filePath of ``symbols`` that isn't hand-written.
+def file_evidence(symbols: DataFrame, sources: DataFrame, projects: DataFrame) -> DataFrame:
+    """(file_path, layout, copy, comment, path, rows) of each distinct filePath of ``symbols``: what each kind
+    of evidence says of it, null where it says nothing.
 
-    Path, opening comment and layout are asked in this order. A file without content, or with a
-    null or empty one, is judged by its path and by its rows in symbols: very many on a line are
-    minified, names that nearly all end in a number are generated. Rows without a path name no
-    file. If a path has several contents, any of them decides. Repeated rows change nothing.
+    ``rows`` is asked only of a file without code (content null, empty or missing): very many
+    symbols on a line are minified, names that nearly all end in a number are generated. Rows
+    without a path name no file. If a path has several contents, any of them decides. Repeated
+    rows change nothing.
     """
-    by_file = (
-        symbols.where("filePath IS NOT NULL").groupBy(F.col("filePath").alias("file_path"))
-        .agg(
-            F.min("projectId").alias("projectId"),
-            F.count_distinct(F.when(F.col("kind") != "file", F.struct("line", "column", "name"))).alias("n_symbols"),
-            F.count_distinct(F.when(F.col("kind") != "file", F.col("line"))).alias("n_lines"),
-            F.count_distinct(F.when((F.col("kind") != "file") & F.col("name").rlike("[0-9]$"), F.struct("line", "column", "name"))).alias("n_numbered"),
-        )
+    inner = F.col("kind") != "file"
+    place = F.struct("line", "column", "name")
+    # Distinct places once; what is counted per file is combined map-side.
+    places = symbols.where("filePath IS NOT NULL").groupBy(F.col("filePath").alias("file_path"), F.when(inner, F.col("line")).alias("line"), F.when(inner, place).alias("place")).agg(F.min("projectId").alias("project_id"))
+    by_line = places.groupBy("file_path", "line").agg(F.min("project_id").alias("project_id"), F.count("place").alias("n"), F.count(F.when(F.col("place.name").rlike("[0-9]$"), 1)).alias("n_numbered"))
+    by_file = by_line.groupBy("file_path").agg(F.min("project_id").alias("project_id"), F.sum("n").alias("n_symbols"), F.count(F.when(F.col("n") > 0, F.col("line"))).alias("n_lines"), F.sum("n_numbered").alias("n_numbered"))
+    roots = projects.where("id IS NOT NULL").groupBy(F.col("id").alias("project_id")).agg(F.min("rootPath").alias("root"))
+    figures = layouts(sources)
+    long = F.col("n_statements") >= FEWEST
+    read = figures.groupBy("file_path").agg(
+        F.max(_says("head", TOOL_MARKS)).alias("tool"), F.max(_says("head", VENDOR_MARKS)).alias("vendor"), F.max((F.col("expansion") >= EXPANSION) & long).alias("minified"),
+        F.max(F.col("literals") >= LITERALS).alias("data"), F.max((F.col("uniform") >= UNIFORM) & long).alias("regular"), F.max(F.col("n_statements") > 0).alias("has_code"),
+        F.max(F.when(long, F.struct("digest", "project_id"))).alias("text"),
     )
-    roots = projects.where("id IS NOT NULL").groupBy(F.col("id").alias("projectId")).agg(F.min("rootPath").alias("root"))
-    head = _says("head", TOOL_PHRASES).cast("int")
-    vendor = _says("head", VENDOR_PHRASES).cast("int")
-    read = layouts(sources).select(
-        "file_path", head.alias("tool"), vendor.alias("vendor"),
-        ((F.col("expansion") >= EXPANSION) & (F.col("n_statements") >= FEWEST)).cast("int").alias("minified"),
-        (F.col("literals") >= LITERALS).cast("int").alias("data"),
-        ((F.col("uniform") >= UNIFORM) & (F.col("n_statements") >= FEWEST)).cast("int").alias("regular"),
-        (F.col("n_statements") > 0).cast("int").alias("has_code"),
-    ).groupBy("file_path").agg(*[F.max(c).alias(c) for c in ("tool", "vendor", "minified", "data", "regular", "has_code")])
-    blind = F.coalesce("has_code", F.lit(0)) == 0
-    reason = F.coalesce(
-        path_reason(F.col("file_path"), F.coalesce("root", F.lit(""))),
-        F.when(F.col("vendor") == 1, "vendored").when(F.col("tool") == 1, "generated"),
-        F.when(F.col("minified") == 1, "minified").when(F.col("data") == 1, "data").when(F.col("regular") == 1, "generated"),
-        F.when(blind & (F.col("n_symbols") >= FEWEST) & (F.col("n_symbols") >= 4 * F.col("n_lines")), "minified")
-        .when(blind & (F.col("n_symbols") >= FEWEST) & (F.col("n_numbered") >= UNIFORM * F.col("n_symbols")), "generated"),
+    # Holders of a text by project first, so that a text all projects hold is one row per project.
+    holders = read.where("text.project_id IS NOT NULL").select("text.digest", "text.project_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n_projects")).where(F.col("n_projects") >= COPIES)
+    read = read.withColumn("digest", F.col("text.digest")).join(holders, "digest", "left")
+    blind = ~F.coalesce("has_code", F.lit(False)) & (F.col("n_symbols") >= FEWEST)
+    return by_file.join(roots, "project_id", "left").join(read, "file_path", "left").select(
+        "file_path",
+        F.when(F.col("minified"), "minified").when(F.col("data"), "data").when(F.col("regular"), "generated").alias("layout"),
+        F.when(F.col("n_projects").isNotNull(), "vendored").alias("copy"),
+        F.when(F.col("vendor"), "vendored").when(F.col("tool"), "generated").alias("comment"),
+        path_reason(F.col("file_path"), F.coalesce("root", F.lit(""))).alias("path"),
+        F.when(blind & (F.col("n_symbols") >= 4 * F.col("n_lines")), "minified").when(blind & (F.col("n_numbered") >= UNIFORM * F.col("n_symbols")), "generated").alias("rows"),
     )
-    return by_file.join(roots, "projectId", "left").join(read, "file_path", "left").select("file_path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+EVIDENCE = ("layout", "copy", "comment", "path", "rows")
+
+
+def foreign_files(symbols: DataFrame, sources: DataFrame, projects: DataFrame) -> DataFrame:
+    """(file_path, reason) of each distinct filePath of ``symbols`` that isn't hand-written: ``minified``,
+    ``data``, ``generated`` or ``vendored`` by the first ``EVIDENCE`` that says so (``file_evidence``)."""
+    return file_evidence(symbols, sources, projects).select("file_path", F.coalesce(*EVIDENCE).alias("reason")).where("reason IS NOT NULL")
