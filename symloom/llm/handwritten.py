@@ -11,19 +11,23 @@ there is no content, to its rows in symbols.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symloom.session import cut
+
 EXPANSION = 4.0  # canonical lines per original line with code
 COPIES = 3  # projects that hold a text before it counts as a copy: of two, either may be its author
 LITERALS = 0.65  # share of the code's characters
 UNIFORM = 0.75  # share of statements that have the shape of the one a fixed number of statements on
+SHORT = 200  # characters of a shape that is worth remembering
 FEWEST = 8  # statements, or symbols, below which layout says nothing
 
 # Folders and file endings that by convention hold what people didn't write there.
@@ -37,25 +41,25 @@ TOOL_MARKS = (
 )
 VENDOR_MARKS = (r"\bvendored\b", r"\bupstream\b", r"\b(copied|copy|snapshot|forked|fork|mirror) (from|of)\b", r"\bthird[- ]party\b", r"\bby the .{1,80} (contributors|authors)\b", r"\bspdx-license-identifier\b", r"\blicen[cs]ed under\b")
 
-_TOKEN = regex.compile(
-    r"""(?P<comment>//[^\r\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)
+_TOKEN = re.compile(
+    r"""(?:[^\S\r\n]|\uFEFF)*+(?:
+     (?P<word>(?:[^\W\d]|[$@\#`])[\w$`]*)
+    |(?P<line>\r\n|\r|\n)
+    |(?P<comment>//[^\r\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)
     |(?P<string>\#*\"\"\"(?:[^"\\]|\\.|"(?!""))*+(?:\"\"\"\#*)?|\#*"(?:[^"\\\r\n]|\\.)*+"?\#*)
     |(?P<number>-?(?:0x[0-9A-Fa-f_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?))
-    |(?P<word>[\p{L}_$@\#`][\p{L}\p{N}_$`]*)
-    |(?P<line>\r\n|\r|\n)
-    |(?P<space>[^\S\r\n]+|\uFEFF)
-    |(?P<sign>.)""",
-    regex.VERBOSE | regex.DOTALL,
+    |(?P<sign>\S))""",
+    re.VERBOSE | re.DOTALL,
 )
+_ELEMENTS, _OPTIONALS = re.compile(r"\[ (?:T|i)(?: : (?:T|i))? \]"), re.compile(r"T(?: \?)+")
 _KEYWORDS = frozenset("actor associatedtype async await case class enum extension fileprivate func guard if import in init inout internal let nil open private protocol public return self static struct switch throws var while for else".split())
 _ACCESS = frozenset("public private internal fileprivate open".split())
 
 
-def _bend(shape: list[str]) -> str:
+@lru_cache(maxsize=50_000)
+def _bend(shape: str) -> str:
     """A statement's shape: types in brackets, optionals and argument lists don't tell it apart."""
-    text = " ".join(shape)
-    text = regex.sub(r"\[ (?:T|i)(?: : (?:T|i))? \]", "T", text)
-    return regex.sub(r"T(?: \?)+", "T", text)
+    return _OPTIONALS.sub("T", _ELEMENTS.sub("T", shape)) if "T" in shape or "[" in shape else shape
 
 
 def uniformity(shapes: list[str]) -> float:
@@ -105,16 +109,16 @@ def reemit(text: str) -> dict:
 
     def emit() -> None:
         if shape:
-            shapes.append(_bend(shape))
+            whole = " ".join(shape)
+            shapes.append(_bend(whole) if len(whole) < SHORT else _bend.__wrapped__(whole))
             shape.clear()
         if words:
             lines.append((depth, " ".join(words)))
             words.clear()
 
     for match in _TOKEN.finditer(text):
-        kind, token = match.lastgroup, match.group()
-        if kind == "space":
-            continue
+        kind = match.lastgroup
+        token = match[kind]
         if kind == "comment":
             if not code and not token.startswith("///"):
                 head.append(token)
@@ -171,7 +175,7 @@ def layout(text: str) -> dict:
     n, original, code = len(statements), new["original"], new["code"]
     digest = xxhash.xxh3_64_intdigest("\n".join(line for _, line in new["lines"]).encode("utf-8", "surrogatepass"))
     return {
-        "head": regex.sub(r"[\s*/]+", " ", " ".join(new["head"])).strip().lower(),
+        "head": re.sub(r"[\s*/]+", " ", " ".join(new["head"])).strip().lower(),
         "n_statements": n,
         "expansion": len(new["lines"]) / original if original else 0.0,
         "literals": new["literal"] / code if code else 0.0,
@@ -234,6 +238,8 @@ def file_evidence(symbols: DataFrame, sources: DataFrame, projects: DataFrame) -
         F.max(F.col("literals") >= LITERALS).alias("data"), F.max((F.col("uniform") >= UNIFORM) & long).alias("regular"), F.max(F.col("n_statements") > 0).alias("has_code"),
         F.max(F.when(long, F.struct("digest", "project_id"))).alias("text"),
     )
+    # Figures are a short row per file: written once, so that no file is lexed again for the count of copies.
+    read = cut(read)
     # Holders of a text by project first, so that a text all projects hold is one row per project.
     holders = read.where("text.project_id IS NOT NULL").select("text.digest", "text.project_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("n_projects")).where(F.col("n_projects") >= COPIES)
     read = read.withColumn("digest", F.col("text.digest")).join(holders, "digest", "left")
