@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from symloom.operators.heavy import distinct_per_key, heavy_keys, joined_states, key_states, roll_up
 from symloom.operators.hierarchy import circles, descendants, hierarchy
 from symloom.operators.snapshots import snapshot_changes, trimmed, validity_intervals, without_space
+from symloom.session import cut
 from symloom.sources.tables import table
 
 
@@ -51,8 +52,23 @@ def _target_states(spark: SparkSession, folder: str) -> DataFrame:
     return key_states(table(spark, folder, "edges"), [trimmed("kind").alias("kind"), F.col("targetId").alias("target_id")], {"n_metadata": F.col("metadata").isNotNull().cast("long")})
 
 
+def _symbol_states(spark: SparkSession, folder: str) -> DataFrame:
+    symbols = table(spark, folder, "symbols").select("id", "line").unionByName(table(spark, folder, "shared_symbols").select("id", "line"))
+    return key_states(symbols, [F.col("id").alias("target_id")], {"lines": F.coalesce("line", F.lit(0)).cast("long")})
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The heavy keys with their edges, and what these are when joined with the rows of their target symbol.
+
+    The compact states are written once: the join and the total both read them, never the edges again.
+    """
+    states = cut(_target_states(spark, folder))
+    joined = joined_states(states, _symbol_states(spark, folder), "target_id", ["n_metadata"], ["lines"], keep_lost=True)
+    return heavy_keys(joined, 100, ["kind", "target_id"], states).select("kind", "target_id", F.col("n").alias("n_edges"), "n_joined", "joined_n_metadata", "joined_lines")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return heavy_keys(_target_states(spark, folder), 100, ["kind", "target_id"]).select("kind", "target_id")
+    return p4_report(spark, folder).select("kind", "target_id")
 
 
 def p4_per_target(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,9 +79,7 @@ def p4_per_target(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_joined(spark: SparkSession, folder: str) -> DataFrame:
     """Edges joined with the rows of their target symbol, per (kind, target), without the join's rows."""
-    symbols = table(spark, folder, "symbols").select("id", "line").unionByName(table(spark, folder, "shared_symbols").select("id", "line"))
-    right = key_states(symbols, [F.col("id").alias("target_id")], {"lines": F.coalesce("line", F.lit(0)).cast("long")})
-    return joined_states(_target_states(spark, folder), right, "target_id", ["n_metadata"], ["lines"]).select("kind", "target_id", "n_joined", "joined_n_metadata", "joined_lines")
+    return joined_states(_target_states(spark, folder), _symbol_states(spark, folder), "target_id", ["n_metadata"], ["lines"]).select("kind", "target_id", "n_joined", "joined_n_metadata", "joined_lines")
 
 
 def p4_joined_by_kind(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,7 +89,7 @@ def p4_joined_by_kind(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_paths": p2_paths, "p2_descendants": p2_descendants, "p2_circles": p2_circles,
     "p3_found": p3_found, "p3_intervals": p3_intervals,
-    "p4_found": p4_found, "p4_per_target": p4_per_target, "p4_joined": p4_joined, "p4_joined_by_kind": p4_joined_by_kind,
+    "p4_found": p4_found, "p4_report": p4_report, "p4_per_target": p4_per_target, "p4_joined": p4_joined, "p4_joined_by_kind": p4_joined_by_kind,
 }
 
 _LINKS = """WITH RECURSIVE ends AS (SELECT sourceId, targetId FROM edges WHERE trim(kind) = 'contains'),
@@ -114,6 +128,9 @@ islands AS (SELECT *, sum(starts) OVER (PARTITION BY projectId, name ORDER BY sn
 SELECT projectId AS project_id, name AS qualified_name, any_value(kind) AS kind, any_value(signature) AS signature, min(snapshotNo) AS from_no, CAST(nullif(arg_max(coalesce(next_no, 0), snapshotNo), 0) AS INT) AS until_no
 FROM islands GROUP BY projectId, name, island""",
     "p4_found": "SELECT trim(kind) AS kind, targetId AS target_id FROM edges WHERE kind IS NOT NULL AND targetId IS NOT NULL GROUP BY 1, 2 HAVING count(*) * 100 >= (SELECT count(*) FROM edges)",
+    "p4_report": """SELECT e.kind, e.target_id, e.n AS n_edges, e.n * coalesce(s.n, 0) AS n_joined, e.m * coalesce(s.n, 0) AS joined_n_metadata, CAST(e.n * coalesce(s.lines, 0) AS BIGINT) AS joined_lines
+FROM (SELECT trim(kind) AS kind, targetId AS target_id, count(*) AS n, count(metadata) AS m FROM edges WHERE kind IS NOT NULL AND targetId IS NOT NULL GROUP BY 1, 2 HAVING count(*) * 100 >= (SELECT count(*) FROM edges)) e
+LEFT JOIN (SELECT id, count(*) AS n, sum(coalesce(line, 0)) AS lines FROM (SELECT id, line FROM symbols UNION ALL SELECT id, line FROM shared_symbols) u GROUP BY 1) s ON s.id = e.target_id""",
     "p4_per_target": "SELECT trim(kind) AS kind, targetId AS target_id, count(*) AS n_edges, count(metadata) AS n_metadata, count(DISTINCT sourceId) AS n_sources FROM edges GROUP BY 1, 2",
     "p4_joined": "SELECT trim(e.kind) AS kind, e.targetId AS target_id, count(*) AS n_joined, count(e.metadata) AS joined_n_metadata, CAST(sum(coalesce(s.line, 0)) AS BIGINT) AS joined_lines FROM edges e JOIN (SELECT id, line FROM symbols UNION ALL SELECT id, line FROM shared_symbols) s ON s.id = e.targetId GROUP BY 1, 2",
     "p4_joined_by_kind": "SELECT trim(e.kind) AS kind, count(*) AS n_joined, count(e.metadata) AS joined_n_metadata, CAST(sum(coalesce(s.line, 0)) AS BIGINT) AS joined_lines FROM edges e JOIN (SELECT id, line FROM symbols UNION ALL SELECT id, line FROM shared_symbols) s ON s.id = e.targetId GROUP BY 1",

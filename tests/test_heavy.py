@@ -37,3 +37,11 @@ def test_distinct_per_key(rows):
 
 def test_empty(spark):
     assert heavy_keys(states(spark.createDataFrame([], SCHEMA)), 100, ["kind", "target"]).collect() == []
+
+
+def test_keys_without_a_partner_stay_if_asked(rows):
+    left, right = rows(DATA, SCHEMA), rows([(1, 10), (1, 20)], "target long, line long")
+    got = joined_states(states(left), key_states(right, [F.col("target")], {"l": F.col("line")}), "target", ["s"], ["l"], keep_lost=True)
+    assert {(r.kind, r.target): r.n for r in got.collect()} == {(r.kind, r.target): r.n for r in states(left).collect()}
+    assert {(r.n_joined, r.joined_s, r.joined_l) for r in got.where("target <> 1").collect()} == {(0, 0, 0)}
+    assert as_set(heavy_keys(got, 100, ["kind", "target"], states(left)).select("kind", "target", "n_joined")) == {("a", 1, 600)}
