@@ -29,9 +29,11 @@ def validity_intervals(rows: DataFrame, group: str, number: str, key: Column, st
     such rows was delivered.
     """
     named = rows.select(F.col(group).alias("grp"), F.col(number).alias("no"), key.alias("key"), F.struct(*state).alias("state"), F.struct(*newest).alias("newest")).where("grp IS NOT NULL AND no IS NOT NULL")
-    # A group has few snapshots, so its calendar is one short array; its copies spread a hot group's rows.
+    # One short row per delivery of a group; its copies spread the records of a hot group.
+    deliveries = Window.partitionBy("grp").orderBy("no")
     calendar = (
-        named.groupBy("grp").agg(F.array_sort(F.collect_set("no")).alias("calendar"))
+        named.select("grp", "no").distinct()
+        .select("grp", "no", F.row_number().over(deliveries).cast("long").alias("at"), F.lead("no").over(deliveries).alias("next_no"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     # Full rows meet in a map-side combined maximum, never in a sorted group.
@@ -40,21 +42,16 @@ def validity_intervals(rows: DataFrame, group: str, number: str, key: Column, st
         .groupBy("grp", "key", "no")
         .agg(F.max(F.struct("newest", "state")).alias("kept"))
         .select("grp", "key", "no", "kept.state", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"))
-        .join(calendar, ["grp", "salt"])
-        .withColumn("at", F.array_position("calendar", F.col("no")))
+        .join(calendar, ["grp", "no", "salt"])
     )
     by_key = Window.partitionBy("grp", "key").orderBy("at")
     starts = (F.lag("at").over(by_key).eqNullSafe(F.col("at") - 1) & F.lag("state").over(by_key).eqNullSafe(F.col("state"))) == F.lit(False)
     islands = records.withColumn("starts", starts.cast("int")).withColumn("island", F.sum("starts").over(by_key))
     return (
         islands.groupBy("grp", "key", "island")
-        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("state").alias("state"), F.first("calendar").alias("calendar"))
-        .select(
-            "grp", "key", "state", "first", "last",
-            F.get("calendar", (F.col("first") - 1).cast("int")).alias("first_no"),
-            F.get("calendar", F.col("last").cast("int")).alias("next_no"),
-        )
-    )
+        .agg(F.min("at").alias("first"), F.max(F.struct("at", "next_no")).alias("end"), F.first("state").alias("state"), F.min("no").alias("first_no"))
+        .select("grp", "key", "state", "first", F.col("end.at").alias("last"), "first_no", "end.next_no")
+    )
 
 
 def change_events(intervals: DataFrame) -> DataFrame:
