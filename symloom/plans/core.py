@@ -50,9 +50,15 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
     return ask.search_text(graph, graph.symbols.where("id % 20 = 0").select(F.col("name").alias("query")))
 
 
+def search_text_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """The same searches, of which only the classes are reported."""
+    graph = Graph.read(spark, folder)
+    return ask.search_text(graph, graph.symbols.where("id % 20 = 0").select(F.col("name").alias("query")), kind="class")
+
+
 def symbol_lookup(spark: SparkSession, folder: str) -> DataFrame:
     graph = Graph.read(spark, folder)
-    rows = graph.symbols.where("id % 20 = 0")
+    rows = graph.symbols.where("id IS NOT NULL")
     return ask.lookup(graph, rows.select("projectId", F.col("name").alias("query")).unionByName(rows.select("projectId", F.col("qualifiedName").alias("query"))))
 
 
@@ -68,12 +74,12 @@ def impact_outgoing(spark: SparkSession, folder: str) -> DataFrame:
 
 def call_graph_callers(spark: SparkSession, folder: str) -> DataFrame:
     graph = Graph.read(spark, folder)
-    return ask.call_graph(graph, _searchers(graph))
+    return ask.call_graph(graph, graph.nodes().withColumnRenamed("id", "seed"))
 
 
 def call_graph_callees(spark: SparkSession, folder: str) -> DataFrame:
     graph = Graph.read(spark, folder)
-    return ask.call_graph(graph, _searchers(graph), callers=False)
+    return ask.call_graph(graph, graph.nodes().withColumnRenamed("id", "seed"), callers=False)
 
 
 def near_dead_code(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,9 +99,9 @@ def edges_first_writer_wins(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edges_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    """Edge rows that outlive their ends, counted by kind."""
+    """Edge rows that outlive their ends, repeats and all."""
     graph = Graph.read(spark, folder)
-    return cascade(graph.edges, graph.symbols).groupBy(trimmed("kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return cascade(graph.edges, graph.symbols).select("id", "projectId", "sourceId", "targetId", trimmed("kind").alias("kind"), "metadata")
 
 
 def symbols_set_null(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +135,7 @@ def file_module_inner_path(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "read_symbol": read_symbol, "search_attribute": search_attribute, "search_module": search_module, "search_text": search_text, "symbol_lookup": symbol_lookup,
+    "read_symbol": read_symbol, "search_attribute": search_attribute, "search_module": search_module, "search_text": search_text, "search_text_filtered": search_text_filtered, "symbol_lookup": symbol_lookup,
     "symbol_relations": _graph(ask.symbol_relations), "symbols_in_file": _graph(ask.symbols_in_file), "find_usages": _graph(ask.find_usages), "usage_context": usage_context,
     "find_conformers": _graph(ask.find_conformers), "protocol_coverage": _graph(ask.protocol_coverage), "protocol_impact": _graph(ask.protocol_impact), "dependencies": _graph(ask.dependencies),
     "impact_incoming": impact_incoming, "impact_outgoing": impact_outgoing, "call_graph_callers": call_graph_callers, "call_graph_callees": call_graph_callees, "view_trees": _graph(ask.view_trees),
@@ -209,6 +215,20 @@ stored AS (SELECT projectId, filePath, sha256 FROM file_hashes QUALIFY row_numbe
 states AS (SELECT coalesce(n.projectId, h.projectId) AS projectId, coalesce(n.filePath, h.filePath) AS filePath, CASE WHEN n.filePath IS NULL THEN 'deleted' WHEN n.content IS NULL THEN 'unreadable' WHEN h.sha256 IS NULL THEN 'new'
   WHEN sha256(n.content) = h.sha256 THEN 'same' ELSE 'changed' END AS state FROM now n FULL JOIN stored h ON h.projectId = n.projectId AND h.filePath = n.filePath)"""
 
+_SEARCH = (
+    _G
+    + """, docs AS (SELECT id, list_filter(regexp_split_to_array(lower(name || ' ' || qualifiedName), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS tokens FROM s),
+postings AS (SELECT id, len(tokens) AS length, unnest(tokens) AS token FROM docs), size AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM docs),
+asked AS (SELECT DISTINCT name AS query, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS terms FROM s WHERE id % 20 = 0),
+terms AS (SELECT query, len(terms) AS n_terms, unnest(terms) AS term FROM asked),
+known AS (SELECT DISTINCT t.term, p.token FROM (SELECT DISTINCT term FROM terms) t JOIN (SELECT DISTINCT token FROM postings) p ON starts_with(p.token, t.term)),
+hits AS (SELECT k.term, p.id, p.length, count(*) AS tf FROM known k JOIN postings p ON p.token = k.token GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
+scored AS (SELECT t.query, h.id, round(-sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * h.length / mean))), 9) AS score
+  FROM terms t JOIN hits h ON h.term = t.term JOIN df ON df.term = t.term CROSS JOIN size GROUP BY t.query, h.id, t.n_terms HAVING count(*) = t.n_terms),
+listed AS (SELECT id FROM s WHERE {})
+SELECT query, id AS symbol_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score, id) AS INT) AS place FROM scored WHERE id IN (SELECT id FROM listed) QUALIFY place <= 20"""
+)
+
 ORACLES = {
     "read_symbol": _STATES
     + f""", s AS (SELECT DISTINCT * FROM symbols), cut AS (SELECT s.id, greatest(s.line, 1) AS a, least(coalesce(s.endLine, s.line), len({_LINES})) AS b, {_LINES} AS lines, t.state
@@ -217,21 +237,13 @@ SELECT id AS symbol_id, CASE WHEN lines IS NOT NULL THEN coalesce(array_to_strin
     "search_attribute": _G + "\nSELECT id AS symbol_id, name, kind, module FROM placed WHERE kind = 'class' AND contains(attributes, '\"@MainActor\"') AND NOT starts_with(qualifiedName, 'unresolved:')",
     "search_module": _G + "\nSELECT id AS symbol_id, name, kind, module FROM placed WHERE module = 'TrellisUI' AND NOT starts_with(qualifiedName, 'unresolved:')",
     "symbol_lookup": _G
-    + """, asked AS (SELECT projectId, name AS query FROM s WHERE id % 20 = 0 UNION SELECT projectId, qualifiedName FROM s WHERE id % 20 = 0),
+    + """, asked AS (SELECT projectId, name AS query FROM s UNION SELECT projectId, qualifiedName FROM s),
 means AS (SELECT projectId, name AS query, 1 AS rank, qualifiedName, id FROM s WHERE kind NOT IN ('extension', 'file', 'module') AND NOT starts_with(lower(qualifiedName), 'unresolved:')
   UNION ALL SELECT projectId, qualifiedName, 2, qualifiedName, id FROM s UNION ALL SELECT projectId, name, 3, qualifiedName, id FROM s WHERE kind = 'extension')
 SELECT a.projectId AS project_id, a.query, m.id AS symbol_id, CASE m.rank WHEN 1 THEN 'name' WHEN 2 THEN 'qualified' ELSE 'extension' END AS how FROM asked a JOIN means m ON m.projectId = a.projectId AND m.query = a.query
 QUALIFY row_number() OVER (PARTITION BY a.projectId, a.query ORDER BY m.rank, m.qualifiedName, m.id) = 1""",
-    "search_text": _G
-    + """, docs AS (SELECT id, list_filter(regexp_split_to_array(lower(name || ' ' || qualifiedName), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS tokens FROM s),
-postings AS (SELECT id, len(tokens) AS length, unnest(tokens) AS token FROM docs), size AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM docs),
-asked AS (SELECT DISTINCT name AS query, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS terms FROM s WHERE id % 20 = 0),
-terms AS (SELECT query, len(terms) AS n_terms, unnest(terms) AS term FROM asked),
-known AS (SELECT DISTINCT t.term, p.token FROM (SELECT DISTINCT term FROM terms) t JOIN (SELECT DISTINCT token FROM postings) p ON starts_with(p.token, t.term)),
-hits AS (SELECT k.term, p.id, p.length, count(*) AS tf FROM known k JOIN postings p ON p.token = k.token GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM hits GROUP BY 1),
-scored AS (SELECT t.query, h.id, round(-sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * h.length / mean))), 9) AS score
-  FROM terms t JOIN hits h ON h.term = t.term JOIN df ON df.term = t.term CROSS JOIN size GROUP BY t.query, h.id, t.n_terms HAVING count(*) = t.n_terms)
-SELECT query, id AS symbol_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score, id) AS INT) AS place FROM scored QUALIFY place <= 20""",
+    "search_text": _SEARCH.format("NOT starts_with(lower(qualifiedName), 'unresolved:')"),
+    "search_text_filtered": _SEARCH.format("NOT starts_with(lower(qualifiedName), 'unresolved:') AND kind = 'class'"),
     "symbol_relations": _G
     + """, seen AS (SELECT DISTINCT CASE WHEN kind = 'extends' THEN targetId ELSE sourceId END AS symbol_id, CASE WHEN kind = 'contains' THEN 'member' WHEN kind = 'extends' THEN 'extension' ELSE 'conformance' END AS section,
   CASE WHEN kind = 'extends' THEN sourceId ELSE targetId END AS other_id FROM e WHERE kind IN ('contains', 'conformsTo', 'inherits', 'extends'))
@@ -248,8 +260,8 @@ SELECT symbol_id, file_path, line, CASE WHEN lines IS NOT NULL THEN coalesce(arr
     "dependencies": _G + "\nSELECT e.sourceId AS symbol_id, 'outgoing' AS direction, e.kind AS edge_kind, o.id AS other_id, o.name AS other_name FROM e JOIN s o ON o.id = e.targetId UNION ALL SELECT e.targetId, 'incoming', e.kind, o.id, o.name FROM e JOIN s o ON o.id = e.sourceId",
     "impact_incoming": _walk(_INNER_SEEDS, _CARRIES.format(a="targetId", b="sourceId"), 5),
     "impact_outgoing": _walk(_INNER_SEEDS, _CARRIES.format(a="sourceId", b="targetId"), 5),
-    "call_graph_callers": _walk(_SEEDS, "SELECT DISTINCT targetId AS from_id, sourceId AS to_id FROM e WHERE kind = 'calls'", 5, _FROM_NEIGHBOURS, 1),
-    "call_graph_callees": _walk(_SEEDS, "SELECT DISTINCT sourceId AS from_id, targetId AS to_id FROM e WHERE kind = 'calls'", 5, _FROM_NEIGHBOURS, 1),
+    "call_graph_callers": _walk("SELECT DISTINCT id AS seed FROM s", "SELECT DISTINCT targetId AS from_id, sourceId AS to_id FROM e WHERE kind = 'calls'", 5, _FROM_NEIGHBOURS, 1),
+    "call_graph_callees": _walk("SELECT DISTINCT id AS seed FROM s", "SELECT DISTINCT sourceId AS from_id, targetId AS to_id FROM e WHERE kind = 'calls'", 5, _FROM_NEIGHBOURS, 1),
     "view_trees": _walk("SELECT DISTINCT sourceId AS seed FROM e WHERE kind = 'composesView' AND sourceId NOT IN (SELECT targetId FROM e WHERE kind = 'composesView')", "SELECT DISTINCT sourceId AS from_id, targetId AS to_id FROM e WHERE kind = 'composesView'", 10).replace("SELECT seed, node, depth, parent FROM tree", "SELECT seed AS root, node, depth, parent FROM tree"),
     "dead_code": _DEAD.format(0),
     "near_dead_code": _DEAD.format(2),
@@ -298,7 +310,7 @@ sites AS (SELECT id AS symbol_id, id AS at_id, 1 AS rank, 'declaration' AS categ
   UNION ALL SELECT sourceId, targetId, 8, 'overridden base' FROM e WHERE kind = 'overrides')
 SELECT symbol_id, p.filePath AS file_path, p.line, category FROM sites JOIN s p ON p.id = at_id WHERE p.filePath IS NOT NULL AND p.line IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id, p.filePath, p.line ORDER BY rank) = 1""",
     "edges_first_writer_wins": "SELECT id, projectId, sourceId, targetId, trim(kind) AS kind, metadata FROM edges QUALIFY row_number() OVER (PARTITION BY sourceId, targetId, trim(kind) ORDER BY id, metadata NULLS FIRST, projectId) = 1",
-    "edges_cascade": "WITH ids AS (SELECT id FROM symbols UNION SELECT id FROM shared_symbols) SELECT trim(kind) AS kind, count(*) AS n FROM edges WHERE sourceId IN (SELECT id FROM ids) AND targetId IN (SELECT id FROM ids) GROUP BY 1",
+    "edges_cascade": "WITH ids AS (SELECT id FROM symbols UNION SELECT id FROM shared_symbols) SELECT id, projectId, sourceId, targetId, trim(kind) AS kind, metadata FROM edges WHERE sourceId IN (SELECT id FROM ids) AND targetId IN (SELECT id FROM ids)",
     "symbols_set_null": "SELECT DISTINCT s.id AS symbol_id, CASE WHEN m.id IS NOT NULL THEN s.moduleId END AS module_id FROM symbols s LEFT JOIN modules m ON m.id = s.moduleId AND m.kind <> 'executable'",
     "snapshots_upsert": """WITH h AS (SELECT projectId, trim(regexp_replace(qualifiedName, '^\\s+|\\s+$', '', 'g')) AS qualifiedName, snapshotNo, deliveredAt, id, name, kind, signature, line FROM symbol_snapshots),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY projectId, qualifiedName ORDER BY snapshotNo, deliveredAt, id, name) AS a, row_number() OVER (PARTITION BY projectId, qualifiedName ORDER BY snapshotNo DESC, deliveredAt DESC, id DESC, kind DESC, signature DESC NULLS LAST, line DESC NULLS LAST) AS b, count(*) OVER (PARTITION BY projectId, qualifiedName) AS n_writes FROM h)

@@ -13,7 +13,7 @@ from symloom.functions.names import API_LEVELS, FILE, MODULE, PLACEHOLDER, TYPE_
 from symloom.operators.search import ranked_matches
 from symloom.operators.walk import walk
 from symloom.plans.graph import Graph
-from symloom.sources.files import numbered_lines
+from symloom.sources.files import file_states, slices
 
 DECLARED = ("struct", "class", "enum", "actor", "function", "typeAlias")
 AUDITED = (*TYPE_KINDS, "function", "variable", "typeAlias")
@@ -34,14 +34,13 @@ def read_symbol(graph: Graph, sources: DataFrame, hashes: DataFrame, context: in
     ``stale`` tells that the stored hash differs from the file's; it is false if either is missing.
     The source is null where the file's content is.
     """
-    from symloom.sources.files import file_states
-
-    nodes = graph.nodes("projectId", "filePath", "line", "endLine").where("filePath IS NOT NULL AND line IS NOT NULL")
-    content = sources.groupBy("projectId", "filePath").agg(F.max("content").alias("content"))
-    states = file_states(sources, hashes).select("projectId", "filePath", (F.col("state") == "changed").alias("stale"))
-    text = numbered_lines("content", F.col("line") - context, F.coalesce("endLine", "line") + context)
-    joined = nodes.join(content, ["projectId", "filePath"], "left").join(states, ["projectId", "filePath"], "left")
-    return joined.select(F.col("id").alias("symbol_id"), text.alias("source"), F.coalesce("stale", F.lit(False)).alias("stale"))
+    keys = ["projectId", "filePath"]
+    nodes = graph.nodes(*keys, "line", "endLine").where("filePath IS NOT NULL AND line IS NOT NULL")
+    nodes = nodes.select("id", *keys, (F.col("line") - context).alias("first"), (F.coalesce("endLine", "line") + context).alias("last"))
+    states = file_states(sources, hashes).select(*keys, (F.col("state") == "changed").alias("stale"))
+    # A file's slices, its state and its symbols meet by file and range; slices are distinct, and content moves once per file.
+    joined = nodes.join(slices(nodes, sources, keys), [*keys, "first", "last"], "left").join(states, keys, "left")
+    return joined.select(F.col("id").alias("symbol_id"), "source", F.coalesce("stale", F.lit(False)).alias("stale"))
 
 
 def symbol_relations(graph: Graph) -> DataFrame:
@@ -75,9 +74,19 @@ def search(graph: Graph, kind: str | None = None, module: str | None = None, att
     return found.select(F.col("id").alias("symbol_id"), "name", "kind", "module")
 
 
-def search_text(graph: Graph, queries: DataFrame, top: int | None = 20) -> DataFrame:
-    """(query, symbol_id, score, place): prefix search over name and qualifiedName."""
-    return ranked_matches(graph.nodes("name", "qualifiedName").withColumnRenamed("id", "symbol_id"), "symbol_id", ["name", "qualifiedName"], queries, top)
+def search_text(graph: Graph, queries: DataFrame, top: int | None = 20, kind: str | None = None, module: str | None = None, attribute: str | None = None) -> DataFrame:
+    """(query, symbol_id, score, place): prefix search over name and qualifiedName of the symbols with the
+    given kind, module and attribute; placeholders are never found. Scores count all symbols."""
+    nodes = graph.nodes("projectId", "moduleId", "filePath", "name", "qualifiedName", "kind", "attributes")
+    listed = ~F.coalesce(is_named("qualifiedName", PLACEHOLDER), F.lit(False))
+    if kind:
+        listed = listed & (F.col("kind") == kind)
+    if attribute:
+        listed = listed & F.array_contains(string_list("attributes"), "@" + attribute.lstrip("@"))
+    if module:
+        inside = graph.module_of(nodes).where(F.col("module") == module).select("id", F.lit(True).alias("in_module")).distinct()
+        nodes, listed = nodes.join(inside, "id", "left"), listed & F.coalesce("in_module", F.lit(False))
+    return ranked_matches(nodes.withColumnRenamed("id", "symbol_id"), "symbol_id", ["name", "qualifiedName"], queries, top, listed)
 
 
 def lookup(graph: Graph, names: DataFrame) -> DataFrame:
@@ -147,10 +156,12 @@ def find_usages(graph: Graph) -> DataFrame:
 
 
 def usage_context(usages: DataFrame, sources: DataFrame, context: int = 1) -> DataFrame:
-    """The usages that have a line, with the numbered lines around it, the line itself marked."""
-    content = sources.groupBy(F.col("filePath").alias("file_path")).agg(F.max("content").alias("content"))
-    text = numbered_lines("content", F.col("line") - context, F.col("line") + context, F.col("line"))
-    return usages.where("line > 0").join(content, "file_path").select("symbol_id", "file_path", "line", text.alias("source"))
+    """The usages that have a line, with the numbered lines around it, the line itself marked; each place is
+    cut out once, however many symbols are used there."""
+    line = F.col("line")
+    placed = usages.where(line > 0).select("symbol_id", F.col("file_path").alias("filePath"), (line - context).alias("first"), (line + context).alias("last"), line.alias("mark"))
+    found = placed.join(slices(placed, sources, ["filePath"], marked=True), ["filePath", "first", "last", "mark"])
+    return found.select("symbol_id", F.col("filePath").alias("file_path"), F.col("mark").alias("line"), "source")
 
 
 def impact(graph: Graph, seeds: DataFrame, incoming: bool = True, max_depth: int = 5) -> DataFrame:

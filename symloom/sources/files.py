@@ -47,13 +47,38 @@ def file_states(sources: DataFrame, hashes: DataFrame, force: bool = False) -> D
     return now.join(stored, ["projectId", "filePath"], "full_outer").select("projectId", "filePath", state.alias("state"))
 
 
+BLOCK = 1000  # lines of a file whose slices are made together
+
+
+def split_lines(content: Column | str) -> Column:
+    return F.split(F.regexp_replace(content, "\r\n?", "\n"), "\n")
+
+
 def numbered_lines(content: Column | str, first: Column, last: Column, mark: Column | None = None) -> Column:
     """Lines ``first`` to ``last`` (from 1) as ``   7 | text``; the line ``mark`` begins with ``>``.
 
     Bounds beyond the text are moved to its ends; null where a bound or the text is null.
     """
-    lines = F.split(F.regexp_replace(content, "\r\n?", "\n"), "\n")
+    return numbered(split_lines(content), first, last, mark)
+
+
+def numbered(lines: Column, first: Column, last: Column, mark: Column | None = None) -> Column:
+    """``numbered_lines`` of a text that is split already."""
     start, end = F.greatest(first, F.lit(1)), F.least(last, F.size(lines))
     sign = (lambda i: F.lit("")) if mark is None else (lambda i: F.when(i == mark, ">").otherwise(" "))
     kept = F.slice(lines, start, F.greatest(end - start + 1, F.lit(0)))
     return F.array_join(F.transform(kept, lambda x, i: F.concat(sign(i + start), F.format_string("%4d | %s", i + start, x))), "\n")
+
+
+def slices(ranges: DataFrame, sources: DataFrame, keys: list[str], marked: bool = False) -> DataFrame:
+    """(*keys, first, last[, mark], source) of each distinct range of lines of files that ``sources`` has.
+
+    The ranges that begin in one block of a file's lines are gathered, which the block bounds, and
+    cut out together: a file is joined once per block, not once per range. The source is null where
+    the file's content is; of several contents of a file the greatest counts.
+    """
+    bounds = ["first", "last", *(["mark"] if marked else [])]
+    blocks = ranges.groupBy(*keys, F.floor(F.col("first") / BLOCK).alias("_block")).agg(F.collect_set(F.struct(*bounds)).alias("_ranges"))
+    files = sources.groupBy(*keys).agg(F.max("content").alias("content")).select(*keys, split_lines("content").alias("_lines"))
+    made = lambda r: F.struct(*[r[b].alias(b) for b in bounds], numbered(F.col("_lines"), r["first"], r["last"], r["mark"] if marked else None).alias("source"))
+    return blocks.join(files, keys).select(*keys, F.explode(F.transform("_ranges", made)).alias("_s")).select(*keys, "_s.*")
