@@ -1,8 +1,6 @@
 """Declarations, imports, calls and type references of Swift files, from a table of tokens.
 
-A file becomes rows of tokens by one regular expression; lines, columns, brace depth and the scope
-that each token stands in come from windows over the rows of its file. Files are placed by path
-before they are taken apart, so tokens are never shuffled.
+What a token heads and stands in comes from windows over the rows of its file and of its brace.
 """
 
 from __future__ import annotations
@@ -10,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.sources.lexer import tokens
+
 # The language's words that matter here.
 TYPE_WORDS = ("struct", "class", "enum", "protocol", "actor", "extension")
 ACCESS_WORDS = ("public", "private", "fileprivate", "internal", "package", "open")
@@ -17,27 +17,8 @@ MODIFIER_WORDS = ("final", "static", "class", "override", "mutating", "nonmutati
 BLOCK_WORDS = ("if", "else", "for", "while", "repeat", "switch", "do", "catch", "guard", "defer", "in", "return", "get", "set", "willSet", "didSet")
 NO_CALLS = (*BLOCK_WORDS, "func", "init", "self", "super", "Self", "throw", "throws", "await", "try", "as", "is", "where", "case", "let", "var", "subscript")
 
-TOKEN = (
-    r"(//[^\r\n]*|(?s:/\*.*?(?:\*/|$))|#*\"\"\"(?s:.*?)(?:\"\"\"#*|$)|#*\"(?:[^\"\\\r\n]|\\.)*+\"?#*|\r\n|\r|\n|[ \t\f\x{FEFF}]+"
-    r"|@?`?[\p{L}_$][\p{L}\p{N}_$]*`?|[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?|->|(?s:.))"
-)
-
-
-def tokens(sources: DataFrame) -> DataFrame:
-    """(projectId, filePath, pos, token, line, column, start): the words and signs of each file with
-    content, each file once, without blanks, line ends and comments."""
-    files = sources.where("content IS NOT NULL AND filePath IS NOT NULL").groupBy("projectId", "filePath").agg(F.max("content").alias("content"))
-    rows = files.select("projectId", "filePath", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), 1)).alias("pos", "token"))
-    before = Window.partitionBy("projectId", "filePath").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    ends = F.regexp_count(F.col("token"), F.lit(r"\r\n|\r|\n"))
-    width = F.length("token")
-    start = F.coalesce(F.sum(width).over(before), F.lit(0))
-    since = F.length(F.substring_index(F.translate("token", "\r", "\n"), "\n", -1))
-    placed = rows.select("*", ends.alias("ends"), since.alias("since"), start.alias("start"), (F.coalesce(F.sum(ends).over(before), F.lit(0)) + 1).cast("int").alias("line"))
-    line_start = F.last(F.when(F.col("ends") > 0, F.col("start") + F.length("token") - F.col("since")), ignorenulls=True).over(before)
-    mark = F.when(F.col("pos") == 0, F.lit(None)).otherwise(line_start)
-    placed = placed.withColumn("column", (F.col("start") - F.coalesce(mark, F.lit(0)) + 1).cast("int"))
-    return placed.where(~F.col("token").rlike(r"^(//|/\*|[\s\x{FEFF}]+$)")).select("projectId", "filePath", "pos", "token", "line", "column", "start")
+NO_TYPES = ("func", "var", "let", "init", "subscript", "typealias", "case", "deinit", "import")
+FILE = ("projectId", "filePath")
 
 
 def scoped_tokens(sources: DataFrame) -> DataFrame:
@@ -45,47 +26,38 @@ def scoped_tokens(sources: DataFrame) -> DataFrame:
 
     ``head`` (kind, name, pos, line, column) is set on the word that begins a declaration; ``scope``
     (kind, name) is the innermost brace's declaration, null at the top of a file; ``opens`` on a
-    brace is the declaration whose body it begins, with the body's last line and position.
+    brace is the declaration whose body it begins, with the body's last line and position;
+    ``leader`` is the last head in the same brace, with its scope.
     """
-    file = Window.partitionBy("projectId", "filePath").orderBy("pos")
-    so_far = file.rowsBetween(Window.unboundedPreceding, 0)
+    file, inside = Window.partitionBy(*FILE).orderBy("pos"), Window.partitionBy(*FILE, "brace").orderBy("pos")
     near = lambda i: F.lead("token", i).over(file)
     token = F.col("token")
-    words = tokens(sources).select(
-        "*", near(1).alias("next"), near(-1).alias("prev"),
-        F.sum(F.when(token == "{", 1).when(token == "}", -1).otherwise(0)).over(so_far).alias("depth"),
-        F.coalesce(F.sum(F.when(token.isin("{", "}", ";"), 1).otherwise(0)).over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("piece"),
-        F.sum(F.when(token.isin("(", "["), 1).when(token.isin(")", "]"), -1).otherwise(0)).over(so_far).alias("round"),
-    )
+    words = tokens(sources).select("*", near(1).alias("next"), near(-1).alias("prev"), F.lag("stop").over(file).alias("prev_stop"), F.lag("last_line").over(file).alias("prev_line"))
+    parts = F.sum(F.when((F.col("round") == 0) & token.isin("{", "}", ";"), 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, -1))
     lone = (F.coalesce("prev", F.lit("")) != ".") & (F.col("round") == 0)
     named = F.col("next").rlike(r"^`?[\p{L}_]")
     kind = (
-        F.when(token.isin(*TYPE_WORDS) & named & ~F.col("next").isin("func", "var", "let", "init", "subscript"), token)
+        F.when(token.isin(*TYPE_WORDS) & named & ~F.col("next").isin(*NO_TYPES, *MODIFIER_WORDS, *ACCESS_WORDS), token)
         .when((token == "func") & F.col("next").isNotNull(), "function")
         .when((token == "init") & F.col("next").isin("(", "?", "!", "<"), "initializer")
         .when(token.isin("var", "let") & named, "variable").when((token == "typealias") & named, "typeAlias")
         .when((token == "case") & named, "enumCase")
     )
     name = F.when(token == "init", F.concat(F.lit("init"), F.when(F.col("next").isin("?", "!"), F.col("next")).otherwise(""))).otherwise(F.regexp_replace("next", "`", ""))
+    piece = F.coalesce(parts, F.lit(0))
     head = F.when(lone & kind.isNotNull(), F.struct(kind.alias("kind"), name.alias("name"), "pos", "line", "column", "piece"))
     block = F.when(lone & token.isin(*BLOCK_WORDS), F.struct(F.lit("block").alias("kind"), token.alias("name"), "pos", "line", "column", "piece"))
-    headed = words.withColumn("head", head).withColumn("any", F.coalesce("head", block))
-    last = F.last("any", ignorenulls=True).over(so_far)
-    level = F.when(token == "}", F.col("depth") + 1).otherwise(F.col("depth"))
-    headed = headed.withColumn("last", last).select(
-        *[c for c in headed.columns if c != "any"], level.alias("level"),
-        F.when((token == "{") & (F.col("last.piece") == F.col("piece")), F.col("last")).alias("opener"),
-    )
-    inside = Window.partitionBy("projectId", "filePath", "level").orderBy("pos")
+    headed = words.withColumn("piece", piece).withColumn("head", head).withColumn("any", F.coalesce("head", block))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    headed = headed.withColumn("last", F.last("any", ignorenulls=True).over(so_far))
+    opener = F.when((token == "{") & (F.col("round") == 0) & (F.col("last.piece") == F.col("piece")), F.col("last"))
+    headed = headed.withColumn("opener", opener).drop("any", "last")
+    # A brace and what stands right in it, so that each row sees what the brace opens.
+    own = Window.partitionBy(*FILE, F.when(token == "{", F.col("pos")).when(token == "}", F.coalesce("mate", "brace")).otherwise(F.col("brace"))).orderBy("pos")
     brace = F.when(token == "{", F.struct(F.coalesce("opener.kind", F.lit("block")).alias("kind"), F.col("opener.name").alias("name")))
-    # The next closing brace, as the last one in reversed order: a frame that grows costs each row once.
-    upward = Window.partitionBy("projectId", "filePath", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    close = F.last(F.when(token == "}", F.struct("line", "pos")), ignorenulls=True).over(upward)
-    scoped = headed.select(
-        *[c for c in headed.columns if c not in ("opener", "last")],
-        F.when((token == "{") | (F.col("level") > 0), F.last(brace, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))).alias("scope"),
-        F.when((token == "{") & F.col("opener").isNotNull(), F.struct("opener.*", close.alias("close"))).alias("opens"),
-    )
+    scope = F.when((token != "{") & ((F.col("brace") >= 0) | (token == "}")), F.first(brace, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    opens = F.when(F.col("opener").isNotNull(), F.struct("opener.*", F.struct(F.col("mate_line").alias("line"), F.col("mate").alias("pos")).alias("close")))
+    scoped = headed.withColumns({"scope": scope, "opens": opens}).drop("opener")
     return scoped.withColumn("leader", F.last(F.when(F.col("head").isNotNull(), F.struct("head.*", "scope")), ignorenulls=True).over(so_far))
 
 
@@ -117,7 +89,7 @@ def declarations(scoped: DataFrame) -> DataFrame:
 
 def imports(scoped: DataFrame) -> DataFrame:
     """(projectId, filePath, module, testable, line) of each import."""
-    return scoped.where("token = 'import' AND next IS NOT NULL AND level = 0").select("projectId", "filePath", F.col("next").alias("module"), (F.coalesce("prev", F.lit("")) == "@testable").alias("testable"), "line")
+    return scoped.where("token = 'import' AND next IS NOT NULL AND brace = -1").select("projectId", "filePath", F.col("next").alias("module"), (F.coalesce("prev", F.lit("")) == "@testable").alias("testable"), "line")
 
 
 def _annotated_locals(bodied: DataFrame) -> DataFrame:
@@ -125,10 +97,10 @@ def _annotated_locals(bodied: DataFrame) -> DataFrame:
     a type, in the words of its source; bindings of conditions and patterns are none."""
     file = Window.partitionBy("projectId", "filePath").orderBy("pos")
     token = F.col("token")
-    opener = F.struct("token", "piece", "round", F.coalesce(F.col("prev").isin("if", "guard", "while", "case", "for", ","), F.lit(False)).alias("condition"))
+    opener = F.struct("token", "brace", "piece", "round", F.coalesce(F.col("prev").isin("if", "guard", "while", "case", "for", ","), F.lit(False)).alias("condition"))
     last = F.last(F.when(token.isin("let", "var", "case"), opener), ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, -1))
     led = bodied.withColumn("led", last)
-    binds = token.rlike(r"^`?[\p{L}_]") & (F.col("next") == ":") & F.col("prev").isin("let", "var", ",") & F.col("led.token").isin("let", "var") & (F.col("led.piece") == F.col("piece")) & (F.col("led.round") == F.col("round")) & ~F.col("led.condition") & F.col("body").isNotNull()
+    binds = token.rlike(r"^`?[\p{L}_]") & (F.col("next") == ":") & F.col("prev").isin("let", "var", ",") & F.col("led.token").isin("let", "var") & (F.col("led.brace") == F.col("brace")) & (F.col("led.piece") == F.col("piece")) & (F.col("led.round") == F.col("round")) & ~F.col("led.condition") & F.col("body").isNotNull()
     name = F.when(binds, F.struct(F.regexp_replace("token", "`", "").alias("name"), "pos", "round", "part", F.col("body.line").alias("body_line")))
     held = led.withColumn("local", F.last(name, ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, 0))).where("local IS NOT NULL")
     # The type goes on to a sign that ends it in no bracket, or to a line that doesn't continue it.
