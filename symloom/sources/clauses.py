@@ -1,0 +1,166 @@
+"""Declarations with all their clauses, from scoped tokens: windows over the tokens of a declaration's head say
+which clause, binding and list item each belongs to, and grouping puts these together again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from symloom.sources.declarations import ACCESS_WORDS, FILE, MODIFIER_WORDS, NO_TYPES, TYPE_WORDS
+
+_UNBOUND = Window.unboundedPreceding
+# Words and signs after which a line goes on, and with which one does.
+_OPEN_ENDS = ("=", "+", "-", "*", "/", "%", "&", "|", "^", "<", ">", "?", ":", ".", ",", "->", "as", "is", "in", "where", "try", "await", "some", "any")
+_GOES_ON = (".", "?", ":", "&", "|", "+", "*", "/", "%", "=", "<", ">", ",", "->", "as", "is", "where", "throws", "async", "rethrows", "reasync", "{", ")", "]")
+_NAMED = r"^`?[\p{L}_]"
+_ACCESSORS = ("get", "set", "willSet", "didSet")
+_EFFECTS = ("async", "reasync", "throws", "rethrows")
+
+
+def _word() -> Column:
+    """A token as it stands in a text: with a blank before it if one or more come before it."""
+    return F.concat(F.when(F.col("start") > F.col("prev_stop"), " ").otherwise(""), "token")
+
+
+def _text(words: Column | str) -> Column:
+    """The text of (pos, word, ...) rows in order."""
+    return F.nullif(F.trim(F.array_join(F.transform(words, lambda w: w["word"]), "")), F.lit(""))
+
+
+def with_leads(scoped: DataFrame) -> DataFrame:
+    """Tokens with ``lead`` on heads, the place where the declaration begins with its first attribute or modifier,
+    and ``leads`` on those attributes, modifiers and their arguments: the position of the head they belong to."""
+    file = Window.partitionBy(*FILE).orderBy("pos")
+    so_far, to_come = file.rowsBetween(_UNBOUND, 0), Window.partitionBy(*FILE).orderBy(F.desc("pos")).rowsBetween(_UNBOUND, 0)
+    token, words = F.col("token"), (*ACCESS_WORDS, *MODIFIER_WORDS)
+    attribute = F.startswith(token, F.lit("@")) & (F.length(token) > 1)
+    type_class = (token == "class") & F.col("next").rlike(_NAMED) & ~F.col("next").isin(*NO_TYPES, *words)
+    given = (token == "(") & (F.startswith("callee", F.lit("@")) | F.col("callee").isin(*words)) & (F.col("start") == F.col("prev_stop"))
+    seen = scoped.select("*", F.lag("token", 2).over(file).alias("prev2"), F.lag("token", 3).over(file).alias("prev3"), F.coalesce(F.last(F.when(given, F.col("mate")), ignorenulls=True).over(so_far) >= F.col("pos"), F.lit(False)).alias("in_args"))
+    soft = F.col("in_args") | attribute | (token.isin(*words) & ~type_class & (F.coalesce("prev", F.lit("")) != "."))
+    seen = seen.withColumn("soft", soft)
+    seen = seen.withColumn("led", F.coalesce(F.lag("soft").over(file), F.lit(False)))
+    place = F.struct("pos", "line", "column", "doc")
+    seen = seen.withColumn("run", F.last(F.when(F.col("soft") & ~F.col("led"), place), ignorenulls=True).over(so_far))
+    seen = seen.withColumn("lead", F.when(F.col("head").isNotNull(), F.when(F.col("led"), F.col("run")).otherwise(place)))
+    upcoming = F.last(F.when(F.col("head").isNotNull(), F.struct("pos", F.col("lead.pos").alias("first"))), ignorenulls=True).over(to_come)
+    seen = seen.withColumn("upcoming", upcoming)
+    mine = F.col("soft") & (F.col("upcoming.first") <= F.col("pos")) & (F.col("upcoming.pos") > F.col("pos"))
+    return seen.withColumn("leads", F.when(mine, F.col("upcoming.pos"))).drop("soft", "led", "run", "upcoming")
+
+
+def _leading(leads: DataFrame) -> DataFrame:
+    """Per head its attributes (name, argument), modifiers and access level."""
+    file = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(_UNBOUND, 0)
+    rows = leads.where("leads IS NOT NULL").withColumn("of", F.last(F.when(~F.col("in_args"), F.col("pos")), ignorenulls=True).over(file))
+    given = F.collect_list(F.when(F.col("in_args"), F.struct("pos", _word().alias("word"), "token", "round")))
+    each = rows.groupBy(*FILE, "leads", "of").agg(F.max(F.when(~F.col("in_args"), F.col("token"))).alias("token"), F.array_sort(given).alias("args"))
+    inner = F.filter("args", lambda w, i: (i > 0) & (i < F.size("args") - 1))
+    # The first argument ends at a comma between the brackets themselves.
+    comma = F.array_min(F.transform(F.filter("args", lambda w: (w["token"] == ",") & (w["round"] == F.col("args")[0]["round"] + 1)), lambda w: w["pos"]))
+    first = F.filter(inner, lambda w: comma.isNull() | (w["pos"] < comma))
+    each = each.withColumn("argument", F.regexp_replace(_text(first), r"^[\p{L}_]\w*\s*:\s*", ""))
+    listed = each.groupBy(*FILE, F.col("leads").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("of", "token", "argument"))).alias("leading"))
+    return listed.select(
+        *FILE, "pos",
+        F.transform(F.filter("leading", lambda x: F.startswith(x["token"], F.lit("@"))), lambda x: F.struct(x["token"].alias("name"), x["argument"].alias("argument"))).alias("given"),
+        F.transform(F.filter("leading", lambda x: x["token"].isin(*MODIFIER_WORDS)), lambda x: x["token"]).alias("modifiers"),
+        F.get(F.transform(F.filter("leading", lambda x: x["token"].isin(*ACCESS_WORDS)), lambda x: x["token"]), F.lit(0)).alias("access_level"),
+    )
+
+
+def _headers(leads: DataFrame) -> DataFrame:
+    """The tokens of each declaration's head, with the clause, binding and list item that they belong to."""
+    inside = Window.partitionBy(*FILE, "brace").orderBy("pos").rowsBetween(_UNBOUND, 0)
+    leader = F.last(F.when(F.col("head").isNotNull(), F.struct("head.kind", "head.name", "pos", "lead")), ignorenulls=True).over(inside)
+    rows = leads.withColumn("of", leader).where("of IS NOT NULL AND leads IS NULL")
+    own = Window.partitionBy(*FILE, "brace", "of.pos").orderBy("pos")
+    so_far = own.rowsBetween(_UNBOUND, 0)
+    token, kind, flat, tight = F.col("token"), F.col("of.kind"), F.col("round") == 0, F.col("start") == F.col("prev_stop")
+    typed, called = kind.isin(*TYPE_WORDS), kind.isin("function", "initializer")
+    opens = (token == "<") & tight & F.col("prev").rlike(_NAMED)
+    rows = rows.withColumn("angle", F.coalesce(F.sum(F.when(opens, 1).when((token == ">") & tight, -1).otherwise(0)).over(so_far), F.lit(0)))
+    rows = rows.withColumn("conditions", F.count(F.when(token == "where", 1)).over(so_far))
+    plain = flat & (F.col("angle") == 0)
+    lists = kind.isin("variable", "enumCase")
+    mark = (
+        F.when(F.col("pos") == F.col("of.pos"), "name")
+        .when(~plain, None)
+        .when(typed & (token == ":") & (F.col("conditions") == 0), "inherits").when((typed | called) & (token == "where"), "where")
+        .when(called & token.isin(*_EFFECTS), "effects").when(called & (token == "->"), "returns").when(called & (token == "("), "params")
+        .when(lists & (token == ","), "name").when((kind == "enumCase") & (token == "("), "payload")
+        .when((kind == "variable") & (token == ":") & F.col("prev2").isin("var", "let", ","), "type").when(~called & ~typed & (token == "="), "value")
+    )
+    rows = rows.withColumn("mark", mark)
+    rows = rows.withColumn("clause", F.last("mark", ignorenulls=True).over(so_far))
+    listed = ((F.col("clause") == "inherits") & flat) | ((F.col("clause") == "params") & (F.col("round") == 1))
+    comma = (token == ",") & (F.col("angle") == 0)
+    label_end = F.col("prev2").isin("(", ",") | F.col("prev3").isin("(", ",")
+    slot = (
+        F.when(F.col("clause") != "params", None).when((token == "(") & flat, "label").when((F.col("round") != 1) | (F.col("angle") != 0), None)
+        .when(token == ",", "label").when((token == ":") & label_end, "type").when(token == "=", "default")
+    )
+    body = (token == "{") & flat & (typed | called | ((kind == "variable") & (F.col("clause").isin("name", "type") | F.col("next").isin(*_ACCESSORS))))
+    goes_on = F.coalesce(F.col("prev").isin(*_OPEN_ENDS), F.lit(False)) | token.isin(*_GOES_ON)
+    breaks = ~typed & flat & (F.col("line") != F.col("prev_line")) & ~goes_on & (F.col("pos") > F.col("of.pos") + 1)
+    directive = F.startswith(token, F.lit("#")) & token.isin("#if", "#else", "#elseif", "#endif")
+    rows = rows.select(
+        "*", body.alias("body"), slot.alias("mark2"), F.sum((body | breaks | directive | ((token == ";") & flat)).cast("int")).over(so_far).alias("ended"),
+        F.coalesce(F.sum((lists & comma & flat).cast("int")).over(so_far), F.lit(0)).alias("binding"), F.coalesce(F.sum((listed & comma).cast("int")).over(so_far), F.lit(0)).alias("item"),
+    )
+    rows = rows.where((F.col("ended") == 0) | (F.col("body") & (F.col("ended") == 1)))
+    return rows.select("*", F.last("mark2", ignorenulls=True).over(so_far).alias("slot"))
+
+
+def declared(scoped: DataFrame) -> DataFrame:
+    """The declarations of types and of files, one row per name of a ``var`` or ``case``: (projectId, filePath, pos,
+    binding, brace, kind, name, line, column, end_line, access_level, given, modifiers, inherited_types,
+    signature, type, returns, documentation, body). Those in bodies of functions and accessors are left out.
+
+    ``pos`` is the head's, ``brace`` the brace it stands in, ``body`` the one it opens, ``given`` its attributes
+    with their first argument.
+    """
+    leads = with_leads(scoped.where(F.col("scope").isNull() | F.col("scope.kind").isin(*TYPE_WORDS)))
+    rows = _headers(leads)
+    keep = F.col("mark").isNull() | (F.col("mark") == "payload") | (F.col("mark") == "effects")
+    listed = (F.col("clause") == "inherits") & (F.col("token") == ",") & (F.col("round") == 0) & (F.col("angle") == 0)
+    word = F.when(keep & ~listed & ~F.col("body"), F.struct("pos", _word().alias("word"), "token", "slot", F.coalesce(F.col("mark2").isNotNull(), F.lit(False)).alias("sign")))
+    own = [*FILE, "brace", F.col("of.pos").alias("pos"), F.col("of.kind").alias("kind"), F.col("of.name").alias("own_name"), F.col("of.lead").alias("lead"), "binding"]
+    names = [*FILE, "brace", "pos", "kind", "own_name", "lead", "binding"]
+    parts = rows.groupBy(*own, "clause", "item").agg(
+        F.array_sort(F.collect_list(word)).alias("words"), F.max(F.when(F.col("body"), F.col("mate_line")).otherwise(F.col("last_line"))).alias("end_line"), F.max(F.when(F.col("body"), F.struct(rows["pos"].alias("pos")))["pos"]).alias("body"),
+    )
+    labels = F.slice(F.filter("words", lambda w: (w["slot"] == "label") & ~w["sign"] & ~F.startswith(w["token"], F.lit("@")) & (w["token"] != ")")), 1, 2)
+    types = _text(F.filter("words", lambda w: (w["slot"] == "type") & ~w["sign"]))
+    ends = F.regexp_replace(types, r"\s*\)$", "")  # the parameter list's own bracket
+    closed = F.when(F.length(F.regexp_replace(types, r"[^(]", "")) < F.length(F.regexp_replace(types, r"[^)]", "")), ends).otherwise(types)
+    parameter = F.concat(F.array_join(F.transform(labels, lambda w: w["token"]), " "), F.lit(": "), F.regexp_replace(closed, r"\s*\.\s*\.\s*\.$", ""))
+    parts = parts.select(*names, "clause", "item", _text("words").alias("text"), parameter.alias("parameter"), F.transform("words", lambda w: w["token"]).alias("tokens"), "end_line", "body")
+    of = lambda clause, value: F.max(F.when(F.col("clause") == clause, value))
+    listing = lambda clause, value: F.transform(F.array_sort(F.collect_list(F.when((F.col("clause") == clause) & value.isNotNull(), F.struct("item", value.alias("x"))))), lambda s: s["x"])
+    whole = parts.groupBy(*names).agg(
+        of("name", F.col("text")).alias("name_text"), of("name", F.col("tokens")).alias("name_tokens"), listing("inherits", F.col("text")).alias("inherited_types"), F.concat(F.lit("("), F.array_join(listing("params", F.col("parameter")), ", "), F.lit(")")).alias("params"),
+        of("effects", F.col("tokens")).alias("effects"), of("returns", F.col("text")).alias("returns"), of("type", F.col("text")).alias("type"), of("payload", F.col("text")).alias("payload"), of("value", F.col("text")).alias("value"),
+        F.max("end_line").alias("end_line"), F.max("body").alias("body"),
+    )
+    shared = Window.partitionBy(*FILE, "pos")
+    effects = F.coalesce("effects", F.array().cast("array<string>"))
+    called = F.concat(
+        F.when(F.exists(effects, lambda e: e.isin("throws", "rethrows")), "throws ").otherwise(""), F.when(F.exists(effects, lambda e: e.isin("async", "reasync")), "async ").otherwise(""),
+        "params", F.coalesce(F.concat(F.lit(" -> "), "returns"), F.lit("")),
+    )
+    signature = (
+        F.when(F.col("kind") == "function", called).when(F.col("kind") == "initializer", F.col("params")).when(F.col("kind") == "typeAlias", F.col("value"))
+        .when(F.col("kind") == "enumCase", F.coalesce("payload", "value")).when(F.col("kind") == "variable", F.concat(F.coalesce("type", F.lit("")), F.when(F.col("body").isNotNull(), " { get }").otherwise("")))
+    )
+    first = F.regexp_replace(F.get("name_tokens", F.lit(0)), "`", "")
+    sign = F.array_join(F.filter("name_tokens", lambda t: ~t.rlike(_NAMED)), "")
+    name = F.when(F.col("kind") == "extension", F.col("name_text")).when(F.col("kind").isin("variable", "enumCase"), first).when((F.col("kind") == "function") & ~first.rlike(_NAMED), sign).otherwise(F.col("own_name"))
+    found = whole.withColumns({"end_line": F.max("end_line").over(shared), "signature": F.nullif(signature, F.lit("")), "name": name}).join(_leading(leads), [*FILE, "pos"], "left")
+    empty = F.array().cast("array<string>")
+    bare = F.col("kind") == "enumCase"
+    return found.where("name IS NOT NULL").select(
+        *FILE, "pos", "binding", "brace", "kind", "name", "lead.line", "lead.column", "end_line", F.when(~bare, F.col("access_level")).alias("access_level"), F.coalesce("given", F.array().cast("array<struct<name:string,argument:string>>")).alias("given"),
+        F.when(~bare, F.coalesce("modifiers", empty)).otherwise(empty).alias("modifiers"), "inherited_types", "signature", "type", "returns", F.when(~bare & (F.col("kind") != "extension"), F.col("lead.doc")).alias("documentation"), "body",
+    )

@@ -1,40 +1,178 @@
 """Tables of what Swift files declare, wrap, inject, compose and import, and the index that these make:
 symbols by qualified name and edges between them.
-
-Each file is read once by ``swift.read``, a row at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from symloom.sources import swift
+from symloom.session import cut
+from symloom.sources.clauses import declared
+from symloom.sources.declarations import TYPE_WORDS, scoped_tokens
+
+# The wrappers, views and endings that the reference tells apart.
+WRAPPERS = tuple("State Binding Environment EnvironmentObject Observable ObservedObject StateObject Published AppStorage SceneStorage FocusState FocusedValue Query Entry MainActor".split())
+NO_VIEWS = tuple(
+    "Color Font Image Text Spacer Divider CGFloat CGSize CGPoint CGRect String Int Double Bool Date URL Array Dictionary Set Optional AnyView EmptyView TupleView ForEach Group Section EdgeInsets Alignment HorizontalAlignment VerticalAlignment Animation Transition some Self Never".split()
+)
+NO_VIEW_ENDINGS = tuple("ViewModel Model Manager Service Repository Store Controller Coordinator Provider Factory Handler Delegate DataSource Helper Formatter Router Interactor Presenter UseCase".split())
+CONTROL = ("if", "else", "for", "while", "repeat", "switch", "do", "catch", "guard", "defer")
 
 _TEXTS = ("fact", "kind", "name", "parent", "access_level", "signature", "documentation", "argument")
 _LISTS = ("attributes", "modifiers", "inherited_types")
 _NUMBERS = ("pos", "line", "column", "end_line")
-FACTS = ", ".join(["projectId long", "filePath string", *[f"{c} string" for c in _TEXTS], *[f"{c} array<string>" for c in _LISTS], *[f"{c} int" for c in _NUMBERS], "testable boolean"])
+_TYPES = {**dict.fromkeys(_TEXTS, "string"), **dict.fromkeys(_LISTS, "array<string>"), **dict.fromkeys(_NUMBERS, "int"), "testable": "boolean"}
+FACTS = ", ".join(["projectId long", "filePath string", *[f"{c} {t}" for c, t in _TYPES.items()]])
 _KEY = ["projectId", "filePath"]
 
 
+def _short(text: Column, most: int) -> Column:
+    return F.when(F.length(text) <= 40, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
+
+
+def _joined(words: Column | str) -> Column:
+    return F.trim(F.array_join(F.transform(F.array_sort(words), lambda w: w["word"]), ""))
+
+
+def _conditions(scoped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What composed views depend on: (chain, at, label) of each ``if``, where chain is the first one of its
+    else-chain, and (at, label) of each label of a ``switch``; ``at`` are token positions."""
+    inside = Window.partitionBy(*_KEY, "brace").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    token, word = F.col("token"), F.struct("pos", F.concat(F.when(F.col("start") > F.col("prev_stop"), " ").otherwise(""), "token").alias("word"))
+    begins = (token == "if") & (F.coalesce("prev", F.lit("")) != ".") & (F.col("next") != ":")
+    ifs = scoped.select("*", F.last(F.when(begins, F.struct("pos", "piece")), ignorenulls=True).over(inside).alias("of")).where("of IS NOT NULL AND pos > of.pos AND piece = of.piece AND token <> '{'")
+    texts = ifs.groupBy(*_KEY, "brace", F.col("of.pos").alias("at")).agg(F.concat(F.lit("if "), _short(_joined(F.collect_list(word)), 37)).alias("label"))
+    place = scoped.where(begins).select(*_KEY, "brace", F.col("pos").alias("at"), F.last(F.when(F.coalesce("prev", F.lit("")) != "else", F.col("pos")), ignorenulls=True).over(inside).alias("chain"))
+    labels = token.isin("case", "default") & (F.col("scope.name") == "switch") & ~F.coalesce(F.col("prev").isin("if", "guard", "while", "for", ",", "."), F.lit(False))
+    cases = scoped.where("scope.name = 'switch'").select("*", F.last(F.when(labels, F.col("pos")), ignorenulls=True).over(inside).alias("of"), F.last(F.when(labels | ((token == ":") & (F.col("round") == 0)) | (token == "where"), token), ignorenulls=True).over(inside).alias("state"))
+    named = cases.where("of IS NOT NULL").groupBy(*_KEY, F.col("of").alias("at")).agg(F.max(F.when(F.col("pos") == F.col("of"), token)).alias("word"), F.collect_list(F.when((F.col("state") == "case") & (F.col("pos") > F.col("of")), word)).alias("words"))
+    return place.join(texts, [*_KEY, "brace", "at"]).select(*_KEY, "chain", "at", "label"), named.select(*_KEY, "at", F.when(F.col("word") == "case", F.concat(F.lit("case "), _short(_joined("words"), 35))).otherwise("default").alias("label"))
+
+
+def _braces(scoped: DataFrame, found: DataFrame) -> DataFrame:
+    """Per brace, by its position ``brace``: whether all around it are types (``emits``), the innermost type and
+    declaration, whether a view builder is among them, and the conditions it stands under."""
+    inside = Window.partitionBy(*_KEY, "brace").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    token = F.col("token")
+    labels = token.isin("case", "default") & (F.col("scope.name") == "switch") & ~F.coalesce(F.col("prev").isin("if", "guard", "while", "for", ",", "."), F.lit(False))
+    chained = (token == "if") & (F.coalesce("prev", F.lit("")) != ".") & (F.coalesce("prev", F.lit("")) != "else")
+    opened = scoped.select(
+        "*", F.when(F.col("scope.name") == "switch", F.last(F.when(labels, F.col("pos")), ignorenulls=True).over(inside)).alias("case"), F.last(F.when(chained, F.col("pos")), ignorenulls=True).over(inside).alias("chain"),
+        F.last(F.when(token == "else", F.col("prev")), ignorenulls=True).over(inside).alias("else_after"),
+    ).where("token = '{'")
+    ifs, cases = _conditions(scoped)
+    of_if = (F.col("opens.name") == "if") | ((F.col("opens.name") == "else") & (F.col("else_after") == "}"))
+    opened = opened.select(*_KEY, "pos", "above", "case", F.when((F.col("opens.kind") == "block") & of_if, F.col("chain")).alias("chain"), (F.coalesce("callee", F.lit("")) == "ForEach").alias("each"))
+    under = opened.where("chain IS NOT NULL").join(ifs, [*_KEY, "chain"]).where("at < pos").groupBy(*_KEY, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("ifs"))
+    case = cases.select(*_KEY, F.col("at").alias("case"), F.col("label").alias("case_label"))
+    bodies = found.where("body IS NOT NULL").groupBy(*_KEY, F.col("body").alias("pos")).agg(F.min(F.struct("binding", "kind", "name", "given", "type", "returns", "inherited_types", "line")).alias("d"))
+    builder = F.exists("d.given", lambda g: g["name"] == "@ViewBuilder")
+    is_view = F.when(F.col("d.kind") == "function", builder | F.contains(F.coalesce("d.returns", F.lit("")), F.lit("View"))).when(F.col("d.kind") == "variable", builder | (F.col("d.name") == "body") | F.contains(F.coalesce("d.type", F.lit("")), F.lit("View")))
+    texts = F.concat(F.array_compact(F.array("case_label")), F.coalesce("ifs", F.array().cast("array<string>")), F.when(F.col("each"), F.array(F.lit("ForEach"))).otherwise(F.array().cast("array<string>")))
+    known = opened.join(under, [*_KEY, "pos"], "left").join(case, [*_KEY, "case"], "left").join(bodies, [*_KEY, "pos"], "left").select(
+        *_KEY, F.col("pos").alias("at"), F.struct("d.kind", "d.name", "d.inherited_types", "d.line").alias("d"), F.coalesce(is_view, F.lit(False)).alias("view"), texts.alias("labels")
+    )
+    chains = opened.select(*_KEY, F.col("pos").alias("brace"), F.explode(F.concat("above", F.array("pos"))).alias("at")).join(known, [*_KEY, "at"])
+    type_ = F.coalesce(F.col("d.kind").isin(*TYPE_WORDS), F.lit(False))
+    return chains.groupBy(*_KEY, "brace").agg(
+        F.min(type_).alias("emits"), F.max(F.struct("at", "d")).alias("inner"), F.max(F.when(type_ & ~F.col("d.kind").isin("actor", "protocol"), F.struct("at", "d"))).alias("owner"), F.max("view").alias("viewing"),
+        F.coalesce(F.max(F.col("d.kind") == "variable"), F.lit(False)).alias("hidden"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "labels"))), lambda x: x["labels"])).alias("labels"),
+    ).select(*_KEY, "brace", "emits", F.col("inner.d").alias("inner"), F.col("owner.d.name").alias("owner"), "viewing", "hidden", "labels")
+
+
+def _rows(rows: DataFrame, fact: str, **columns: Column) -> DataFrame:
+    """Facts of one sort, with nulls and empty lists for what they don't say."""
+    none = {c: F.array() if c in _LISTS else F.lit(None) for c in _TYPES if c not in ("fact", *_LISTS)} | {c: F.lit(None) for c in _LISTS}
+    values = none | columns | {"fact": F.lit(fact)}
+    return rows.select(*_KEY, *[values[c].cast(t).alias(c) for c, t in _TYPES.items()])
+
+
 def facts(sources: DataFrame) -> DataFrame:
-    """The facts of each file with content, each file once; ``pos`` is their order in the file."""
-    schema = to_arrow_schema(StructType.fromDDL(FACTS))
+    """The facts of each file with content, each file once: declarations, imports, wrappers, environment keys and
+    injections, composed views; ``pos`` is their order in the file.
+
+    Tokens and declarations are written once, as several facts are read from them. An injection has the
+    line on which its statement begins.
+    """
+    wide = scoped_tokens(sources)
+    scoped = cut(wide.drop("leader"))
+    found = cut(declared(scoped))
+    braces = cut(_braces(scoped, found))
+    col = F.col
+    top = col("brace") == -1
+    held = found.join(braces, [*_KEY, "brace"], "left").withColumns({"emits": top | F.coalesce("emits", F.lit(False)), "order": col("pos") * 64 + col("binding")})
+    parent = F.when(~top, col("inner.name"))
+    listed = held.where("emits").where((col("kind") != "enumCase") | (col("inner.kind") == "enum")).where((col("kind") != "initializer") | ~top)
+    names = F.transform("given", lambda g: g["name"])
+    rows = [_rows(listed, "declaration", pos=col("order"), kind=col("kind"), name=col("name"), parent=parent, access_level=col("access_level"), signature=col("signature"), documentation=col("documentation"), attributes=F.when(col("kind") == "enumCase", F.array().cast("array<string>")).otherwise(names), modifiers=col("modifiers"), inherited_types=col("inherited_types"), line=col("line"), column=col("column"), end_line=col("end_line"))]
+    used = held.where("kind = 'variable' AND owner IS NOT NULL AND NOT hidden").select("*", F.explode("given").alias("w")).where(F.substring("w.name", 2, 1 << 30).isin(*WRAPPERS))
+    rows.append(_rows(used, "wrapper", pos=col("order"), kind=F.substring("w.name", 2, 1 << 30), name=col("name"), argument=col("w.argument"), parent=col("owner"), line=col("line")))
+    inner = held.where("kind = 'variable' AND inner.kind IN ('struct', 'extension')")
+    keys = inner.where(F.array_contains("inner.inherited_types", "EnvironmentKey") & (col("name") == "defaultValue"))
+    rows.append(_rows(keys, "key", pos=col("order"), name=col("inner.name"), signature=col("type"), parent=col("inner.name"), line=col("inner.line")))
+    values = inner.where("inner.kind = 'extension' AND inner.name = 'EnvironmentValues'")
+    rows.append(_rows(values, "key", pos=col("order"), name=col("name"), signature=col("type"), parent=F.lit("EnvironmentValues"), line=col("line")))
+    rows.append(_imports(scoped))
+    calls = _calls(scoped, braces)
+    rows += [_rows(calls.where("what = 'view'"), "view", pos=col("pos") * 64, line=col("line"), parent=col("owner"), name=col("view"), argument=F.nullif(F.array_join("context", " > "), F.lit("")))]
+    rows += [_rows(calls.where("what = 'injection'"), "injection", pos=col("pos") * 64, line=col("line"), parent=col("owner"), argument=col("key"))]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    return every
+
+
+def _imports(scoped: DataFrame) -> DataFrame:
+    """Imports of modules by their whole path; ``import struct A.B`` imports that type's path."""
+    file = Window.partitionBy(*_KEY).orderBy("pos")
+    begins = (F.col("token") == "import") & (F.col("brace") == -1)
+    rows = scoped.where("brace = -1").select("*", F.last(F.when(begins, F.struct("pos", "line", "prev")), ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, 0)).alias("of"))
+    own = Window.partitionBy(*_KEY, "of.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    sort = F.col("token").isin("struct", "class", "enum", "protocol", "func", "let", "var", "typealias", "actor") & (F.col("prev") == "import")
+    rows = rows.where("of IS NOT NULL AND pos > of.pos").where(~sort)
+    goes_on = (F.col("token") == ".") | (F.col("prev") == ".") | F.col("prev").isin("import", "struct", "class", "enum", "protocol", "func", "let", "var", "typealias", "actor")
+    path = rows.select("*", F.sum((~goes_on).cast("int")).over(own).alias("ended")).where("ended = 0").groupBy(*_KEY, "of").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("token").alias("word")))).alias("words"))
+    return _rows(path, "import", pos=F.col("of.pos") * 64, line=F.col("of.line"), name=_joined("words"), testable=F.coalesce(F.col("of.prev") == "@testable", F.lit(False)))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file in batch.to_pylist():
-                text = file.pop("content")
-                yield pa.RecordBatch.from_pylist([file | fact | {"pos": i} for i, fact in enumerate(swift.read(text))], schema=schema)
 
-    files = sources.where("content IS NOT NULL AND filePath IS NOT NULL").groupBy(*_KEY).agg(F.max("content").alias("content"))
-    return files.mapInArrow(rows, FACTS)
+def _calls(scoped: DataFrame, braces: DataFrame) -> DataFrame:
+    """(what, owner, view, key, context, line): views composed and environment values given."""
+    file, inside = Window.partitionBy(*_KEY).orderBy("pos"), Window.partitionBy(*_KEY, "brace").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    token, prev = F.col("token"), F.coalesce("prev", F.lit(""))
+    near = lambda c, i: F.lead(c, i).over(file)
+    begins = (F.col("round") == 0) & ((F.col("line") != F.col("prev_line")) | F.col("prev").isNull() | F.col("prev").isin("{", ";", "in", "return", "else", ":")) & ~token.isin(".", "}", "?", ":")
+    labels = token.isin("case", "default") & (F.col("scope.name") == "switch") & ~F.coalesce(F.col("prev").isin("if", "guard", "while", "for", ",", "."), F.lit(False))
+    seen = scoped.select(
+        *_KEY, "pos", "token", "prev", "next", "line", "brace", "scope", near("line", 1).alias("next_line"), near("opens", 1).alias("next_opens"), *[near("token", i).alias(f"next{i}") for i in (2, 3, 4, 5)], F.lag("token", 3).over(file).alias("prev3"), "last_line",
+        F.last(F.when(begins, F.col("line")), ignorenulls=True).over(inside).alias("statement"), F.when(F.col("scope.name") == "switch", F.last(F.when(labels, F.col("pos")), ignorenulls=True).over(inside)).alias("case"),
+    ).where("brace >= 0").where((token.rlike(r"^`?\p{Lu}") | token.isin("environment", "environmentObject", "for")) & F.col("next").isin("(", "{", ":"))
+    called = (F.col("next") == "(") & (F.col("next_line") == F.col("last_line"))
+    control = F.coalesce((F.col("next_opens.kind") == "block") & F.col("next_opens.name").isin(*CONTROL), F.lit(False)) | F.coalesce(F.col("next_opens.kind").isin(*TYPE_WORDS, "function", "initializer", "variable"), F.lit(False))
+    typed = prev.isin("->", "is", "as", "some", "any") | ((prev == ":") & F.coalesce(F.col("prev3").isin("var", "let"), F.lit(False)))
+    closure = (F.col("next") == "{") & ~control & ~typed & ~F.coalesce(F.col("next2").isin("get", "set", "willSet", "didSet"), F.lit(False))
+    declares = prev.isin("func", "struct", "class", "enum", "protocol", "actor", "extension", "#")
+    gives = token.isin("environment", "environmentObject") & (prev == ".") & (F.col("next") == "(")
+    leads_to = (token == "for") & (F.col("next") == ":") & (F.col("next3") == ".") & (F.col("next4") == "self") & F.col("next5").isin(")", ",")
+    ends = F.lit(False)
+    for ending in NO_VIEW_ENDINGS:
+        ends = ends | F.endswith(token, F.lit(ending))
+    shown = F.col("viewing") & (called | closure) & token.rlike(r"^\p{Lu}") & ~token.isin(*NO_VIEWS) & (token != F.col("owner")) & ~ends & ~declares
+    _, cases = _conditions(scoped)
+    met = seen.join(braces, [*_KEY, "brace"]).where("owner IS NOT NULL").join(cases.select(*_KEY, F.col("at").alias("case"), "label"), [*_KEY, "case"], "left")
+    what = F.when(gives, "injection").when(leads_to | shown, "view")
+    found = met.withColumn("what", what).where("what IS NOT NULL")
+    view = F.when(leads_to, F.concat(F.lit("NavigationDestination("), "next2", F.lit(")"))).otherwise(token)
+    context = F.when(leads_to, F.array().cast("array<string>")).otherwise(F.concat("labels", F.array_compact(F.array("label"))))
+    # The first argument of what is injected, without its label.
+    opens = F.when((token == "(") & F.col("callee").isin("environment", "environmentObject"), F.struct("pos", "mate", "round"))
+    inner = scoped.select("*", F.last(opens, ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, 0)).alias("of")).where((F.col("pos") > F.col("of.pos")) & (F.col("pos") < F.col("of.mate")))
+    own = Window.partitionBy(*_KEY, "of.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    first = inner.withColumn("commas", F.sum(((token == ",") & (F.col("round") == F.col("of.round") + 1)).cast("int")).over(own)).where("commas = 0")
+    word = F.struct("pos", F.concat(F.when(F.col("start") > F.col("prev_stop"), " ").otherwise(""), "token").alias("word"))
+    keys = first.groupBy(*_KEY, (F.col("of.pos") - 1).alias("pos")).agg(F.regexp_replace(_joined(F.collect_list(word)), r"^[\p{L}_]\w*\s*:\s*", "").alias("key"))
+    placed = found.select(*_KEY, "pos", "what", "owner", view.alias("view"), context.alias("context"), F.when(prev == ".", F.coalesce("statement", "line")).otherwise(F.col("line")).alias("line"))
+    return placed.join(keys, [*_KEY, "pos"], "left").where("what = 'view' OR key IS NOT NULL")
 
 
 def declarations(found: DataFrame) -> DataFrame:

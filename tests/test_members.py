@@ -1,4 +1,5 @@
-from symloom.sources import members, swift
+from symloom.sources import members
+from symloom.sources.lexer import lex
 from symloom.streaming.incremental import VERSIONS, current_facts, follow
 from tests.conftest import as_set
 
@@ -97,7 +98,18 @@ def test_stream_keeps_all_facts(spark, rows, tmp_path):
     assert as_set(members.edges(current_facts(spark, table))) == as_set(members.edges(full)) != set()
 
 
-def test_odd_texts():
-    for text in ("", "}}} {", "class", 'let a = "open', "/* open", "func", "case", "@", 'let a = "\\(', "struct A {" * 3000, "let x = " + "[" * 20_000, "func f(" * 2000, "if x " * 2000, "<" * 20_000):
-        swift.read(text)
-    assert [x["name"] for x in swift.read("#if DEBUG\nlet a = 1\n#else\nlet b = 2\n#endif\n/* a /* b */ let c = 1 */ let d = 4")] == ["a", "b", "d"]
+def test_odd_texts(rows):
+    odd = ["", "}}} {", "class", 'let a = "open', "/* open", "func", "case", "@", 'let a = "\\(', "struct A {" * 300, "let x = " + "[" * 20_000, "func f(" * 200, "if x " * 200, "<" * 2_000, "#if A\n", "init", "private", "x.y.z(", "switch x { case", "@A(b", '"' * 7]
+    told = "#if DEBUG\nlet a = 1\n#else\nlet b = 2\n#endif\n/* a /* b */ let c = 1 */ let d = 4"
+    found = members.facts(rows([(1, f"/{i}.swift", t) for i, t in enumerate([*odd, told])], FILES)).cache()
+    assert [r.name for r in found.where(f"filePath = '/{len(odd)}.swift'").orderBy("pos").collect()] == ["a", "b", "d"]
+    assert found.count() > 3
+
+
+def test_lexer_of_odd_texts():
+    for text in ('a "b\\(c("d\\(e)f"))g" h', '#"a\\#(b)"#c', '"""\na "q" \\("x")\n"""z', '"a\\', "#", '"\\("' * 50, "struct A {" * 3000, '"\\(' * 3000, "/*" * 3000):
+        found = lex(text)
+        assert len({len(c) for c in found.values()}) == 1 and all(text[a:b] == t for t, a, b in zip(found["token"], found["start"], found["stop"], strict=True))
+    assert lex('a "b\\(c("d\\(e)f"))g" h')["token"] == ["a", '"b\\(c("d\\(e)f"))g"', "h"]
+    assert lex("a /* b /* c */ d */ e // f\n g")["token"] == ["a", "e", "g"]
+    assert lex("(a[{b}]) }")["mate"] == [7, None, 6, 5, None, 3, 2, 0, None]
