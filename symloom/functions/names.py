@@ -5,14 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Kinds of symbols and edges, and access levels.
-NODE_KINDS = ("module", "file", "struct", "class", "enum", "protocol", "actor", "extension", "function", "variable", "initializer", "typeAlias", "enumCase", "macro")
-EDGE_KINDS = (
-    "contains", "imports", "conformsTo", "inherits", "extends", "composesView", "usesEnvironment", "declaresEnvironment", "dependsOn", "references", "calls", "appliesWrapper", "overrides",
-    "implementsRequirement",
-)
+# The kinds of types, what counts as visible at each level, and prefixes of qualified names.
 TYPE_KINDS = ("struct", "class", "enum", "actor", "protocol")
-ACCESS_LEVELS = ("open", "public", "package", "internal", "fileprivate", "private")
 API_LEVELS = {"public": ("public", "open"), "internal": ("public", "open", "internal"), "all": ("public", "open", "internal", "fileprivate", "private")}
 PLACEHOLDER, FILE, MODULE = "unresolved:", "file:", "module:"
 

@@ -74,8 +74,8 @@ def inheritance_edges(nodes: DataFrame, toolkit: int | None = None) -> DataFrame
     return met.select("sourceId", F.col("target").alias("targetId"), kind.alias("kind")).distinct()
 
 
-def reference_edges(nodes: DataFrame, references: DataFrame, toolkit: int | None = None) -> DataFrame:
-    """(sourceId, targetId): distinct references from a type, named by file and name, to types by name.
+def reference_sites(nodes: DataFrame, references: DataFrame, toolkit: int | None = None) -> DataFrame:
+    """(sourceId, targetId, filePath, line): where a type, named by file and name, refers to types by name.
 
     What an extension refers to is what its type refers to; nothing refers to itself.
     """
@@ -83,33 +83,45 @@ def reference_edges(nodes: DataFrame, references: DataFrame, toolkit: int | None
     # Of several holders of a name in a file a type comes before its extensions.
     one = holders.groupBy("projectId", "filePath", "container").agg(F.min(F.struct("is_extension", "holder")).alias("h"))
     base = _first_by_name(nodes, *TYPE_KINDS).select("projectId", F.col("name").alias("container"), F.col("target").alias("base"))
-    facts = references.select("projectId", "filePath", "container", F.col("referenced").alias("name")).distinct()
+    facts = references.select("projectId", "filePath", "container", F.col("referenced").alias("name"), "line").distinct()
     held = facts.join(one, ["projectId", "filePath", "container"]).join(base, ["projectId", "container"], "left")
     source = F.when(F.col("h.is_extension"), F.coalesce("base", "h.holder")).otherwise(F.col("h.holder"))
     met = _meet(held, nodes, toolkit, *REFERRED)
-    return met.select(source.alias("sourceId"), F.col("target").alias("targetId")).where("sourceId <> targetId").distinct()
+    return met.select(source.alias("sourceId"), F.col("target").alias("targetId"), "filePath", "line").where("sourceId <> targetId")
 
 
-def call_edges(nodes: DataFrame, contains: DataFrame, calls: DataFrame, toolkit: int | None = None) -> DataFrame:
-    """(sourceId, targetId, metadata): calls resolved by their receiver's type, as makers of an instance,
-    or as free functions; of several ways to one link the first of these counts, then the least kind.
+def reference_edges(nodes: DataFrame, references: DataFrame, toolkit: int | None = None) -> DataFrame:
+    """(sourceId, targetId): the distinct links of ``reference_sites``."""
+    return reference_sites(nodes, references, toolkit).select("sourceId", "targetId").distinct()
+
+
+def call_sites(nodes: DataFrame, contains: DataFrame, calls: DataFrame, toolkit: int | None = None) -> DataFrame:
+    """(sourceId, targetId, way, call_kind, filePath, line): calls resolved by their receiver's type (way 1), as
+    makers of an instance (2), or as free functions (3).
 
     ``contains`` has sourceId and targetId. Callers are found by file, line and name; calls whose
     callee has no symbol are dropped.
     """
     functions = nodes.where("kind IN ('function', 'initializer')")
     callers = functions.select("projectId", "filePath", F.col("line").alias("caller_line"), F.col("name").alias("caller"), F.col("id").alias("sourceId"))
-    facts = calls.select("projectId", "filePath", "caller", "caller_line", "callee", "receiver", "call_kind").distinct().join(callers, ["projectId", "filePath", "caller_line", "caller"])
+    facts = calls.select("projectId", "filePath", "caller", "caller_line", "callee", "receiver", "call_kind", "line").distinct().join(callers, ["projectId", "filePath", "caller_line", "caller"])
+    place = ("filePath", "line")
     types = _real(nodes).where(F.col("kind").isin(*TYPE_KINDS)).select("projectId", F.col("name").alias("receiver"), F.col("id").alias("owner"))
     members = contains.select(F.col("sourceId").alias("owner"), F.col("targetId").alias("targetId")).join(nodes.select(F.col("id").alias("targetId"), "name", "kind"), "targetId")
     typed = facts.where("receiver IS NOT NULL").join(types, ["projectId", "receiver"])
-    by_type = typed.join(members.where("kind IN ('function', 'variable', 'initializer')").select("owner", F.col("name").alias("callee"), "targetId"), ["owner", "callee"]).select("sourceId", "targetId", F.lit(1).alias("way"), "call_kind")
-    makers = typed.where("call_kind = 'initCall'").join(members.where("kind = 'initializer'").select("owner", "targetId"), "owner").select("sourceId", "targetId", F.lit(2).alias("way"), F.lit("initCall").alias("call_kind"))
+    by_type = typed.join(members.where("kind IN ('function', 'variable', 'initializer')").select("owner", F.col("name").alias("callee"), "targetId"), ["owner", "callee"]).select("sourceId", "targetId", F.lit(1).alias("way"), "call_kind", *place)
+    makers = typed.where("call_kind = 'initCall'").join(members.where("kind = 'initializer'").select("owner", "targetId"), "owner").select("sourceId", "targetId", F.lit(2).alias("way"), F.lit("initCall").alias("call_kind"), *place)
     # Free functions: those no type contains. Overloads are one name, so a call means the first of them.
     free = _real(nodes).join(contains.select(F.col("targetId").alias("id")), "id", "left_anti")
-    plain = facts.where("call_kind IN ('freeCall', 'selfCall')").select("projectId", F.col("callee").alias("name"), "sourceId").distinct()
-    freely = _meet(plain, free, toolkit, "function").select("sourceId", F.col("target").alias("targetId"), F.lit(3).alias("way"), F.lit("freeCall").alias("call_kind"))
-    found = by_type.unionByName(makers).unionByName(freely).where("sourceId <> targetId")
+    plain = facts.where("call_kind IN ('freeCall', 'selfCall')").select("projectId", F.col("callee").alias("name"), "sourceId", *place).distinct()
+    freely = _meet(plain, free, toolkit, "function").select("sourceId", F.col("target").alias("targetId"), F.lit(3).alias("way"), F.lit("freeCall").alias("call_kind"), *place)
+    return by_type.unionByName(makers).unionByName(freely).where("sourceId <> targetId")
+
+
+def call_edges(nodes: DataFrame, contains: DataFrame, calls: DataFrame, toolkit: int | None = None) -> DataFrame:
+    """(sourceId, targetId, metadata): the links of ``call_sites``; of several ways to one link the least counts,
+    then the least kind."""
+    found = call_sites(nodes, contains, calls, toolkit)
     return found.groupBy("sourceId", "targetId").agg(F.min(F.struct("way", "call_kind")).alias("first")).select("sourceId", "targetId", F.col("first.call_kind").alias("metadata"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symloom.operators import resolve
 from symloom.operators.paths import inner_path, longest_prefix
 from symloom.operators.records import cascade, first_writer_wins, last_writer_wins, set_null, unique_by
 from symloom.operators.snapshots import trimmed
@@ -62,6 +63,39 @@ def symbol_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return ask.lookup(graph, rows.select("projectId", F.col("name").alias("query")).unionByName(rows.select("projectId", F.col("qualifiedName").alias("query"))))
 
 
+def function_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    graph = Graph.read(spark, folder)
+    rows = graph.symbols.where("kind IN ('function', 'initializer')")
+    return ask.lookup_functions(graph, rows.select("projectId", F.col("name").alias("query")).unionByName(rows.select("projectId", F.col("qualifiedName").alias("query"))))
+
+
+def diff_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """What changed between the first and the second snapshot of all projects, by name, kind and parent."""
+    rows = table(spark, folder, "symbol_snapshots").select("projectId", "snapshotNo", "name", "kind", F.regexp_extract("qualifiedName", r"^(.*)\.[^.]*$", 1).alias("parent"), "signature")
+    return ask.diff_symbols(rows.where("snapshotNo = 1"), rows.where("snapshotNo = 2"))
+
+
+def enrich_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usr of the index, taken away and found again from a compiler's definitions made of it."""
+    symbols = unique_by(table(spark, folder, "symbols"), ["id"])
+    defined = symbols.where("usr IS NOT NULL AND filePath IS NOT NULL").select("filePath", "line", F.col("usr").alias("symbolUSR"), F.concat("name", F.lit("()")).alias("symbolName"), F.array(F.lit("definition")).alias("roles"))
+    return resolve.enrich_symbols(symbols.withColumn("usr", F.lit(None).cast("string")), defined).where("usr IS NOT NULL").select(F.col("id").alias("symbol_id"), "usr")
+
+
+def compiler_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls, overrides and requirements from a compiler's occurrences, which are made of the edges between symbols with a usr."""
+    graph = Graph.read(spark, folder)
+    named = graph.nodes("usr", "name").where("usr IS NOT NULL")
+    roles = F.create_map(F.lit("calls"), F.lit("calledBy"), F.lit("overrides"), F.lit("overrideOf"), F.lit("implementsRequirement"), F.lit("baseOf"))
+    turned = F.col("kind").isin("calls", "implementsRequirement")
+    ends = graph.links("calls", "overrides", "implementsRequirement").join(named.select(F.col("id").alias("sourceId"), F.col("usr").alias("a")), "sourceId").join(named.select(F.col("id").alias("targetId"), F.col("usr").alias("b")), "targetId")
+    seen = ends.select(
+        F.when(turned, F.col("b")).otherwise(F.col("a")).alias("symbolUSR"), F.array(F.when(F.col("kind") == "calls", "call").otherwise("definition")).alias("roles"),
+        F.array(F.struct(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("usr"), F.array(roles[F.col("kind")]).alias("roles"))).alias("relations"),
+    )
+    return resolve.compiler_edges(named, seen)
+
+
 def impact_incoming(spark: SparkSession, folder: str) -> DataFrame:
     graph = Graph.read(spark, folder)
     return ask.impact(graph, _searchers(graph))
@@ -136,12 +170,13 @@ def file_module_inner_path(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "read_symbol": read_symbol, "search_attribute": search_attribute, "search_module": search_module, "search_text": search_text, "search_text_filtered": search_text_filtered, "symbol_lookup": symbol_lookup,
-    "symbol_relations": _graph(ask.symbol_relations), "symbols_in_file": _graph(ask.symbols_in_file), "find_usages": _graph(ask.find_usages), "usage_context": usage_context,
+    "symbol_relations": _graph(ask.symbol_relations), "symbols_in_file": _graph(ask.symbols_in_file), "edge_usages": _graph(ask.find_usages), "usage_context": usage_context,
     "find_conformers": _graph(ask.find_conformers), "protocol_coverage": _graph(ask.protocol_coverage), "protocol_impact": _graph(ask.protocol_impact), "dependencies": _graph(ask.dependencies),
     "impact_incoming": impact_incoming, "impact_outgoing": impact_outgoing, "call_graph_callers": call_graph_callers, "call_graph_callees": call_graph_callees, "view_trees": _graph(ask.view_trees),
     "dead_code": _graph(ask.dead_code), "near_dead_code": near_dead_code, "access_audit": _graph(ask.access_audit), "test_coverage": _graph(ask.test_coverage), "test_coverage_summary": test_coverage_summary,
     "cross_module_usage": _graph(ask.cross_module_usage), "module_graph": _graph(ask.module_graph), "module_api": _graph(ask.module_api), "module_api_internal": module_api_internal,
-    "architecture": _graph(ask.architecture), "top_protocols": _graph(ask.top_protocols), "list_extensions": _graph(ask.list_extensions), "rename_sites": _graph(ask.rename_sites),
+    "architecture": _graph(ask.architecture), "top_protocols": _graph(ask.top_protocols), "list_extensions": _graph(ask.list_extensions), "rename_sites": _graph(ask.rename_sites), "override_classes": _graph(ask.override_classes),
+    "parent_types": _graph(ask.parent_types), "function_lookup": function_lookup, "diff_snapshots": diff_snapshots, "enrich_symbols": enrich_symbols, "compiler_edges": compiler_edges,
     "edges_first_writer_wins": edges_first_writer_wins, "edges_cascade": edges_cascade, "symbols_set_null": symbols_set_null, "snapshots_upsert": snapshots_upsert,
     "hashes_latest": hashes_latest, "incremental_states": incremental_states, "file_module_longest_prefix": file_module_longest_prefix, "file_module_inner_path": file_module_inner_path,
 }
@@ -250,7 +285,7 @@ QUALIFY row_number() OVER (PARTITION BY a.projectId, a.query ORDER BY m.rank, m.
 SELECT symbol_id, section, other_id, s.name AS other_name, s.kind AS other_kind FROM seen JOIN s ON s.id = other_id""",
     "symbols_in_file": _G
     + "\nSELECT filePath AS file_path, CAST(row_number() OVER (PARTITION BY filePath ORDER BY line NULLS FIRST, name, id) AS INT) AS place, id AS symbol_id, kind, name FROM s WHERE filePath IS NOT NULL AND NOT starts_with(lower(qualifiedName), 'unresolved:') AND NOT starts_with(lower(qualifiedName), 'file:')",
-    "find_usages": _USAGES + "\nSELECT * FROM usages",
+    "edge_usages": _USAGES + "\nSELECT * FROM usages",
     "usage_context": _USAGES
     + f""", files AS (SELECT filePath, max(content) AS content FROM source_files GROUP BY 1), cut AS (SELECT u.symbol_id, u.file_path, u.line, {_LINES} AS lines FROM usages u JOIN files f ON f.filePath = u.file_path WHERE u.line > 0)
 SELECT symbol_id, file_path, line, CASE WHEN lines IS NOT NULL THEN coalesce(array_to_string([format('{{}}{{:4d}} | {{}}', CASE WHEN i = line THEN '>' ELSE ' ' END, i, lines[i]) FOR i IN range(greatest(line - 1, 1), least(line + 1, len(lines)) + 1)], '\n'), '') END AS source FROM cut""",
@@ -270,8 +305,8 @@ SELECT symbol_id, file_path, line, CASE WHEN lines IS NOT NULL THEN coalesce(arr
 seen AS (SELECT s.id, accessLevel AS access, low IS NULL AS unused, low = filePath AND high = filePath AS own FROM s LEFT JOIN used u ON u.targetId = s.id
   WHERE accessLevel IN ('public', 'open', 'internal') AND kind IN ('struct', 'class', 'enum', 'actor', 'protocol', 'function', 'variable', 'typeAlias') AND filePath IS NOT NULL AND NOT starts_with(lower(qualifiedName), 'unresolved:') AND {_OUTSIDE}
   AND s.id NOT IN (SELECT sourceId FROM e WHERE kind = 'implementsRequirement'))
-SELECT id AS symbol_id, access, CASE WHEN access = 'internal' THEN 'private or fileprivate' WHEN unused THEN 'internal or private' ELSE 'fileprivate or private' END AS suggested,
-  CASE WHEN unused THEN 'No external references found' ELSE 'Only referenced within same file' END AS reason FROM seen WHERE unused OR own""",
+SELECT id AS symbol_id, access, CASE WHEN access = 'internal' THEN 'private' WHEN unused THEN 'internal' ELSE 'fileprivate' END AS suggested,
+  CASE WHEN unused THEN 'unused' ELSE 'one_file' END AS reason FROM seen WHERE unused OR own""",
     "test_coverage": _COVERAGE + "\nSELECT * FROM covered",
     "test_coverage_summary": _COVERAGE
     + """
@@ -306,9 +341,23 @@ sites AS (SELECT id AS symbol_id, id AS at_id, 1 AS rank, 'declaration' AS categ
   UNION ALL SELECT t.id, x.id, 4, 'extension' FROM types t JOIN named x ON x.kind = 'extension' AND x.projectId = t.projectId AND x.name = t.name
   UNION ALL SELECT targetId, sourceId, 5, 'function call' FROM e WHERE kind = 'calls'
   UNION ALL SELECT targetId, sourceId, 6, 'protocol implementation' FROM e WHERE kind = 'implementsRequirement' AND targetId IN (SELECT c.targetId FROM e c JOIN s p ON p.id = c.sourceId AND p.kind = 'protocol' WHERE c.kind = 'contains')
-  UNION ALL SELECT a.sourceId, b.sourceId, 7, 'override' FROM e a JOIN e b ON b.targetId = a.targetId AND b.kind = 'overrides' AND b.sourceId <> a.sourceId WHERE a.kind = 'overrides'
   UNION ALL SELECT sourceId, targetId, 8, 'overridden base' FROM e WHERE kind = 'overrides')
 SELECT symbol_id, p.filePath AS file_path, p.line, category FROM sites JOIN s p ON p.id = at_id WHERE p.filePath IS NOT NULL AND p.line IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol_id, p.filePath, p.line ORDER BY rank) = 1""",
+    "override_classes": _G + "\nSELECT e.targetId AS base_id, e.sourceId AS symbol_id, count(*) OVER (PARTITION BY e.targetId) AS n_overriders FROM e WHERE kind = 'overrides'",
+    "parent_types": _G + "\nSELECT e.targetId AS symbol_id, p.id AS parent_id, p.name AS parent_name FROM e JOIN s p ON p.id = e.sourceId AND p.kind IN ('struct', 'class', 'enum', 'actor', 'protocol') WHERE e.kind = 'contains' QUALIFY row_number() OVER (PARTITION BY e.targetId ORDER BY p.name, p.id) = 1",
+    "function_lookup": _G
+    + """, callable AS (SELECT * FROM s WHERE kind IN ('function', 'initializer')), asked AS (SELECT projectId, name AS query FROM callable UNION SELECT projectId, qualifiedName FROM callable),
+means AS (SELECT projectId, name AS query, 'function' AS how, 1 AS rank, qualifiedName, id FROM callable WHERE kind = 'function' UNION ALL SELECT projectId, CASE WHEN i = 0 THEN name ELSE 'init' END, 'initializer', 2, qualifiedName, id FROM callable, range(2) r(i) WHERE kind = 'initializer'
+  UNION ALL SELECT projectId, qualifiedName, 'qualified', 3, qualifiedName, id FROM callable WHERE kind = 'function' UNION ALL SELECT projectId, regexp_extract(qualifiedName, '[^.]*$'), 'member', 4, qualifiedName, id FROM callable)
+SELECT a.projectId AS project_id, a.query, m.id AS symbol_id, m.how FROM asked a JOIN means m ON m.projectId = a.projectId AND m.query = a.query QUALIFY row_number() OVER (PARTITION BY a.projectId, a.query ORDER BY m.rank, m.qualifiedName, m.id) = 1""",
+    "diff_snapshots": """WITH r AS (SELECT projectId, snapshotNo, name, kind, regexp_extract(qualifiedName, '^(.*)\\.[^.]*$', 1) AS parent, max(coalesce(signature, '')) AS sig FROM symbol_snapshots WHERE snapshotNo IN (1, 2) GROUP BY ALL),
+d AS (SELECT coalesce(a.projectId, b.projectId) AS projectId, CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'modified' END AS section, coalesce(a.name, b.name) AS name, coalesce(a.kind, b.kind) AS kind, coalesce(a.parent, b.parent) AS parent
+  FROM (SELECT * FROM r WHERE snapshotNo = 1) a FULL JOIN (SELECT * FROM r WHERE snapshotNo = 2) b ON a.projectId = b.projectId AND a.name = b.name AND a.kind = b.kind AND a.parent = b.parent WHERE a.sig IS DISTINCT FROM b.sig)
+SELECT projectId, section, CAST(row_number() OVER (PARTITION BY projectId, section ORDER BY name, kind, parent) AS INT) AS place, name, kind, parent FROM d QUALIFY place <= 100""",
+    "enrich_symbols": "SELECT DISTINCT s.id AS symbol_id, d.usr FROM symbols s JOIN (SELECT filePath, line, name, min(usr) AS usr FROM symbols WHERE usr IS NOT NULL GROUP BY 1, 2, 3) d ON d.filePath = s.filePath AND d.line = s.line AND d.name = s.name",
+    "compiler_edges": _G
+    + """, u AS (SELECT usr, min(id) AS id FROM s WHERE usr IS NOT NULL GROUP BY 1)
+SELECT DISTINCT a.id AS sourceId, b.id AS targetId, e.kind, 'indexStore' AS metadata FROM e JOIN s x ON x.id = e.sourceId JOIN s y ON y.id = e.targetId JOIN u a ON a.usr = x.usr JOIN u b ON b.usr = y.usr WHERE e.kind IN ('calls', 'overrides', 'implementsRequirement') AND a.id <> b.id""",
     "edges_first_writer_wins": "SELECT id, projectId, sourceId, targetId, trim(kind) AS kind, metadata FROM edges QUALIFY row_number() OVER (PARTITION BY sourceId, targetId, trim(kind) ORDER BY id, metadata NULLS FIRST, projectId) = 1",
     "edges_cascade": "WITH ids AS (SELECT id FROM symbols UNION SELECT id FROM shared_symbols) SELECT id, projectId, sourceId, targetId, trim(kind) AS kind, metadata FROM edges WHERE sourceId IN (SELECT id FROM ids) AND targetId IN (SELECT id FROM ids)",
     "symbols_set_null": "SELECT DISTINCT s.id AS symbol_id, CASE WHEN m.id IS NOT NULL THEN s.moduleId END AS module_id FROM symbols s LEFT JOIN modules m ON m.id = s.moduleId AND m.kind <> 'executable'",

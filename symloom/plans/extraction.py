@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.operators import resolve
+from symloom.plans import questions as ask
 from symloom.plans.graph import Graph
 from symloom.session import cut
 from symloom.sources import declarations as read
@@ -67,6 +68,35 @@ def resolve_calls(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.call_edges(_nodes(graph), graph.links("contains"), extract_calls(spark, folder), TOOLKIT)
 
 
+def find_usages(spark: SparkSession, folder: str) -> DataFrame:
+    """Places that use each symbol, type references by the lines on which they stand in the source."""
+    graph = Graph.read(spark, folder)
+    return ask.find_usages(graph, resolve.reference_sites(_nodes(graph), extract_type_references(spark, folder), TOOLKIT))
+
+
+def rename_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that a rename of each symbol touches, references and calls by where they stand in the source."""
+    graph = Graph.read(spark, folder)
+    scoped, nodes = cut(_scoped(spark, folder)), _nodes(graph)
+    return ask.rename_sites(graph, resolve.reference_sites(nodes, read.type_references(scoped), TOOLKIT), resolve.call_sites(nodes, graph.links("contains"), read.calls(scoped), TOOLKIT))
+
+
+def index_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """The symbols that the source files make, by qualified name: declarations, files, modules, placeholders."""
+    return members.symbols(cut(_facts(spark, folder)))
+
+
+def index_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges that the source files make between qualified names: contains, imports, composed views."""
+    return members.edges(cut(_facts(spark, folder)))
+
+
+def index_unknown(spark: SparkSession, folder: str) -> DataFrame:
+    """What the source declares and the index lacks at that place: ``extract_indexed`` is the rest."""
+    found = extract_declarations(spark, folder).select("filePath", "kind", "name", "line").distinct()
+    return found.join(table(spark, folder, "symbols").select("filePath", "kind", "name", "line"), ["filePath", "kind", "name", "line"], "left_anti")
+
+
 def index_summary(spark: SparkSession, folder: str) -> DataFrame:
     """What a full run of extraction gives per project: declarations, and the symbols and edges made of them."""
     found = cut(_facts(spark, folder))
@@ -81,7 +111,7 @@ def index_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "extract_declarations": extract_declarations, "extract_indexed": extract_indexed, "extract_imports": extract_imports, "extract_calls": extract_calls, "extract_type_references": extract_type_references,
-    "resolve_extensions": resolve_extensions, "resolve_conformances": resolve_conformances, "resolve_references": resolve_references, "resolve_calls": resolve_calls, "index_summary": index_summary,
+    "resolve_extensions": resolve_extensions, "resolve_conformances": resolve_conformances, "resolve_references": resolve_references, "resolve_calls": resolve_calls, "find_usages": find_usages, "rename_lines": rename_lines, "index_symbols": index_symbols, "index_edges": index_edges, "index_unknown": index_unknown, "index_summary": index_summary,
 }
 
 _S = """WITH s AS (SELECT DISTINCT * FROM symbols UNION SELECT * FROM shared_symbols), real AS (SELECT * FROM s WHERE NOT starts_with(lower(qualifiedName), 'unresolved:')),

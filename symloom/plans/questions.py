@@ -139,22 +139,70 @@ def dependencies(graph: Graph) -> DataFrame:
     return both.join(_as(graph.nodes("name"), "other", "name"), "other_id").select("symbol_id", "direction", "edge_kind", "other_id", "other_name")
 
 
-def find_usages(graph: Graph) -> DataFrame:
+def find_usages(graph: Graph, references: DataFrame | None = None) -> DataFrame:
     """(symbol_id, file_path, line, used_by, used_by_kind, context): places that use each symbol.
 
+    Type references have the line they stand on, if ``references`` (sourceId, targetId, filePath, line; see
+    ``resolve.reference_sites``) are given; other edges, and without it all, that of the using symbol.
     Containment and extension are no use. Of several uses at one place a type reference comes
     first, then the least edge kind, user and id. Users without a file share the place ``""``, 0.
+    A member's type is used where its members are: ``parent_types`` names it.
     """
     links = graph.links().where(~F.col("kind").isin("contains", "extends"))
     users = _as(graph.nodes("name", "kind", "filePath", "line"), "user", "name", "kind", "filePath", "line")
     context = F.when(F.col("kind") == "references", "type reference").otherwise(F.col("kind"))
+    if references is not None:
+        links = links.where("kind <> 'references'")
     sites = links.select(F.col("targetId").alias("symbol_id"), F.col("sourceId").alias("user_id"), (F.col("kind") != "references").alias("late"), context.alias("context")).join(users, "user_id")
+    if references is not None:
+        exact = references.select(F.col("targetId").alias("symbol_id"), F.col("sourceId").alias("user_id"), F.lit(False).alias("late"), F.lit("type reference").alias("context"), F.col("filePath").alias("user_file_path"), F.col("line").alias("user_line"))
+        sites = sites.unionByName(exact.join(users.select("user_id", "user_name", "user_kind"), "user_id"))
     first = sites.groupBy("symbol_id", F.coalesce("user_file_path", F.lit("")).alias("file_path"), F.coalesce("user_line", F.lit(0)).alias("line")).agg(
         F.min(F.struct("late", "context", "user_name", "user_id", "user_kind")).alias("site")
     )
     return first.select("symbol_id", "file_path", "line", F.col("site.user_name").alias("used_by"), F.col("site.user_kind").alias("used_by_kind"), F.col("site.context").alias("context"))
 
 
+def parent_types(graph: Graph) -> DataFrame:
+    """(symbol_id, parent_id, parent_name): the type that contains each symbol; of several the least name and id."""
+    types = graph.nodes("name", "kind").where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("sourceId"), "name")
+    best = graph.links("contains").join(types, "sourceId").groupBy(F.col("targetId").alias("symbol_id")).agg(F.min(F.struct("name", F.col("sourceId").alias("id"))).alias("p"))
+    return best.select("symbol_id", F.col("p.id").alias("parent_id"), F.col("p.name").alias("parent_name"))
+
+
+def lookup_functions(graph: Graph, names: DataFrame) -> DataFrame:
+    """(project_id, query, symbol_id, how): what a name means as something to call: a function of that name, an
+    initializer that begins with it (for names in init...), a qualified name of a function, or a
+    callable at the end of a qualified name after a dot; of several the least qualified name and id."""
+    nodes = graph.nodes("projectId", "name", "qualifiedName", "kind").where("kind IN ('function', 'initializer')")
+    ways = lambda rows, query, rank: rows.select("projectId", query.alias("query"), F.lit(rank).alias("rank"), "qualifiedName", "id")
+    function = nodes.where("kind = 'function'")
+    initializer = nodes.where("kind = 'initializer'")
+    means = ways(function, F.col("name"), 1).unionByName(ways(initializer, F.col("name"), 2)).unionByName(ways(initializer, F.regexp_extract("name", "^init", 0), 2))
+    means = means.unionByName(ways(function, F.col("qualifiedName"), 3)).unionByName(ways(nodes, F.substring_index("qualifiedName", ".", -1), 4))
+    best = names.select("projectId", "query").distinct().join(means, ["projectId", "query"]).groupBy("projectId", "query").agg(F.min(F.struct("rank", "qualifiedName", "id")).alias("best"))
+    how = F.when(F.col("best.rank") == 1, "function").when(F.col("best.rank") == 2, "initializer").when(F.col("best.rank") == 3, "qualified").otherwise("member")
+    return best.select(F.col("projectId").alias("project_id"), "query", F.col("best.id").alias("symbol_id"), how.alias("how"))
+
+
+def diff_symbols(before: DataFrame, after: DataFrame, top: int | None = 100) -> DataFrame:
+    """(projectId, section, place, name, kind, parent): symbols added, removed and modified between two states of
+    the declarations, by name, kind and parent; modified ones differ in signature. ``top`` is the
+    length of each section of a project, in order of name, kind and parent (none: all of it).
+
+    Both inputs have projectId, name, kind, parent and signature. Of rows alike in the key the
+    greatest signature counts; null and blank parents are alike.
+    """
+    key = ["projectId", "name", "kind", "parent"]
+    one = lambda rows, as_: rows.withColumn("parent", F.coalesce("parent", F.lit(""))).groupBy(*key).agg(F.max(F.coalesce("signature", F.lit(""))).alias(as_))
+    both = one(before, "old").join(one(after, "new"), key, "full_outer")
+    section = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
+    changed = both.withColumn("section", section).where("section IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("projectId", "section").orderBy("name", "kind", "parent"))
+    placed = changed.withColumn("place", place)
+    return (placed.where(F.col("place") <= top) if top else placed).select("projectId", "section", "place", "name", "kind", "parent")
+
+
 def usage_context(usages: DataFrame, sources: DataFrame, context: int = 1) -> DataFrame:
     """The usages that have a line, with the numbered lines around it, the line itself marked; each place is
     cut out once, however many symbols are used there."""
@@ -229,8 +277,8 @@ def access_audit(graph: Graph) -> DataFrame:
     seen = asked.join(implementing, "id", "left_anti").join(used, "id", "left")
     unused, own = F.col("low").isNull(), (F.col("low") == F.col("filePath")) & (F.col("high") == F.col("filePath"))
     wide = F.col("accessLevel").isin("public", "open")
-    suggested = F.when(wide & unused, "internal or private").when(wide & own, "fileprivate or private").when(unused | own, "private or fileprivate")
-    reason = F.when(unused, "No external references found").otherwise("Only referenced within same file")
+    suggested = F.when(wide & unused, "internal").when(wide & own, "fileprivate").when(unused | own, "private")
+    reason = F.when(unused, "unused").otherwise("one_file")
     return seen.where(suggested.isNotNull()).select(F.col("id").alias("symbol_id"), F.col("accessLevel").alias("access"), suggested.alias("suggested"), reason.alias("reason"))
 
 
@@ -329,12 +377,14 @@ def list_extensions(graph: Graph) -> DataFrame:
     return pairs.join(extensions, "extension_id").join(contains, "extension_id", "left").fillna(0, ["n_members"]).select("type_id", "extension_id", "conformance", "n_members")
 
 
-def rename_sites(graph: Graph) -> DataFrame:
+def rename_sites(graph: Graph, references: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
     """(symbol_id, file_path, line, category): the places a rename of each symbol touches.
 
     Of several categories at one place the first counts: declaration, type reference, inheritance,
-    extension, function call, protocol implementation, override, overridden base. Inheritance
-    matches whole names. A site without a file or a line is none.
+    extension, function call, protocol implementation, overridden base. Inheritance matches whole
+    names. A site without a file or a line is none. References and calls have their own lines if
+    ``references`` and ``calls`` (sourceId, targetId, filePath, line) are given, else those of the using
+    symbol. All overriders of one base are renamed together: ``override_classes`` has them, once each.
     """
     nodes = graph.nodes("projectId", "name", "qualifiedName", "kind", "filePath", "line", "inheritedTypes")
     real = nodes.where(~F.col("kind").isin("file", "module") & ~is_named("qualifiedName", PLACEHOLDER))
@@ -346,28 +396,36 @@ def rename_sites(graph: Graph) -> DataFrame:
     protocols = nodes.where("kind = 'protocol'").select(F.col("id").alias("owner"))
     requirements = graph.links("contains").select(F.col("sourceId").alias("owner"), F.col("targetId").alias("symbol_id")).join(protocols, "owner", "left_semi").select("symbol_id").distinct()
     overrides = links.where("kind = 'overrides'")
-    siblings = overrides.select(F.col("sourceId").alias("symbol_id"), "targetId").join(overrides.select("targetId", F.col("sourceId").alias("at")), "targetId").where("symbol_id <> at")
     def uses(kind: str, place: int, category: str) -> DataFrame:
         return links.where(F.col("kind") == kind).select(F.col("targetId").alias("symbol_id"), F.col("sourceId").alias("at"), *rank(place, category))
 
     sites = [
         real.select(F.col("id").alias("symbol_id"), F.col("id").alias("at"), *rank(1, "declaration")),
-        uses("references", 2, "type reference"),
+        *([uses("references", 2, "type reference")] if references is None else []),
         types.join(inherited, ["projectId", "name"]).select("symbol_id", "at", *rank(3, "inheritance")),
         types.join(extensions, ["projectId", "name"]).select("symbol_id", "at", *rank(4, "extension")),
-        uses("calls", 5, "function call"),
+        *([uses("calls", 5, "function call")] if calls is None else []),
         uses("implementsRequirement", 6, "protocol implementation").join(requirements, "symbol_id", "left_semi"),
-        siblings.select("symbol_id", "at", *rank(7, "override")),
         overrides.select(F.col("sourceId").alias("symbol_id"), F.col("targetId").alias("at"), *rank(8, "overridden base")),
     ]
     every = sites[0]
     for more in sites[1:]:
         every = every.unionByName(more)
     placed = every.join(nodes.where("filePath IS NOT NULL AND line IS NOT NULL").select(F.col("id").alias("at"), "filePath", "line"), "at")
+    for exact, place, category in ((references, 2, "type reference"), (calls, 5, "function call")):
+        if exact is not None:
+            placed = placed.unionByName(exact.select(F.col("sourceId").alias("at"), F.col("targetId").alias("symbol_id"), *rank(place, category), "filePath", "line").where("filePath IS NOT NULL AND line IS NOT NULL"))
     best = placed.groupBy("symbol_id", "filePath", "line").agg(F.min(F.struct("rank", "category")).alias("best"))
     return best.select("symbol_id", F.col("filePath").alias("file_path"), "line", F.col("best.category").alias("category"))
 
 
+def override_classes(graph: Graph) -> DataFrame:
+    """(base_id, symbol_id, n_overriders): the overriders of each base, which a rename of one renames all."""
+    overrides = graph.links("overrides").select(F.col("targetId").alias("base_id"), F.col("sourceId").alias("symbol_id")).distinct()
+    counts = overrides.groupBy("base_id").agg(F.count(F.lit(1)).alias("n_overriders"))
+    return overrides.join(counts, "base_id").select("base_id", "symbol_id", "n_overriders")
+
+
 def protocol_impact(graph: Graph) -> DataFrame:
     """(protocol_id, n_conformers, n_requirements, n_satisfied): what a change of each protocol's
     requirements would touch."""
