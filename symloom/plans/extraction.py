@@ -26,7 +26,7 @@ def _facts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extract_declarations(spark: SparkSession, folder: str) -> DataFrame:
-    return members.declarations(_facts(spark, folder))
+    return members.declarations(members.declaration_facts(table(spark, folder, "source_files")))
 
 
 def extract_indexed(spark: SparkSession, folder: str) -> DataFrame:

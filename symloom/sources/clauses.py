@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symloom.session import cut
 from symloom.sources.declarations import ACCESS_WORDS, FILE, MODIFIER_WORDS, NO_TYPES, TYPE_WORDS
 
 _UNBOUND = Window.unboundedPreceding
@@ -28,6 +29,11 @@ def _text(words: Column | str) -> Column:
     return F.nullif(F.trim(F.array_join(F.transform(words, lambda w: w["word"]), "")), F.lit(""))
 
 
+def outside_bodies(scoped: DataFrame) -> DataFrame:
+    """The tokens that stand in types, at the top of files, or are braces."""
+    return scoped.where(F.col("scope").isNull() | F.col("scope.kind").isin(*TYPE_WORDS))
+
+
 def with_leads(scoped: DataFrame) -> DataFrame:
     """Tokens with ``lead`` on heads, the place where the declaration begins with its first attribute or modifier,
     and ``leads`` on those attributes, modifiers and their arguments: the position of the head they belong to."""
@@ -37,7 +43,7 @@ def with_leads(scoped: DataFrame) -> DataFrame:
     attribute = F.startswith(token, F.lit("@")) & (F.length(token) > 1)
     type_class = (token == "class") & F.col("next").rlike(_NAMED) & ~F.col("next").isin(*NO_TYPES, *words)
     given = (token == "(") & (F.startswith("callee", F.lit("@")) | F.col("callee").isin(*words)) & (F.col("start") == F.col("prev_stop"))
-    seen = scoped.select("*", F.lag("token", 2).over(file).alias("prev2"), F.lag("token", 3).over(file).alias("prev3"), F.coalesce(F.last(F.when(given, F.col("mate")), ignorenulls=True).over(so_far) >= F.col("pos"), F.lit(False)).alias("in_args"))
+    seen = scoped.drop("above", "opens", "scope", "piece").select("*", F.lag("token", 2).over(file).alias("prev2"), F.lag("token", 3).over(file).alias("prev3"), F.coalesce(F.last(F.when(given, F.col("mate")), ignorenulls=True).over(so_far) >= F.col("pos"), F.lit(False)).alias("in_args"))
     soft = F.col("in_args") | attribute | (token.isin(*words) & ~type_class & (F.coalesce("prev", F.lit("")) != "."))
     seen = seen.withColumn("soft", soft)
     seen = seen.withColumn("led", F.coalesce(F.lag("soft").over(file), F.lit(False)))
@@ -53,7 +59,7 @@ def with_leads(scoped: DataFrame) -> DataFrame:
 def _leading(leads: DataFrame) -> DataFrame:
     """Per head its attributes (name, argument), modifiers and access level."""
     file = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(_UNBOUND, 0)
-    rows = leads.where("leads IS NOT NULL").withColumn("of", F.last(F.when(~F.col("in_args"), F.col("pos")), ignorenulls=True).over(file))
+    rows = leads.where("leads IS NOT NULL").select(*FILE, "pos", "token", "start", "prev_stop", "round", "in_args", "leads").withColumn("of", F.last(F.when(~F.col("in_args"), F.col("pos")), ignorenulls=True).over(file))
     given = F.collect_list(F.when(F.col("in_args"), F.struct("pos", _word().alias("word"), "token", "round")))
     each = rows.groupBy(*FILE, "leads", "of").agg(F.max(F.when(~F.col("in_args"), F.col("token"))).alias("token"), F.array_sort(given).alias("args"))
     inner = F.filter("args", lambda w, i: (i > 0) & (i < F.size("args") - 1))
@@ -73,8 +79,10 @@ def _leading(leads: DataFrame) -> DataFrame:
 def _headers(leads: DataFrame) -> DataFrame:
     """The tokens of each declaration's head, with the clause, binding and list item that they belong to."""
     inside = Window.partitionBy(*FILE, "brace").orderBy("pos").rowsBetween(_UNBOUND, 0)
-    leader = F.last(F.when(F.col("head").isNotNull(), F.struct("head.kind", "head.name", "pos", "lead")), ignorenulls=True).over(inside)
-    rows = leads.withColumn("of", leader).where("of IS NOT NULL AND leads IS NULL")
+    leader = F.last(F.when(F.col("head").isNotNull(), F.struct("head.kind", "head.name", "pos")), ignorenulls=True).over(inside)
+    # Only what the windows below look at, as each of them copies its rows.
+    narrow = ("pos", "token", "start", "prev_stop", "line", "prev_line", "last_line", "mate_line", "brace", "round", "next", "prev", "prev2", "prev3", "leads")
+    rows = leads.select(*FILE, *narrow, leader.alias("of")).where("of IS NOT NULL AND leads IS NULL")
     own = Window.partitionBy(*FILE, "brace", "of.pos").orderBy("pos")
     so_far = own.rowsBetween(_UNBOUND, 0)
     token, kind, flat, tight = F.col("token"), F.col("of.kind"), F.col("round") == 0, F.col("start") == F.col("prev_stop")
@@ -118,16 +126,16 @@ def declared(scoped: DataFrame) -> DataFrame:
     binding, brace, kind, name, line, column, end_line, access_level, given, modifiers, inherited_types,
     signature, type, returns, documentation, body). Those in bodies of functions and accessors are left out.
 
-    ``pos`` is the head's, ``brace`` the brace it stands in, ``body`` the one it opens, ``given`` its attributes
+    ``pos`` is the head's or, of further names, the name's own, ``brace`` the brace it stands in, ``body`` the one it opens, ``given`` its attributes
     with their first argument.
     """
-    leads = with_leads(scoped.where(F.col("scope").isNull() | F.col("scope.kind").isin(*TYPE_WORDS)))
+    leads = cut(with_leads(outside_bodies(scoped)))
     rows = _headers(leads)
     keep = F.col("mark").isNull() | (F.col("mark") == "payload") | (F.col("mark") == "effects")
     listed = (F.col("clause") == "inherits") & (F.col("token") == ",") & (F.col("round") == 0) & (F.col("angle") == 0)
     word = F.when(keep & ~listed & ~F.col("body"), F.struct("pos", _word().alias("word"), "token", "slot", F.coalesce(F.col("mark2").isNotNull(), F.lit(False)).alias("sign")))
-    own = [*FILE, "brace", F.col("of.pos").alias("pos"), F.col("of.kind").alias("kind"), F.col("of.name").alias("own_name"), F.col("of.lead").alias("lead"), "binding"]
-    names = [*FILE, "brace", "pos", "kind", "own_name", "lead", "binding"]
+    own = [*FILE, "brace", F.col("of.pos").alias("pos"), F.col("of.kind").alias("kind"), F.col("of.name").alias("own_name"), "binding"]
+    names = [*FILE, "brace", "pos", "kind", "own_name", "binding"]
     parts = rows.groupBy(*own, "clause", "item").agg(
         F.array_sort(F.collect_list(word)).alias("words"), F.max(F.when(F.col("body"), F.col("mate_line")).otherwise(F.col("last_line"))).alias("end_line"), F.max(F.when(F.col("body"), F.struct(rows["pos"].alias("pos")))["pos"]).alias("body"),
     )
@@ -136,11 +144,11 @@ def declared(scoped: DataFrame) -> DataFrame:
     ends = F.regexp_replace(types, r"\s*\)$", "")  # the parameter list's own bracket
     closed = F.when(F.length(F.regexp_replace(types, r"[^(]", "")) < F.length(F.regexp_replace(types, r"[^)]", "")), ends).otherwise(types)
     parameter = F.concat(F.array_join(F.transform(labels, lambda w: w["token"]), " "), F.lit(": "), F.regexp_replace(closed, r"\s*\.\s*\.\s*\.$", ""))
-    parts = parts.select(*names, "clause", "item", _text("words").alias("text"), parameter.alias("parameter"), F.transform("words", lambda w: w["token"]).alias("tokens"), "end_line", "body")
+    parts = parts.select(*names, "clause", "item", _text("words").alias("text"), parameter.alias("parameter"), F.transform("words", lambda w: w["token"]).alias("tokens"), F.get("words", F.lit(0))["pos"].alias("first"), "end_line", "body")
     of = lambda clause, value: F.max(F.when(F.col("clause") == clause, value))
     listing = lambda clause, value: F.transform(F.array_sort(F.collect_list(F.when((F.col("clause") == clause) & value.isNotNull(), F.struct("item", value.alias("x"))))), lambda s: s["x"])
     whole = parts.groupBy(*names).agg(
-        of("name", F.col("text")).alias("name_text"), of("name", F.col("tokens")).alias("name_tokens"), listing("inherits", F.col("text")).alias("inherited_types"), F.concat(F.lit("("), F.array_join(listing("params", F.col("parameter")), ", "), F.lit(")")).alias("params"),
+        of("name", F.col("text")).alias("name_text"), of("name", F.col("tokens")).alias("name_tokens"), of("name", F.col("first")).alias("name_pos"), listing("inherits", F.col("text")).alias("inherited_types"), F.concat(F.lit("("), F.array_join(listing("params", F.col("parameter")), ", "), F.lit(")")).alias("params"),
         of("effects", F.col("tokens")).alias("effects"), of("returns", F.col("text")).alias("returns"), of("type", F.col("text")).alias("type"), of("payload", F.col("text")).alias("payload"), of("value", F.col("text")).alias("value"),
         F.max("end_line").alias("end_line"), F.max("body").alias("body"),
     )
@@ -157,10 +165,10 @@ def declared(scoped: DataFrame) -> DataFrame:
     first = F.regexp_replace(F.get("name_tokens", F.lit(0)), "`", "")
     sign = F.array_join(F.filter("name_tokens", lambda t: ~t.rlike(_NAMED)), "")
     name = F.when(F.col("kind") == "extension", F.col("name_text")).when(F.col("kind").isin("variable", "enumCase"), first).when((F.col("kind") == "function") & ~first.rlike(_NAMED), sign).otherwise(F.col("own_name"))
-    found = whole.withColumns({"end_line": F.max("end_line").over(shared), "signature": F.nullif(signature, F.lit("")), "name": name}).join(_leading(leads), [*FILE, "pos"], "left")
+    found = whole.withColumns({"end_line": F.max("end_line").over(shared), "signature": F.nullif(signature, F.lit("")), "name": name}).join(leads.where("head IS NOT NULL").select(*FILE, "pos", "lead"), [*FILE, "pos"]).join(_leading(leads), [*FILE, "pos"], "left")
     empty = F.array().cast("array<string>")
     bare = F.col("kind") == "enumCase"
     return found.where("name IS NOT NULL").select(
-        *FILE, "pos", "binding", "brace", "kind", "name", "lead.line", "lead.column", "end_line", F.when(~bare, F.col("access_level")).alias("access_level"), F.coalesce("given", F.array().cast("array<struct<name:string,argument:string>>")).alias("given"),
+        *FILE, F.when(F.col("binding") > 0, F.col("name_pos")).otherwise(F.col("pos")).alias("pos"), "binding", "brace", "kind", "name", "lead.line", "lead.column", "end_line", F.when(~bare, F.col("access_level")).alias("access_level"), F.coalesce("given", F.array().cast("array<struct<name:string,argument:string>>")).alias("given"),
         F.when(~bare, F.coalesce("modifiers", empty)).otherwise(empty).alias("modifiers"), "inherited_types", "signature", "type", "returns", F.when(~bare & (F.col("kind") != "extension"), F.col("lead.doc")).alias("documentation"), "body",
     )

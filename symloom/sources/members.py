@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symloom.session import cut
-from symloom.sources.clauses import declared
+from symloom.sources.clauses import declared, outside_bodies
 from symloom.sources.declarations import TYPE_WORDS, scoped_tokens
 
 # The wrappers, views and endings that the reference tells apart.
@@ -44,41 +44,49 @@ def _conditions(scoped: DataFrame) -> tuple[DataFrame, DataFrame]:
     ifs = scoped.select("*", F.last(F.when(begins, F.struct("pos", "piece")), ignorenulls=True).over(inside).alias("of")).where("of IS NOT NULL AND pos > of.pos AND piece = of.piece AND token <> '{'")
     texts = ifs.groupBy(*_KEY, "brace", F.col("of.pos").alias("at")).agg(F.concat(F.lit("if "), _short(_joined(F.collect_list(word)), 37)).alias("label"))
     place = scoped.where(begins).select(*_KEY, "brace", F.col("pos").alias("at"), F.last(F.when(F.coalesce("prev", F.lit("")) != "else", F.col("pos")), ignorenulls=True).over(inside).alias("chain"))
-    labels = token.isin("case", "default") & (F.col("scope.name") == "switch") & ~F.coalesce(F.col("prev").isin("if", "guard", "while", "for", ",", "."), F.lit(False))
+    labels = _switch_label()
     cases = scoped.where("scope.name = 'switch'").select("*", F.last(F.when(labels, F.col("pos")), ignorenulls=True).over(inside).alias("of"), F.last(F.when(labels | ((token == ":") & (F.col("round") == 0)) | (token == "where"), token), ignorenulls=True).over(inside).alias("state"))
     named = cases.where("of IS NOT NULL").groupBy(*_KEY, F.col("of").alias("at")).agg(F.max(F.when(F.col("pos") == F.col("of"), token)).alias("word"), F.collect_list(F.when((F.col("state") == "case") & (F.col("pos") > F.col("of")), word)).alias("words"))
     return place.join(texts, [*_KEY, "brace", "at"]).select(*_KEY, "chain", "at", "label"), named.select(*_KEY, "at", F.when(F.col("word") == "case", F.concat(F.lit("case "), _short(_joined("words"), 35))).otherwise("default").alias("label"))
 
 
-def _braces(scoped: DataFrame, found: DataFrame) -> DataFrame:
-    """Per brace, by its position ``brace``: whether all around it are types (``emits``), the innermost type and
-    declaration, whether a view builder is among them, and the conditions it stands under."""
+def _switch_label() -> Column:
+    """Whether a token begins a label of the ``switch`` it stands in."""
+    return F.col("token").isin("case", "default") & (F.col("scope.name") == "switch") & ~F.coalesce(F.col("prev").isin("if", "guard", "while", "for", ",", "."), F.lit(False))
+
+
+def _nesting(scoped: DataFrame, found: DataFrame) -> DataFrame:
+    """Per brace, by its position ``brace``: whether all around it are types (``emits``), the innermost declaration
+    and type, whether a view builder is among them, and whether a property is (``hidden``)."""
+    bodies = found.where("body IS NOT NULL").groupBy(*_KEY, F.col("body").alias("at")).agg(F.min(F.struct("binding", "kind", "name", "given", "type", "returns", "inherited_types", "line")).alias("d"))
+    builder = F.exists("d.given", lambda g: g["name"] == "@ViewBuilder")
+    view = F.when(F.col("d.kind") == "function", builder | F.contains(F.coalesce("d.returns", F.lit("")), F.lit("View"))).when(F.col("d.kind") == "variable", builder | (F.col("d.name") == "body") | F.contains(F.coalesce("d.type", F.lit("")), F.lit("View")))
+    known = bodies.select(*_KEY, "at", F.struct("d.kind", "d.name", "d.inherited_types", "d.line").alias("d"), view.alias("view"))
+    around = scoped.where("token = '{'").select(*_KEY, F.col("pos").alias("brace"), F.explode(F.concat("above", F.array("pos"))).alias("at"))
+    kind = F.col("d.kind")
+    type_ = F.coalesce(kind.isin(*TYPE_WORDS), F.lit(False))
+    chains = around.join(known, [*_KEY, "at"], "left").groupBy(*_KEY, "brace").agg(
+        F.min(type_).alias("emits"), F.max(F.struct("at", "d")).alias("inner"), F.max(F.when(type_ & ~kind.isin("actor", "protocol"), F.struct("at", "d"))).alias("owner"),
+        F.coalesce(F.max("view"), F.lit(False)).alias("viewing"), F.coalesce(F.max(kind == "variable"), F.lit(False)).alias("hidden"),
+    )
+    return chains.select(*_KEY, "brace", "emits", F.col("inner.d").alias("inner"), F.col("owner.d.name").alias("owner"), "viewing", "hidden")
+
+
+def _labels(scoped: DataFrame, ifs: DataFrame, cases: DataFrame) -> DataFrame:
+    """(brace, labels): the conditions that each brace with any stands under, from the outermost on."""
     inside = Window.partitionBy(*_KEY, "brace").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    token = F.col("token")
-    labels = token.isin("case", "default") & (F.col("scope.name") == "switch") & ~F.coalesce(F.col("prev").isin("if", "guard", "while", "for", ",", "."), F.lit(False))
-    chained = (token == "if") & (F.coalesce("prev", F.lit("")) != ".") & (F.coalesce("prev", F.lit("")) != "else")
-    opened = scoped.select(
-        "*", F.when(F.col("scope.name") == "switch", F.last(F.when(labels, F.col("pos")), ignorenulls=True).over(inside)).alias("case"), F.last(F.when(chained, F.col("pos")), ignorenulls=True).over(inside).alias("chain"),
-        F.last(F.when(token == "else", F.col("prev")), ignorenulls=True).over(inside).alias("else_after"),
-    ).where("token = '{'")
-    ifs, cases = _conditions(scoped)
+    token, prev = F.col("token"), F.coalesce("prev", F.lit(""))
+    last = lambda when, what: F.last(F.when(when, F.col(what)), ignorenulls=True).over(inside)
+    opened = scoped.select("*", F.when(F.col("scope.name") == "switch", last(_switch_label(), "pos")).alias("case"), last((token == "if") & (prev != ".") & (prev != "else"), "pos").alias("chain"), last(token == "else", "prev").alias("else_after")).where("token = '{'")
     of_if = (F.col("opens.name") == "if") | ((F.col("opens.name") == "else") & (F.col("else_after") == "}"))
     opened = opened.select(*_KEY, "pos", "above", "case", F.when((F.col("opens.kind") == "block") & of_if, F.col("chain")).alias("chain"), (F.coalesce("callee", F.lit("")) == "ForEach").alias("each"))
-    under = opened.where("chain IS NOT NULL").join(ifs, [*_KEY, "chain"]).where("at < pos").groupBy(*_KEY, "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("ifs"))
-    case = cases.select(*_KEY, F.col("at").alias("case"), F.col("label").alias("case_label"))
-    bodies = found.where("body IS NOT NULL").groupBy(*_KEY, F.col("body").alias("pos")).agg(F.min(F.struct("binding", "kind", "name", "given", "type", "returns", "inherited_types", "line")).alias("d"))
-    builder = F.exists("d.given", lambda g: g["name"] == "@ViewBuilder")
-    is_view = F.when(F.col("d.kind") == "function", builder | F.contains(F.coalesce("d.returns", F.lit("")), F.lit("View"))).when(F.col("d.kind") == "variable", builder | (F.col("d.name") == "body") | F.contains(F.coalesce("d.type", F.lit("")), F.lit("View")))
-    texts = F.concat(F.array_compact(F.array("case_label")), F.coalesce("ifs", F.array().cast("array<string>")), F.when(F.col("each"), F.array(F.lit("ForEach"))).otherwise(F.array().cast("array<string>")))
-    known = opened.join(under, [*_KEY, "pos"], "left").join(case, [*_KEY, "case"], "left").join(bodies, [*_KEY, "pos"], "left").select(
-        *_KEY, F.col("pos").alias("at"), F.struct("d.kind", "d.name", "d.inherited_types", "d.line").alias("d"), F.coalesce(is_view, F.lit(False)).alias("view"), texts.alias("labels")
-    )
-    chains = opened.select(*_KEY, F.col("pos").alias("brace"), F.explode(F.concat("above", F.array("pos"))).alias("at")).join(known, [*_KEY, "at"])
-    type_ = F.coalesce(F.col("d.kind").isin(*TYPE_WORDS), F.lit(False))
-    return chains.groupBy(*_KEY, "brace").agg(
-        F.min(type_).alias("emits"), F.max(F.struct("at", "d")).alias("inner"), F.max(F.when(type_ & ~F.col("d.kind").isin("actor", "protocol"), F.struct("at", "d"))).alias("owner"), F.max("view").alias("viewing"),
-        F.coalesce(F.max(F.col("d.kind") == "variable"), F.lit(False)).alias("hidden"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "labels"))), lambda x: x["labels"])).alias("labels"),
-    ).select(*_KEY, "brace", "emits", F.col("inner.d").alias("inner"), F.col("owner.d.name").alias("owner"), "viewing", "hidden", "labels")
+    under = opened.where("chain IS NOT NULL").join(ifs, [*_KEY, "chain"]).where("at < pos").select(*_KEY, "pos", F.struct(F.lit(1).alias("sort"), F.col("at").alias("place"), "label").alias("l"))
+    within = opened.where("case IS NOT NULL").join(cases.select(*_KEY, F.col("at").alias("case"), "label"), [*_KEY, "case"]).select(*_KEY, "pos", F.struct(F.lit(0).alias("sort"), F.col("case").alias("place"), "label").alias("l"))
+    each = opened.where("each").select(*_KEY, "pos", F.struct(F.lit(2).alias("sort"), F.col("pos").alias("place"), F.lit("ForEach").alias("label")).alias("l"))
+    own = under.unionByName(within).unionByName(each).withColumnRenamed("pos", "at")
+    around = opened.select(*_KEY, F.col("pos").alias("brace"), F.explode(F.concat("above", F.array("pos"))).alias("at"))
+    listed = around.join(own, [*_KEY, "at"]).groupBy(*_KEY, "brace").agg(F.array_sort(F.collect_list(F.struct("at", "l"))).alias("all"))
+    return listed.select(*_KEY, "brace", F.transform("all", lambda x: x["l"]["label"]).alias("labels"))
 
 
 def _rows(rows: DataFrame, fact: str, **columns: Column) -> DataFrame:
@@ -88,6 +96,29 @@ def _rows(rows: DataFrame, fact: str, **columns: Column) -> DataFrame:
     return rows.select(*_KEY, *[values[c].cast(t).alias(c) for c, t in _TYPES.items()])
 
 
+def _held(found: DataFrame, braces: DataFrame) -> DataFrame:
+    """Declarations with what they stand in."""
+    emits = (F.col("brace") == -1) | F.coalesce("emits", F.lit(False))
+    return found.join(braces, [*_KEY, "brace"], "left").withColumn("emits", emits)
+
+
+def _declarations(held: DataFrame) -> DataFrame:
+    col, top = F.col, F.col("brace") == -1
+    listed = held.where("emits").where((col("kind") != "enumCase") | (col("inner.kind") == "enum")).where((col("kind") != "initializer") | ~top)
+    names = F.when(col("kind") == "enumCase", F.array().cast("array<string>")).otherwise(F.transform("given", lambda g: g["name"]))
+    return _rows(
+        listed, "declaration", pos=col("pos"), kind=col("kind"), name=col("name"), parent=F.when(~top, col("inner.name")), access_level=col("access_level"), signature=col("signature"), documentation=col("documentation"), attributes=names,
+        modifiers=col("modifiers"), inherited_types=col("inherited_types"), line=col("line"), column=col("column"), end_line=col("end_line"),
+    )
+
+
+def declaration_facts(sources: DataFrame) -> DataFrame:
+    """The declarations among the ``facts`` of each file, from the tokens outside of bodies alone."""
+    scoped = cut(outside_bodies(scoped_tokens(sources).drop("leader")))
+    found = cut(declared(scoped))
+    return _declarations(_held(found, _nesting(scoped, found)))
+
+
 def facts(sources: DataFrame) -> DataFrame:
     """The facts of each file with content, each file once: declarations, imports, wrappers, environment keys and
     injections, composed views; ``pos`` is their order in the file.
@@ -98,25 +129,21 @@ def facts(sources: DataFrame) -> DataFrame:
     wide = scoped_tokens(sources)
     scoped = cut(wide.drop("leader"))
     found = cut(declared(scoped))
-    braces = cut(_braces(scoped, found))
+    braces = cut(_nesting(scoped, found))
     col = F.col
-    top = col("brace") == -1
-    held = found.join(braces, [*_KEY, "brace"], "left").withColumns({"emits": top | F.coalesce("emits", F.lit(False)), "order": col("pos") * 64 + col("binding")})
-    parent = F.when(~top, col("inner.name"))
-    listed = held.where("emits").where((col("kind") != "enumCase") | (col("inner.kind") == "enum")).where((col("kind") != "initializer") | ~top)
-    names = F.transform("given", lambda g: g["name"])
-    rows = [_rows(listed, "declaration", pos=col("order"), kind=col("kind"), name=col("name"), parent=parent, access_level=col("access_level"), signature=col("signature"), documentation=col("documentation"), attributes=F.when(col("kind") == "enumCase", F.array().cast("array<string>")).otherwise(names), modifiers=col("modifiers"), inherited_types=col("inherited_types"), line=col("line"), column=col("column"), end_line=col("end_line"))]
+    held = _held(found, braces)
+    rows = [_declarations(held)]
     used = held.where("kind = 'variable' AND owner IS NOT NULL AND NOT hidden").select("*", F.explode("given").alias("w")).where(F.substring("w.name", 2, 1 << 30).isin(*WRAPPERS))
-    rows.append(_rows(used, "wrapper", pos=col("order"), kind=F.substring("w.name", 2, 1 << 30), name=col("name"), argument=col("w.argument"), parent=col("owner"), line=col("line")))
+    rows.append(_rows(used, "wrapper", pos=col("pos"), kind=F.substring("w.name", 2, 1 << 30), name=col("name"), argument=col("w.argument"), parent=col("owner"), line=col("line")))
     inner = held.where("kind = 'variable' AND inner.kind IN ('struct', 'extension')")
     keys = inner.where(F.array_contains("inner.inherited_types", "EnvironmentKey") & (col("name") == "defaultValue"))
-    rows.append(_rows(keys, "key", pos=col("order"), name=col("inner.name"), signature=col("type"), parent=col("inner.name"), line=col("inner.line")))
+    rows.append(_rows(keys, "key", pos=col("pos"), name=col("inner.name"), signature=col("type"), parent=col("inner.name"), line=col("inner.line")))
     values = inner.where("inner.kind = 'extension' AND inner.name = 'EnvironmentValues'")
-    rows.append(_rows(values, "key", pos=col("order"), name=col("name"), signature=col("type"), parent=F.lit("EnvironmentValues"), line=col("line")))
+    rows.append(_rows(values, "key", pos=col("pos"), name=col("name"), signature=col("type"), parent=F.lit("EnvironmentValues"), line=col("line")))
     rows.append(_imports(scoped))
     calls = _calls(scoped, braces)
-    rows += [_rows(calls.where("what = 'view'"), "view", pos=col("pos") * 64, line=col("line"), parent=col("owner"), name=col("view"), argument=F.nullif(F.array_join("context", " > "), F.lit("")))]
-    rows += [_rows(calls.where("what = 'injection'"), "injection", pos=col("pos") * 64, line=col("line"), parent=col("owner"), argument=col("key"))]
+    rows.append(_rows(calls, "view", pos=col("pos"), line=col("line"), parent=col("owner"), name=col("view"), argument=F.nullif(F.array_join("context", " > "), F.lit(""))).where("name IS NOT NULL"))
+    rows.append(_rows(calls, "injection", pos=col("pos"), line=col("line"), parent=col("owner"), argument=col("key")).where("argument IS NOT NULL"))
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)
@@ -133,7 +160,7 @@ def _imports(scoped: DataFrame) -> DataFrame:
     rows = rows.where("of IS NOT NULL AND pos > of.pos").where(~sort)
     goes_on = (F.col("token") == ".") | (F.col("prev") == ".") | F.col("prev").isin("import", "struct", "class", "enum", "protocol", "func", "let", "var", "typealias", "actor")
     path = rows.select("*", F.sum((~goes_on).cast("int")).over(own).alias("ended")).where("ended = 0").groupBy(*_KEY, "of").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("token").alias("word")))).alias("words"))
-    return _rows(path, "import", pos=F.col("of.pos") * 64, line=F.col("of.line"), name=_joined("words"), testable=F.coalesce(F.col("of.prev") == "@testable", F.lit(False)))
+    return _rows(path, "import", pos=F.col("of.pos"), line=F.col("of.line"), name=_joined("words"), testable=F.coalesce(F.col("of.prev") == "@testable", F.lit(False)))
 
 
 def _calls(scoped: DataFrame, braces: DataFrame) -> DataFrame:
@@ -142,7 +169,7 @@ def _calls(scoped: DataFrame, braces: DataFrame) -> DataFrame:
     token, prev = F.col("token"), F.coalesce("prev", F.lit(""))
     near = lambda c, i: F.lead(c, i).over(file)
     begins = (F.col("round") == 0) & ((F.col("line") != F.col("prev_line")) | F.col("prev").isNull() | F.col("prev").isin("{", ";", "in", "return", "else", ":")) & ~token.isin(".", "}", "?", ":")
-    labels = token.isin("case", "default") & (F.col("scope.name") == "switch") & ~F.coalesce(F.col("prev").isin("if", "guard", "while", "for", ",", "."), F.lit(False))
+    labels = _switch_label()
     seen = scoped.select(
         *_KEY, "pos", "token", "prev", "next", "line", "brace", "scope", near("line", 1).alias("next_line"), near("opens", 1).alias("next_opens"), *[near("token", i).alias(f"next{i}") for i in (2, 3, 4, 5)], F.lag("token", 3).over(file).alias("prev3"), "last_line",
         F.last(F.when(begins, F.col("line")), ignorenulls=True).over(inside).alias("statement"), F.when(F.col("scope.name") == "switch", F.last(F.when(labels, F.col("pos")), ignorenulls=True).over(inside)).alias("case"),
@@ -158,12 +185,12 @@ def _calls(scoped: DataFrame, braces: DataFrame) -> DataFrame:
     for ending in NO_VIEW_ENDINGS:
         ends = ends | F.endswith(token, F.lit(ending))
     shown = F.col("viewing") & (called | closure) & token.rlike(r"^\p{Lu}") & ~token.isin(*NO_VIEWS) & (token != F.col("owner")) & ~ends & ~declares
-    _, cases = _conditions(scoped)
-    met = seen.join(braces, [*_KEY, "brace"]).where("owner IS NOT NULL").join(cases.select(*_KEY, F.col("at").alias("case"), "label"), [*_KEY, "case"], "left")
+    ifs, cases = _conditions(scoped)
+    met = seen.join(braces, [*_KEY, "brace"]).where("owner IS NOT NULL").join(_labels(scoped, ifs, cases), [*_KEY, "brace"], "left").join(cases.select(*_KEY, F.col("at").alias("case"), "label"), [*_KEY, "case"], "left")
     what = F.when(gives, "injection").when(leads_to | shown, "view")
     found = met.withColumn("what", what).where("what IS NOT NULL")
-    view = F.when(leads_to, F.concat(F.lit("NavigationDestination("), "next2", F.lit(")"))).otherwise(token)
-    context = F.when(leads_to, F.array().cast("array<string>")).otherwise(F.concat("labels", F.array_compact(F.array("label"))))
+    view = F.when(leads_to, F.concat(F.lit("NavigationDestination("), "next2", F.lit(")"))).when(shown, token)
+    context = F.when(leads_to, F.array().cast("array<string>")).otherwise(F.concat(F.coalesce("labels", F.array().cast("array<string>")), F.array_compact(F.array("label"))))
     # The first argument of what is injected, without its label.
     opens = F.when((token == "(") & F.col("callee").isin("environment", "environmentObject"), F.struct("pos", "mate", "round"))
     inner = scoped.select("*", F.last(opens, ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, 0)).alias("of")).where((F.col("pos") > F.col("of.pos")) & (F.col("pos") < F.col("of.mate")))
@@ -172,7 +199,7 @@ def _calls(scoped: DataFrame, braces: DataFrame) -> DataFrame:
     word = F.struct("pos", F.concat(F.when(F.col("start") > F.col("prev_stop"), " ").otherwise(""), "token").alias("word"))
     keys = first.groupBy(*_KEY, (F.col("of.pos") - 1).alias("pos")).agg(F.regexp_replace(_joined(F.collect_list(word)), r"^[\p{L}_]\w*\s*:\s*", "").alias("key"))
     placed = found.select(*_KEY, "pos", "what", "owner", view.alias("view"), context.alias("context"), F.when(prev == ".", F.coalesce("statement", "line")).otherwise(F.col("line")).alias("line"))
-    return placed.join(keys, [*_KEY, "pos"], "left").where("what = 'view' OR key IS NOT NULL")
+    return placed.join(keys, [*_KEY, "pos"], "left").withColumn("key", F.when(F.col("what") == "injection", F.col("key")))
 
 
 def declarations(found: DataFrame) -> DataFrame:
