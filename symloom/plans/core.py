@@ -128,6 +128,11 @@ def module_api_internal(spark: SparkSession, folder: str) -> DataFrame:
     return ask.module_api(Graph.read(spark, folder), "internal")
 
 
+def rename_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """The sites of every symbol; the other overriders of a base are those of its class in ``override_classes``."""
+    return ask.rename_sites(Graph.read(spark, folder), siblings=False)
+
+
 def edges_first_writer_wins(spark: SparkSession, folder: str) -> DataFrame:
     return first_writer_wins(table(spark, folder, "edges"), trimmed("kind"))
 
@@ -175,7 +180,7 @@ QUERIES = {
     "impact_incoming": impact_incoming, "impact_outgoing": impact_outgoing, "call_graph_callers": call_graph_callers, "call_graph_callees": call_graph_callees, "view_trees": _graph(ask.view_trees),
     "dead_code": _graph(ask.dead_code), "near_dead_code": near_dead_code, "access_audit": _graph(ask.access_audit), "test_coverage": _graph(ask.test_coverage), "test_coverage_summary": test_coverage_summary,
     "cross_module_usage": _graph(ask.cross_module_usage), "module_graph": _graph(ask.module_graph), "module_api": _graph(ask.module_api), "module_api_internal": module_api_internal,
-    "architecture": _graph(ask.architecture), "top_protocols": _graph(ask.top_protocols), "list_extensions": _graph(ask.list_extensions), "rename_sites": _graph(ask.rename_sites), "override_classes": _graph(ask.override_classes),
+    "architecture": _graph(ask.architecture), "top_protocols": _graph(ask.top_protocols), "list_extensions": _graph(ask.list_extensions), "rename_sites": rename_sites, "override_classes": _graph(ask.override_classes),
     "parent_types": _graph(ask.parent_types), "function_lookup": function_lookup, "diff_snapshots": diff_snapshots, "enrich_symbols": enrich_symbols, "compiler_edges": compiler_edges,
     "edges_first_writer_wins": edges_first_writer_wins, "edges_cascade": edges_cascade, "symbols_set_null": symbols_set_null, "snapshots_upsert": snapshots_upsert,
     "hashes_latest": hashes_latest, "incremental_states": incremental_states, "file_module_longest_prefix": file_module_longest_prefix, "file_module_inner_path": file_module_inner_path,

@@ -78,7 +78,7 @@ def rename_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that a rename of each symbol touches, references and calls by where they stand in the source."""
     graph = Graph.read(spark, folder)
     scoped, nodes = cut(_scoped(spark, folder)), _nodes(graph)
-    return ask.rename_sites(graph, resolve.reference_sites(nodes, read.type_references(scoped), TOOLKIT), resolve.call_sites(nodes, graph.links("contains"), read.calls(scoped), TOOLKIT))
+    return ask.rename_sites(graph, resolve.reference_sites(nodes, read.type_references(scoped), TOOLKIT), resolve.call_sites(nodes, graph.links("contains"), read.calls(scoped), TOOLKIT), siblings=False)
 
 
 def index_symbols(spark: SparkSession, folder: str) -> DataFrame:

@@ -377,14 +377,15 @@ def list_extensions(graph: Graph) -> DataFrame:
     return pairs.join(extensions, "extension_id").join(contains, "extension_id", "left").fillna(0, ["n_members"]).select("type_id", "extension_id", "conformance", "n_members")
 
 
-def rename_sites(graph: Graph, references: DataFrame | None = None, calls: DataFrame | None = None) -> DataFrame:
+def rename_sites(graph: Graph, references: DataFrame | None = None, calls: DataFrame | None = None, siblings: bool = True) -> DataFrame:
     """(symbol_id, file_path, line, category): the places a rename of each symbol touches.
 
     Of several categories at one place the first counts: declaration, type reference, inheritance,
-    extension, function call, protocol implementation, overridden base. Inheritance matches whole
-    names. A site without a file or a line is none. References and calls have their own lines if
-    ``references`` and ``calls`` (sourceId, targetId, filePath, line) are given, else those of the using
-    symbol. All overriders of one base are renamed together: ``override_classes`` has them, once each.
+    extension, function call, protocol implementation, override, overridden base. Inheritance matches
+    whole names. A site without a file or a line is none. References and calls have their own lines
+    if ``references`` and ``calls`` (sourceId, targetId, filePath, line) are given, else those of the
+    using symbol. The overrides of a base are sites of each other, which is for a few symbols; over a
+    whole graph leave ``siblings`` out and take ``override_classes``, which has them once each.
     """
     nodes = graph.nodes("projectId", "name", "qualifiedName", "kind", "filePath", "line", "inheritedTypes")
     real = nodes.where(~F.col("kind").isin("file", "module") & ~is_named("qualifiedName", PLACEHOLDER))
@@ -408,6 +409,12 @@ def rename_sites(graph: Graph, references: DataFrame | None = None, calls: DataF
         uses("implementsRequirement", 6, "protocol implementation").join(requirements, "symbol_id", "left_semi"),
         overrides.select(F.col("sourceId").alias("symbol_id"), F.col("targetId").alias("at"), *rank(8, "overridden base")),
     ]
+    if siblings:  # the overriders of a base with very many are spread over as many keys as they need
+        slots = F.ceil(F.col("n_overriders") / 1000).cast("int")
+        classes = override_classes(graph)
+        here = classes.select("base_id", "symbol_id", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
+        there = classes.select("base_id", F.col("symbol_id").alias("at"), F.pmod(F.xxhash64("symbol_id"), slots).cast("int").alias("slot"))
+        sites.append(here.join(there, ["base_id", "slot"]).where("symbol_id <> at").select("symbol_id", "at", *rank(7, "override")))
     every = sites[0]
     for more in sites[1:]:
         every = every.unionByName(more)
