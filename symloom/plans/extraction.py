@@ -83,7 +83,7 @@ def rename_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def index_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """The symbols that the source files make, by qualified name: declarations, files, modules, placeholders."""
-    return members.symbols(cut(_facts(spark, folder)))
+    return members.symbols(members.sourced_facts(table(spark, folder, "source_files")))
 
 
 def index_edges(spark: SparkSession, folder: str) -> DataFrame:

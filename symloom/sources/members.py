@@ -4,202 +4,34 @@ symbols by qualified name and edges between them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symloom.session import cut
-from symloom.sources.clauses import declared, outside_bodies
-from symloom.sources.declarations import TYPE_WORDS, scoped_tokens
+from symloom.sources import reader
+from symloom.sources.reader import FACTS
 
-# The wrappers, views and endings that the reference tells apart.
-WRAPPERS = tuple("State Binding Environment EnvironmentObject Observable ObservedObject StateObject Published AppStorage SceneStorage FocusState FocusedValue Query Entry MainActor".split())
-NO_VIEWS = tuple(
-    "Color Font Image Text Spacer Divider CGFloat CGSize CGPoint CGRect String Int Double Bool Date URL Array Dictionary Set Optional AnyView EmptyView TupleView ForEach Group Section EdgeInsets Alignment HorizontalAlignment VerticalAlignment Animation Transition some Self Never".split()
-)
-NO_VIEW_ENDINGS = tuple("ViewModel Model Manager Service Repository Store Controller Coordinator Provider Factory Handler Delegate DataSource Helper Formatter Router Interactor Presenter UseCase".split())
-CONTROL = ("if", "else", "for", "while", "repeat", "switch", "do", "catch", "guard", "defer")
-
-_TEXTS = ("fact", "kind", "name", "parent", "access_level", "signature", "documentation", "argument")
 _LISTS = ("attributes", "modifiers", "inherited_types")
-_NUMBERS = ("pos", "line", "column", "end_line")
-_TYPES = {**dict.fromkeys(_TEXTS, "string"), **dict.fromkeys(_LISTS, "array<string>"), **dict.fromkeys(_NUMBERS, "int"), "testable": "boolean"}
-FACTS = ", ".join(["projectId long", "filePath string", *[f"{c} {t}" for c, t in _TYPES.items()]])
 _KEY = ["projectId", "filePath"]
 
 
-def _short(text: Column, most: int) -> Column:
-    return F.when(F.length(text) <= 40, text).otherwise(F.concat(F.substring(text, 1, most), F.lit("...")))
-
-
-def _joined(words: Column | str) -> Column:
-    return F.trim(F.array_join(F.transform(F.array_sort(words), lambda w: w["word"]), ""))
-
-
-def _conditions(scoped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What composed views depend on: (chain, at, label) of each ``if``, where chain is the first one of its
-    else-chain, and (at, label) of each label of a ``switch``; ``at`` are token positions."""
-    inside = Window.partitionBy(*_KEY, "brace").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    token, word = F.col("token"), F.struct("pos", F.concat(F.when(F.col("start") > F.col("prev_stop"), " ").otherwise(""), "token").alias("word"))
-    begins = (token == "if") & (F.coalesce("prev", F.lit("")) != ".") & (F.col("next") != ":")
-    ifs = scoped.select("*", F.last(F.when(begins, F.struct("pos", "piece")), ignorenulls=True).over(inside).alias("of")).where("of IS NOT NULL AND pos > of.pos AND piece = of.piece AND token <> '{'")
-    texts = ifs.groupBy(*_KEY, "brace", F.col("of.pos").alias("at")).agg(F.concat(F.lit("if "), _short(_joined(F.collect_list(word)), 37)).alias("label"))
-    place = scoped.where(begins).select(*_KEY, "brace", F.col("pos").alias("at"), F.last(F.when(F.coalesce("prev", F.lit("")) != "else", F.col("pos")), ignorenulls=True).over(inside).alias("chain"))
-    labels = _switch_label()
-    cases = scoped.where("scope.name = 'switch'").select("*", F.last(F.when(labels, F.col("pos")), ignorenulls=True).over(inside).alias("of"), F.last(F.when(labels | ((token == ":") & (F.col("round") == 0)) | (token == "where"), token), ignorenulls=True).over(inside).alias("state"))
-    named = cases.where("of IS NOT NULL").groupBy(*_KEY, F.col("of").alias("at")).agg(F.max(F.when(F.col("pos") == F.col("of"), token)).alias("word"), F.collect_list(F.when((F.col("state") == "case") & (F.col("pos") > F.col("of")), word)).alias("words"))
-    return place.join(texts, [*_KEY, "brace", "at"]).select(*_KEY, "chain", "at", "label"), named.select(*_KEY, "at", F.when(F.col("word") == "case", F.concat(F.lit("case "), _short(_joined("words"), 35))).otherwise("default").alias("label"))
-
-
-def _switch_label() -> Column:
-    """Whether a token begins a label of the ``switch`` it stands in."""
-    return F.col("token").isin("case", "default") & (F.col("scope.name") == "switch") & ~F.coalesce(F.col("prev").isin("if", "guard", "while", "for", ",", "."), F.lit(False))
-
-
-def _nesting(scoped: DataFrame, found: DataFrame) -> DataFrame:
-    """Per brace, by its position ``brace``: whether all around it are types (``emits``), the innermost declaration
-    and type, whether a view builder is among them, and whether a property is (``hidden``)."""
-    bodies = found.where("body IS NOT NULL").groupBy(*_KEY, F.col("body").alias("at")).agg(F.min(F.struct("binding", "kind", "name", "given", "type", "returns", "inherited_types", "line")).alias("d"))
-    builder = F.exists("d.given", lambda g: g["name"] == "@ViewBuilder")
-    view = F.when(F.col("d.kind") == "function", builder | F.contains(F.coalesce("d.returns", F.lit("")), F.lit("View"))).when(F.col("d.kind") == "variable", builder | (F.col("d.name") == "body") | F.contains(F.coalesce("d.type", F.lit("")), F.lit("View")))
-    known = bodies.select(*_KEY, "at", F.struct("d.kind", "d.name", "d.inherited_types", "d.line").alias("d"), view.alias("view"))
-    around = scoped.where("token = '{'").select(*_KEY, F.col("pos").alias("brace"), F.explode(F.concat("above", F.array("pos"))).alias("at"))
-    kind = F.col("d.kind")
-    type_ = F.coalesce(kind.isin(*TYPE_WORDS), F.lit(False))
-    chains = around.join(known, [*_KEY, "at"], "left").groupBy(*_KEY, "brace").agg(
-        F.min(type_).alias("emits"), F.max(F.struct("at", "d")).alias("inner"), F.max(F.when(type_ & ~kind.isin("actor", "protocol"), F.struct("at", "d"))).alias("owner"),
-        F.coalesce(F.max("view"), F.lit(False)).alias("viewing"), F.coalesce(F.max(kind == "variable"), F.lit(False)).alias("hidden"),
-    )
-    return chains.select(*_KEY, "brace", "emits", F.col("inner.d").alias("inner"), F.col("owner.d.name").alias("owner"), "viewing", "hidden")
-
-
-def _labels(scoped: DataFrame, ifs: DataFrame, cases: DataFrame) -> DataFrame:
-    """(brace, labels): the conditions that each brace with any stands under, from the outermost on."""
-    inside = Window.partitionBy(*_KEY, "brace").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    token, prev = F.col("token"), F.coalesce("prev", F.lit(""))
-    last = lambda when, what: F.last(F.when(when, F.col(what)), ignorenulls=True).over(inside)
-    opened = scoped.select("*", F.when(F.col("scope.name") == "switch", last(_switch_label(), "pos")).alias("case"), last((token == "if") & (prev != ".") & (prev != "else"), "pos").alias("chain"), last(token == "else", "prev").alias("else_after")).where("token = '{'")
-    of_if = (F.col("opens.name") == "if") | ((F.col("opens.name") == "else") & (F.col("else_after") == "}"))
-    opened = opened.select(*_KEY, "pos", "above", "case", F.when((F.col("opens.kind") == "block") & of_if, F.col("chain")).alias("chain"), (F.coalesce("callee", F.lit("")) == "ForEach").alias("each"))
-    under = opened.where("chain IS NOT NULL").join(ifs, [*_KEY, "chain"]).where("at < pos").select(*_KEY, "pos", F.struct(F.lit(1).alias("sort"), F.col("at").alias("place"), "label").alias("l"))
-    within = opened.where("case IS NOT NULL").join(cases.select(*_KEY, F.col("at").alias("case"), "label"), [*_KEY, "case"]).select(*_KEY, "pos", F.struct(F.lit(0).alias("sort"), F.col("case").alias("place"), "label").alias("l"))
-    each = opened.where("each").select(*_KEY, "pos", F.struct(F.lit(2).alias("sort"), F.col("pos").alias("place"), F.lit("ForEach").alias("label")).alias("l"))
-    own = under.unionByName(within).unionByName(each).withColumnRenamed("pos", "at")
-    around = opened.select(*_KEY, F.col("pos").alias("brace"), F.explode(F.concat("above", F.array("pos"))).alias("at"))
-    listed = around.join(own, [*_KEY, "at"]).groupBy(*_KEY, "brace").agg(F.array_sort(F.collect_list(F.struct("at", "l"))).alias("all"))
-    return listed.select(*_KEY, "brace", F.transform("all", lambda x: x["l"]["label"]).alias("labels"))
-
-
-def _rows(rows: DataFrame, fact: str, **columns: Column) -> DataFrame:
-    """Facts of one sort, with nulls and empty lists for what they don't say."""
-    none = {c: F.array() if c in _LISTS else F.lit(None) for c in _TYPES if c not in ("fact", *_LISTS)} | {c: F.lit(None) for c in _LISTS}
-    values = none | columns | {"fact": F.lit(fact)}
-    return rows.select(*_KEY, *[values[c].cast(t).alias(c) for c, t in _TYPES.items()])
-
-
-def _held(found: DataFrame, braces: DataFrame) -> DataFrame:
-    """Declarations with what they stand in."""
-    emits = (F.col("brace") == -1) | F.coalesce("emits", F.lit(False))
-    return found.join(braces, [*_KEY, "brace"], "left").withColumn("emits", emits)
-
-
-def _declarations(held: DataFrame) -> DataFrame:
-    col, top = F.col, F.col("brace") == -1
-    listed = held.where("emits").where((col("kind") != "enumCase") | (col("inner.kind") == "enum")).where((col("kind") != "initializer") | ~top)
-    names = F.when(col("kind") == "enumCase", F.array().cast("array<string>")).otherwise(F.transform("given", lambda g: g["name"]))
-    return _rows(
-        listed, "declaration", pos=col("pos"), kind=col("kind"), name=col("name"), parent=F.when(~top, col("inner.name")), access_level=col("access_level"), signature=col("signature"), documentation=col("documentation"), attributes=names,
-        modifiers=col("modifiers"), inherited_types=col("inherited_types"), line=col("line"), column=col("column"), end_line=col("end_line"),
-    )
-
-
 def declaration_facts(sources: DataFrame) -> DataFrame:
-    """The declarations among the ``facts`` of each file, from the tokens outside of bodies alone."""
-    scoped = cut(outside_bodies(scoped_tokens(sources).drop("leader")))
-    found = cut(declared(scoped))
-    return _declarations(_held(found, _nesting(scoped, found)))
+    """The declarations among the ``facts`` of each file."""
+    return reader.facts(sources, "declaration").drop("source")
 
 
 def facts(sources: DataFrame) -> DataFrame:
     """The facts of each file with content, each file once: declarations, imports, wrappers, environment keys and
     injections, composed views; ``pos`` is their order in the file.
 
-    Tokens and declarations are written once, as several facts are read from them. An injection has the
-    line on which its statement begins.
+    An injection has the line on which its statement begins.
     """
-    wide = scoped_tokens(sources)
-    scoped = cut(wide.drop("leader"))
-    found = cut(declared(scoped))
-    braces = cut(_nesting(scoped, found))
-    col = F.col
-    held = _held(found, braces)
-    rows = [_declarations(held)]
-    used = held.where("kind = 'variable' AND owner IS NOT NULL AND NOT hidden").select("*", F.explode("given").alias("w")).where(F.substring("w.name", 2, 1 << 30).isin(*WRAPPERS))
-    rows.append(_rows(used, "wrapper", pos=col("pos"), kind=F.substring("w.name", 2, 1 << 30), name=col("name"), argument=col("w.argument"), parent=col("owner"), line=col("line")))
-    inner = held.where("kind = 'variable' AND inner.kind IN ('struct', 'extension')")
-    keys = inner.where(F.array_contains("inner.inherited_types", "EnvironmentKey") & (col("name") == "defaultValue"))
-    rows.append(_rows(keys, "key", pos=col("pos"), name=col("inner.name"), signature=col("type"), parent=col("inner.name"), line=col("inner.line")))
-    values = inner.where("inner.kind = 'extension' AND inner.name = 'EnvironmentValues'")
-    rows.append(_rows(values, "key", pos=col("pos"), name=col("name"), signature=col("type"), parent=F.lit("EnvironmentValues"), line=col("line")))
-    rows.append(_imports(scoped))
-    calls = _calls(scoped, braces)
-    rows.append(_rows(calls, "view", pos=col("pos"), line=col("line"), parent=col("owner"), name=col("view"), argument=F.nullif(F.array_join("context", " > "), F.lit(""))).where("name IS NOT NULL"))
-    rows.append(_rows(calls, "injection", pos=col("pos"), line=col("line"), parent=col("owner"), argument=col("key")).where("argument IS NOT NULL"))
-    every = rows[0]
-    for more in rows[1:]:
-        every = every.unionByName(more)
-    return every
-
-
-def _imports(scoped: DataFrame) -> DataFrame:
-    """Imports of modules by their whole path; ``import struct A.B`` imports that type's path."""
-    file = Window.partitionBy(*_KEY).orderBy("pos")
-    begins = (F.col("token") == "import") & (F.col("brace") == -1)
-    rows = scoped.where("brace = -1").select("*", F.last(F.when(begins, F.struct("pos", "line", "prev")), ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, 0)).alias("of"))
-    own = Window.partitionBy(*_KEY, "of.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    sort = F.col("token").isin("struct", "class", "enum", "protocol", "func", "let", "var", "typealias", "actor") & (F.col("prev") == "import")
-    rows = rows.where("of IS NOT NULL AND pos > of.pos").where(~sort)
-    goes_on = (F.col("token") == ".") | (F.col("prev") == ".") | F.col("prev").isin("import", "struct", "class", "enum", "protocol", "func", "let", "var", "typealias", "actor")
-    path = rows.select("*", F.sum((~goes_on).cast("int")).over(own).alias("ended")).where("ended = 0").groupBy(*_KEY, "of").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("token").alias("word")))).alias("words"))
-    return _rows(path, "import", pos=F.col("of.pos"), line=F.col("of.line"), name=_joined("words"), testable=F.coalesce(F.col("of.prev") == "@testable", F.lit(False)))
-
-
-def _calls(scoped: DataFrame, braces: DataFrame) -> DataFrame:
-    """(what, owner, view, key, context, line): views composed and environment values given."""
-    file, inside = Window.partitionBy(*_KEY).orderBy("pos"), Window.partitionBy(*_KEY, "brace").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    token, prev = F.col("token"), F.coalesce("prev", F.lit(""))
-    near = lambda c, i: F.lead(c, i).over(file)
-    begins = (F.col("round") == 0) & ((F.col("line") != F.col("prev_line")) | F.col("prev").isNull() | F.col("prev").isin("{", ";", "in", "return", "else", ":")) & ~token.isin(".", "}", "?", ":")
-    labels = _switch_label()
-    seen = scoped.select(
-        *_KEY, "pos", "token", "prev", "next", "line", "brace", "scope", near("line", 1).alias("next_line"), near("opens", 1).alias("next_opens"), *[near("token", i).alias(f"next{i}") for i in (2, 3, 4, 5)], F.lag("token", 3).over(file).alias("prev3"), "last_line",
-        F.last(F.when(begins, F.col("line")), ignorenulls=True).over(inside).alias("statement"), F.when(F.col("scope.name") == "switch", F.last(F.when(labels, F.col("pos")), ignorenulls=True).over(inside)).alias("case"),
-    ).where("brace >= 0").where((token.rlike(r"^`?\p{Lu}") | token.isin("environment", "environmentObject", "for")) & F.col("next").isin("(", "{", ":"))
-    called = (F.col("next") == "(") & (F.col("next_line") == F.col("last_line"))
-    control = F.coalesce((F.col("next_opens.kind") == "block") & F.col("next_opens.name").isin(*CONTROL), F.lit(False)) | F.coalesce(F.col("next_opens.kind").isin(*TYPE_WORDS, "function", "initializer", "variable"), F.lit(False))
-    typed = prev.isin("->", "is", "as", "some", "any") | ((prev == ":") & F.coalesce(F.col("prev3").isin("var", "let"), F.lit(False)))
-    closure = (F.col("next") == "{") & ~control & ~typed & ~F.coalesce(F.col("next2").isin("get", "set", "willSet", "didSet"), F.lit(False))
-    declares = prev.isin("func", "struct", "class", "enum", "protocol", "actor", "extension", "#")
-    gives = token.isin("environment", "environmentObject") & (prev == ".") & (F.col("next") == "(")
-    leads_to = (token == "for") & (F.col("next") == ":") & (F.col("next3") == ".") & (F.col("next4") == "self") & F.col("next5").isin(")", ",")
-    ends = F.lit(False)
-    for ending in NO_VIEW_ENDINGS:
-        ends = ends | F.endswith(token, F.lit(ending))
-    shown = F.col("viewing") & (called | closure) & token.rlike(r"^\p{Lu}") & ~token.isin(*NO_VIEWS) & (token != F.col("owner")) & ~ends & ~declares
-    ifs, cases = _conditions(scoped)
-    met = seen.join(braces, [*_KEY, "brace"]).where("owner IS NOT NULL").join(_labels(scoped, ifs, cases), [*_KEY, "brace"], "left").join(cases.select(*_KEY, F.col("at").alias("case"), "label"), [*_KEY, "case"], "left")
-    what = F.when(gives, "injection").when(leads_to | shown, "view")
-    found = met.withColumn("what", what).where("what IS NOT NULL")
-    view = F.when(leads_to, F.concat(F.lit("NavigationDestination("), "next2", F.lit(")"))).when(shown, token)
-    context = F.when(leads_to, F.array().cast("array<string>")).otherwise(F.concat(F.coalesce("labels", F.array().cast("array<string>")), F.array_compact(F.array("label"))))
-    # The first argument of what is injected, without its label.
-    opens = F.when((token == "(") & F.col("callee").isin("environment", "environmentObject"), F.struct("pos", "mate", "round"))
-    inner = scoped.select("*", F.last(opens, ignorenulls=True).over(file.rowsBetween(Window.unboundedPreceding, 0)).alias("of")).where((F.col("pos") > F.col("of.pos")) & (F.col("pos") < F.col("of.mate")))
-    own = Window.partitionBy(*_KEY, "of.pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    first = inner.withColumn("commas", F.sum(((token == ",") & (F.col("round") == F.col("of.round") + 1)).cast("int")).over(own)).where("commas = 0")
-    word = F.struct("pos", F.concat(F.when(F.col("start") > F.col("prev_stop"), " ").otherwise(""), "token").alias("word"))
-    keys = first.groupBy(*_KEY, (F.col("of.pos") - 1).alias("pos")).agg(F.regexp_replace(_joined(F.collect_list(word)), r"^[\p{L}_]\w*\s*:\s*", "").alias("key"))
-    placed = found.select(*_KEY, "pos", "what", "owner", view.alias("view"), context.alias("context"), F.when(prev == ".", F.coalesce("statement", "line")).otherwise(F.col("line")).alias("line"))
-    return placed.join(keys, [*_KEY, "pos"], "left").withColumn("key", F.when(F.col("what") == "injection", F.col("key")))
+    return sourced_facts(sources).drop("source")
+
+
+def sourced_facts(sources: DataFrame) -> DataFrame:
+    """``facts``, views with ``source``: the qualified name of the first declaration of their parent's name in the file,
+    as ``_views`` would find it by a join."""
+    return reader.facts(sources)
 
 
 def declarations(found: DataFrame) -> DataFrame:
@@ -233,26 +65,52 @@ def symbols(found: DataFrame) -> DataFrame:
     """The index's symbols, one per (projectId, qualifiedName): declarations, of which the last by path and
     place counts, files that import, modules, and placeholders of views that no project's file declares.
 
-    Lists are JSON, and null where empty.
+    Lists are JSON, and null where empty. Facts that have ``source`` are read once: each gives the rows of its symbols,
+    and all of these meet in one grouping, what a declaration says in one short text.
     """
-    lists = [F.when(F.size(c) > 0, F.to_json(c)).alias(n) for c, n in zip(_LISTS, ("attributes", "modifiers", "inheritedTypes"), strict=True)]
-    values = ("kind", "name", "filePath", "line", "column", "endLine", "accessLevel", "attributes", "modifiers", "inheritedTypes", "signature", "documentation")
-    rows = _declared(found).select("projectId", "qualifiedName", "pos", "kind", "name", "filePath", "line", "column", F.col("end_line").alias("endLine"), F.col("access_level").alias("accessLevel"), *lists, "signature", "documentation")
-    last = rows.groupBy("projectId", "qualifiedName").agg(F.max(F.struct(F.col("filePath").alias("_path"), F.col("pos").alias("_pos"), *values)).alias("last"))
-    declared = last.select("projectId", "qualifiedName", *[F.col(f"last.{c}").alias(c) for c in values])
-    imports = found.where("fact = 'import'")
-    files = imports.select("projectId", F.concat(F.lit("file:"), "filePath").alias("qualifiedName"), F.lit("file").alias("kind"), F.element_at(F.split("filePath", "/"), -1).alias("name"), "filePath", F.lit(1).alias("line"), F.lit(1).alias("column")).distinct()
-    modules = imports.select("projectId", F.concat(F.lit("module:"), "name").alias("qualifiedName"), F.lit("module").alias("kind"), "name").distinct()
-    waiting = _views(found).where("is_placeholder").select("projectId", F.col("target").alias("qualifiedName"), F.lit("struct").alias("kind"), "name").distinct()
-    return declared.unionByName(files, True).unionByName(modules, True).unionByName(waiting, True)
+    col = F.col
+    said = {"kind": "string", "name": "string", "line": "int", "column": "int", "end_line": "int", "access_level": "string", "signature": "string", "documentation": "string"} | dict.fromkeys(_LISTS, "array<string>")
+    declares, imports = col("fact") == "declaration", col("fact") == "import"
+    shows = (col("fact") == "view") & col("source").isNotNull() & col("projectId").isNotNull()
+    text = F.to_json(F.struct(*[(F.when(F.size(c) > 0, col(c)) if c in _LISTS else col(c)).alias(f"c{i}") for i, c in enumerate(said)]))
+    none = F.lit(None).cast("struct<path:string,pos:int,text:string>")
+    row = lambda sort, key, real=F.lit(None).cast("boolean"), last=none: F.struct(F.lit(sort).cast("byte").alias("sort"), key.alias("key"), real.alias("real"), last.alias("last"))  # noqa: B008, E731
+    made = F.array(
+        F.when(declares, row(0, _qualified(), last=F.struct(col("filePath").alias("path"), "pos", text.alias("text")))),
+        F.when(imports, row(1, col("filePath"))),
+        F.when(imports, row(2, col("name"))),
+        # A view's name waits for a type as long as none has that name.
+        F.when(shows | (declares & col("kind").isin("struct", "class")), row(3, col("name"), declares)),
+    )
+    rows = _sourced(found).select("projectId", F.explode(F.array_compact(made)).alias("r")).select("projectId", "r.*")
+    keys = ["projectId", "sort", "key"]
+    # Few rows are alike, so they are sorted only once they have met.
+    met = rows.repartition(*keys).groupBy(*keys).agg(F.max("last").alias("last"), F.coalesce(F.max("real"), F.lit(False)).alias("real")).where("NOT real")
+    schema = ", ".join(f"c{i} {t}" for i, t in enumerate(said.values()))
+    told = met.select(*keys, "last.path", F.from_json("last.text", schema, {"maxStringLen": str((1 << 31) - 1)}).alias("v"))
+    of = {c: col(f"v.c{i}") for i, c in enumerate(said)}
+    sort, file, empty = col("sort"), col("sort") == 1, F.lit(None).cast("string")
+    prefix = F.when(sort == 0, "").when(file, "file:").when(sort == 2, "module:").otherwise("unresolved:")
+    return told.select(
+        "projectId", F.concat(prefix, "key").alias("qualifiedName"), F.when(sort == 0, of["kind"]).when(file, "file").when(sort == 2, "module").otherwise("struct").alias("kind"),
+        F.when(sort == 0, of["name"]).when(file, F.element_at(F.split("key", "/"), -1)).otherwise(col("key")).alias("name"), F.when(file, col("key")).otherwise(col("path")).alias("filePath"),
+        F.when(file, 1).otherwise(of["line"]).alias("line"), F.when(file, 1).otherwise(of["column"]).alias("column"), of["end_line"].alias("endLine"), of["access_level"].alias("accessLevel"),
+        *[F.coalesce(F.to_json(of[c]), empty).alias(n) for c, n in zip(_LISTS, ("attributes", "modifiers", "inheritedTypes"), strict=True)], of["signature"].alias("signature"), of["documentation"].alias("documentation"),
+    )
+
+
+def _sourced(found: DataFrame) -> DataFrame:
+    """Facts with ``source``, if need be by a join."""
+    if "source" in found.columns:
+        return found
+    return found.join(_first(_declared(found), "parent", "source").drop("first_pos"), [*_KEY, "parent"], "left")
 
 
 def _views(found: DataFrame) -> DataFrame:
     """(projectId, filePath, pos, source, target, is_placeholder, name, argument) of each composed view."""
-    declared = _declared(found)
-    real = declared.where("kind IN ('struct', 'class')").groupBy("projectId", "name").agg(F.min("qualifiedName").alias("real"))
-    views = found.where("fact = 'view'").select(*_KEY, "pos", "parent", "name", "argument")
-    met = views.join(_first(declared, "parent", "source"), [*_KEY, "parent"]).join(real, ["projectId", "name"], "left")
+    real = _declared(found).where("kind IN ('struct', 'class')").groupBy("projectId", "name").agg(F.min("qualifiedName").alias("real"))
+    views = _sourced(found).where("fact = 'view' AND source IS NOT NULL AND projectId IS NOT NULL").select(*_KEY, "pos", "name", "argument", "source")
+    met = views.join(real, ["projectId", "name"], "left")
     return met.select(*_KEY, "pos", "source", F.coalesce("real", F.concat(F.lit("unresolved:"), "name")).alias("target"), F.col("real").isNull().alias("is_placeholder"), "name", "argument")
 
 
