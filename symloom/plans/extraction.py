@@ -10,7 +10,7 @@ from symloom.plans import questions as ask
 from symloom.plans.graph import Graph
 from symloom.session import cut
 from symloom.sources import declarations as read
-from symloom.sources import members
+from symloom.sources import members, reader
 from symloom.sources.tables import table
 
 
@@ -40,7 +40,7 @@ def extract_imports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def extract_calls(spark: SparkSession, folder: str) -> DataFrame:
-    return read.calls(_scoped(spark, folder))
+    return reader.calls(table(spark, folder, "source_files"))
 
 
 def extract_type_references(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +65,9 @@ def resolve_references(spark: SparkSession, folder: str) -> DataFrame:
 
 def resolve_calls(spark: SparkSession, folder: str) -> DataFrame:
     graph = Graph.read(spark, folder)
-    return resolve.call_edges(_nodes(graph), graph.links("contains"), extract_calls(spark, folder), TOOLKIT)
+    # Calls are few beside the texts they come from; written once, no text is read again for another way to resolve them.
+    calls = cut(extract_calls(spark, folder))
+    return resolve.call_edges(graph.nodes("projectId", "filePath", "line", "name", "qualifiedName", "kind"), graph.links("contains"), calls, TOOLKIT)
 
 
 def find_usages(spark: SparkSession, folder: str) -> DataFrame:
